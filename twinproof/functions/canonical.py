@@ -1,33 +1,46 @@
 """Canonical forms of percent, date, duration and boolean notations.
 
-Each value is parsed in two steps that operators put in consecutive projections, so that
-a regular expression runs once per cell however often its outcome is used:
+Parsing takes two steps, which operators put in consecutive projections as plain string
+columns, so a pattern runs once per cell however often its outcome is used:
 
-* ``probe``   runs the patterns and returns a two-letter outcome code plus the matched text;
-* ``settle``  turns that into the final ``struct<code, value>`` with cheap string work.
+* a *probe* runs one regular expression whose ordered alternatives are the notations, and
+  keeps only the matched figures;
+* ``settle`` turns the probe into a two-letter outcome code followed by the value
+  (``pm0.89``, ``da2025-07-22``, ``px``) with cheap work on short strings.
 
-``describe`` widens the pair to the full canonical value when a caller wants it.
+``describe`` widens a settled text to the full canonical value when a caller wants it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.functions.text import WS, fold_digits, is_blank, strip
+from twinproof.functions.text import WS, fold_digits, is_blank
 
 # Notation patterns.
-PERCENT = rf"(?U)([0-9]+(?:\.[0-9]+)?){WS}*%"
-PERMILLE = rf"(?U)(?:1[,，]?000|1000|1{WS}*천){WS}*분의{WS}*([0-9]+(?:\.[0-9]+)?)"
-BASIS_POINT = rf"(?iU)([0-9]+(?:\.[0-9]+)?){WS}*(?:bp|bps|basis{WS}*points?)"
-BARE_NUMBER = rf"(?U)^{WS}*[0-9]+(?:\.[0-9]+)?{WS}*$"
-DATE_DASH = r"(?U)\d{4}-\d{1,2}-\d{1,2}"
-DATE_DOT = r"(?U)\d{4}\.\d{1,2}\.\d{1,2}"
-DATE_SLASH = r"(?U)\d{4}/\d{1,2}/\d{1,2}"
-DATE_KOREAN = rf"(?U)\d{{4}}{WS}*년{WS}*\d{{1,2}}{WS}*월{WS}*\d{{1,2}}{WS}*일"
+NUMBER = r"[0-9]+(?:\.[0-9]+)?"
+PERCENT = rf"({NUMBER})[\s\x1c-\x1f\[\]()]*%"
+PERMILLE = rf"(?:1[,，]?000|1000|1{WS}*천){WS}*분의{WS}*({NUMBER})"
+BASIS_POINT = rf"({NUMBER}){WS}*(?i:bps|bp|basis{WS}*points?)"
+BARE_NUMBER = rf"({WS}*{NUMBER}{WS}*\z)"
+DATE_DASH, DATE_DOT, DATE_SLASH = (rf"\d{{4}}{sep}\d{{1,2}}{sep}\d{{1,2}}" for sep in ("-", r"\.", "/"))
+DATE_KOREAN = rf"\d{{4}}{WS}*년{WS}*\d{{1,2}}{WS}*월{WS}*\d{{1,2}}{WS}*일"
 YEARS = rf"(?U)([0-9]+){WS}*년"
 MONTHS = rf"(?U)([0-9]+){WS}*개월"
-GUARD_PERMILLE = rf"(?U)1[,，]?000{WS}*분의{WS}*([0-9]+(?:\.[0-9]+)?)"
+GUARD_PERMILLE = rf"1[,，]?000{WS}*분의{WS}*({NUMBER})"
+
+# Ordered alternatives: a later notation is tried only when no earlier one occurs anywhere.
+# The empty last alternative makes the whole text match, so the replacement is the probe.
+PERCENT_LADDER = rf"(?sU)^(?:.*?{PERCENT}|.*?{PERMILLE}|.*?{BASIS_POINT}|{BARE_NUMBER}|).*"
+DATE_LADDER = rf"(?sU)^(?:.*?({DATE_DASH})|.*?({DATE_DOT})|.*?({DATE_SLASH})|.*?({DATE_KOREAN})|).*"
+GUARD_PERCENT_LADDER = rf"(?sU)^(?:.*?{PERCENT}|.*?{GUARD_PERMILLE}|).*"
+# Each look-ahead is optional and independent: a leading ISO-like date (all of the first ten
+# characters) and a Korean date anywhere are reported side by side.
+GUARD_DATE_PARTS = (
+    rf"(?sU)^(?:(?={WS}*(\d{{4}}([-/])\d{{1,2}}\2\d{{1,2}}){WS}*\z)|(?={WS}*(\d{{4}}([-/])\d{{2}}\4\d{{2}}))|)"
+    rf"(?:(?=.*?({DATE_KOREAN}))|).*"
+)
 
 # Word lists.
 ABSENCE_WORDS = ("없음", "해당없음", "해당사항없음", "부과하지아니함", "면제")
@@ -77,15 +90,6 @@ OUTCOMES = {
 DECISIVE_CODES = [c for c, v in OUTCOMES.items() if v[0] == "decisive"]
 
 
-def _tag(code: str, text: Column) -> Column:
-    """Code plus match; null when the pattern did not match (so that coalesce moves on)."""
-    return F.concat(F.lit(code), F.nullif(text, F.lit("")))
-
-
-def _any_word(text: Column, words: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(words))
-
-
 def _code(probe: Column) -> Column:
     return F.substring(probe, 1, 2)
 
@@ -94,27 +98,21 @@ def _rest(probe: Column) -> Column:
     return F.substring(probe, 3, 1_000_000_000)
 
 
+def _any_word(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(words))
+
+
 # --- probes -----------------------------------------------------------------------------
 
 
 def percent_probe(raw: Column) -> Column:
-    open_text = F.translate(raw, "[]()", "    ")
-    return F.coalesce(
-        _tag("pc", F.regexp_extract(open_text, PERCENT, 1)),
-        _tag("pm", F.regexp_extract(raw, PERMILLE, 1)),
-        _tag("bp", F.regexp_extract(raw, BASIS_POINT, 1)),
-        F.when(raw.rlike(BARE_NUMBER), F.lit("pu")).otherwise(F.lit("px")),
-    )
+    """``P:<percent>|<permille>|<basis points>|<bare number>`` with at most one part filled."""
+    return F.concat(F.lit("P:"), F.regexp_replace(raw, PERCENT_LADDER, "$1|$2|$3|$4"))
 
 
 def date_probe(raw: Column) -> Column:
-    return F.coalesce(
-        _tag("da", F.regexp_extract(raw, DATE_DASH, 0)),
-        _tag("da", F.regexp_extract(raw, DATE_DOT, 0)),
-        _tag("da", F.regexp_extract(raw, DATE_SLASH, 0)),
-        _tag("dk", F.regexp_extract(raw, DATE_KOREAN, 0)),
-        F.lit("dx"),
-    )
+    """``D:<absolute>|<Korean>`` with at most one part filled."""
+    return F.concat(F.lit("D:"), F.regexp_replace(raw, DATE_LADDER, "$1$2$3|$4"))
 
 
 def _sum_matches(raw: Column, pattern: str) -> Column:
@@ -132,14 +130,14 @@ def months_in(raw: Column) -> Column:
 
 
 def duration_probe(raw: Column) -> Column:
-    return F.concat(F.lit("du"), F.coalesce(months_in(raw).cast("string"), F.lit("0")))
+    return F.concat(F.lit("M:"), F.coalesce(months_in(raw).cast("string"), F.lit("0")))
 
 
 def boolean_probe(raw: Column) -> Column:
     compact = F.regexp_replace(raw, rf"(?U){WS}+", "")
     return (
-        F.when(_any_word(compact, NEGATIVE_WORDS), F.lit("bf"))
-        .when(_any_word(compact, POSITIVE_WORDS), F.lit("bt"))
+        F.when(_any_word(compact, NEGATIVE_WORDS), F.lit("bffalse"))
+        .when(_any_word(compact, POSITIVE_WORDS), F.lit("bttrue"))
         .otherwise(F.lit("bx"))
     )
 
@@ -187,48 +185,53 @@ def value_probe(raw: Column, canonicalizer: Column, semantics: Column) -> Column
 
 def strip_zeros(number: Column) -> Column:
     """Plain decimal text without trailing zeros (``0.8900`` -> ``0.89``, ``10`` -> ``10``)."""
-    trimmed = F.rtrim(F.rtrim(number, F.lit("0")), F.lit("."))
-    return F.when(number.contains("."), trimmed).otherwise(number)
+    return F.regexp_replace(F.regexp_replace(number, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 
 def shift_left(number: Column, places: int) -> Column:
     """Divide decimal text by 10**places exactly, then drop needless zeros."""
-    whole = F.substring_index(number, ".", 1)
-    frac = F.when(number.contains("."), F.substring_index(number, ".", -1)).otherwise(F.lit(""))
-    size = F.greatest(F.length(whole), F.lit(places + 1))
-    padded = F.lpad(whole, size, F.lit("0"))
-    head = F.ltrim(F.left(padded, size - places), F.lit("0"))
-    tail = F.rtrim(F.concat(F.right(padded, F.lit(places)), frac), F.lit("0"))
-    head = F.when(head == "", F.lit("0")).otherwise(head)
-    return F.when(tail == "", head).otherwise(F.concat(head, F.lit("."), tail))
+    moved = F.regexp_replace(
+        F.concat(F.lit("0" * places), number), rf"^([0-9]+)([0-9]{{{places}}})(?:\.([0-9]*))?$", "$1.$2$3")
+    return F.regexp_replace(moved, r"^0+(?=[0-9])|\.?0+$", "")
 
 
 def date_text(match: Column) -> Column:
     """ISO text of a matched date expression; null when it is not a calendar date."""
-    folded = fold_digits(match)
-    parts = F.rtrim(F.regexp_replace(folded, r"[^0-9]+", "-"), F.lit("-"))
-    return F.when(~parts.startswith("0000"), parts.try_cast("date").cast("string"))
+    parts = F.rtrim(F.regexp_replace(fold_digits(match), r"[^0-9]+", "-"), F.lit("-"))
+    # Year 0 exists in Spark's calendar only.
+    return F.regexp_replace(parts, "^0000", "x").try_cast("date").cast("string")
+
+
+def _part(probe: Column, index: int) -> Column:
+    return F.split_part(_rest(probe), F.lit("|"), F.lit(index))
+
+
+def _dated(code: str, match: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(code), date_text(match)), F.lit("di"))
 
 
 def settle(probe: Column) -> Column:
-    """``struct<code, value>`` from a probe of ``value_probe`` or one of its parsers."""
-    code, rest = _code(probe), _rest(probe)
-    iso = F.when(code.isin("da", "dk"), date_text(rest))
-    value = (
-        F.when(code == "pm", shift_left(rest, 1))
-        .when(code == "bp", shift_left(rest, 2))
-        .when(code.isin("da", "dk"), iso)
-        .when(code.isin("pc", "az"), rest)
-        .when((code == "du") & (rest.cast("bigint") > 0), rest)
-        .when(code == "bf", F.lit("false"))
-        .when(code == "bt", F.lit("true"))
-    )
-    final = (
-        F.when(code.isin("da", "dk") & iso.isNull(), F.lit("di"))
-        .when((code == "du") & (rest.cast("bigint") <= 0), F.lit("dn"))
-        .otherwise(code)
+    """Outcome code and value of a probe, as one text."""
+    family = _code(probe)
+    return (
+        F.when(
+            family == "P:",
+            F.when(_part(probe, 1) != "", F.concat(F.lit("pc"), _part(probe, 1)))
+            .when(_part(probe, 2) != "", F.concat(F.lit("pm"), shift_left(_part(probe, 2), 1)))
+            .when(_part(probe, 3) != "", F.concat(F.lit("bp"), shift_left(_part(probe, 3), 2)))
+            .when(_part(probe, 4) != "", F.lit("pu"))
+            .otherwise(F.lit("px")),
+        )
+        .when(
+            family == "D:",
+            F.when(_part(probe, 1) != "", _dated("da", _part(probe, 1)))
+            .when(_part(probe, 2) != "", _dated("dk", _part(probe, 2)))
+            .otherwise(F.lit("dx")),
+        )
+        .when(family == "M:", F.when(_rest(probe).cast("bigint") > 0, F.concat(F.lit("du"), _rest(probe)))
+              .otherwise(F.lit("dn")))
+        .otherwise(probe)
     )
-    return F.struct(final.alias("code"), value.alias("value"))
 
 
 def add_months_text(start: Column, months: Column) -> Column:
@@ -239,23 +242,25 @@ def add_months_text(start: Column, months: Column) -> Column:
 
 def settle_maturity(direct: Column, months: Column, inception: Column) -> Column:
     """Combine a settled direct date, months-from-inception and a settled inception date."""
-    decisive = direct["code"].isin("da", "dk")
-    usable = inception["code"].isin("da", "dk") & (months.cast("bigint") > 0)
-    derived = F.when(~decisive & usable, add_months_text(inception["value"], months))
-    code = (
-        F.when(decisive | (direct["code"] == "m0"), direct["code"])
+    usable = code_of(inception).isin("da", "dk") & (months.cast("bigint") > 0)
+    derived = F.when(usable, F.concat(F.lit("md"), add_months_text(_rest(inception), months)))
+    return (
+        F.when(code_of(direct).isin("da", "dk", "m0"), direct)
         .when(months.isNull(), F.lit("mr"))
-        .when(derived.isNotNull(), F.lit("md"))
-        .otherwise(F.lit("mf"))
-    )
-    return F.struct(
-        code.alias("code"),
-        F.when(decisive, direct["value"]).otherwise(derived).alias("value"),
+        .otherwise(F.coalesce(derived, F.lit("mf")))
     )
 
 
+def code_of(settled: Column) -> Column:
+    return _code(settled)
+
+
+def value_of(settled: Column) -> Column:
+    return F.when(F.length(settled) > 2, _rest(settled))
+
+
 def is_decisive(settled: Column) -> Column:
-    return settled["code"].isin(*DECISIVE_CODES)
+    return code_of(settled).isin(*DECISIVE_CODES)
 
 
 def _lookup(code: Column, index: int) -> Column:
@@ -264,68 +269,65 @@ def _lookup(code: Column, index: int) -> Column:
 
 
 def unit_of(settled: Column, value_type: Column) -> Column:
-    unit = _lookup(settled["code"], 1)
-    return F.when(unit == "*", value_type).otherwise(unit)
+    code = code_of(settled)
+    return F.when(code == "az", value_type).otherwise(_lookup(code, 1))
 
 
 def describe(settled: Column, value_type: Column, field: Column, metadata: Column | None = None) -> Column:
     """The full canonical value: status, value, unit, method, reason and metadata."""
-    code = settled["code"]
+    code = code_of(settled)
     reason = F.when(code == "nc", F.concat(F.lit(OUTCOMES["nc"][4]), field, F.lit("."))).otherwise(
         _lookup(code, 4)
     )
     empty = F.create_map().cast("map<string,string>")
     return F.struct(
-        _lookup(code, 0).alias("status"), settled["value"].alias("value"),
+        _lookup(code, 0).alias("status"), value_of(settled).alias("value"),
         unit_of(settled, value_type).alias("unit"), _lookup(code, 2).alias("method"),
         _lookup(code, 3).alias("reason_code"), reason.alias("reason"),
         (empty if metadata is None else F.coalesce(metadata, empty)).alias("metadata"),
     )
 
 
-# --- one-call scalar parsers --------------------------------------------------------------
+# --- scalar parsers -----------------------------------------------------------------------
 
+PROBES = {"percent": percent_probe, "date": date_probe, "duration": duration_probe, "boolean": boolean_probe}
 
-def _scalar(raw: Column, probe: Column, value_type: str) -> Column:
-    probe = F.when(raw.isNull() | is_blank(raw), F.lit("m0")).otherwise(probe)
-    return describe(settle(probe), F.lit(value_type), F.lit(""))
 
+def parse(df: DataFrame, kind: str, raw: str, out: str) -> DataFrame:
+    """Add the canonical value of one text column: probe, settle and describe in three projections."""
+    text = F.col(raw)
+    probe = F.when(text.isNull() | is_blank(text), F.lit("m0")).otherwise(PROBES[kind](text))
+    staged = df.withColumn(f"_{out}_p", probe)
+    staged = staged.withColumn(f"_{out}_s", settle(F.col(f"_{out}_p")))
+    value_type = {"percent": "percent_per_year"}.get(kind, kind)
+    return staged.withColumn(out, describe(F.col(f"_{out}_s"), F.lit(value_type), F.lit(""))).drop(
+        f"_{out}_p", f"_{out}_s")
 
-def parse_percent(raw: Column) -> Column:
-    return _scalar(raw, percent_probe(raw), "percent_per_year")
 
-
-def parse_date(raw: Column) -> Column:
-    return _scalar(raw, date_probe(raw), "date")
-
-
-def parse_duration_months(raw: Column) -> Column:
-    return _scalar(raw, duration_probe(raw), "duration")
-
-
-def parse_boolean(raw: Column) -> Column:
-    return _scalar(raw, boolean_probe(raw), "boolean")
+# --- the guards' own dialects ---------------------------------------------------------------
 
 
-# --- the guards' own dialects ---------------------------------------------------------------
+def guard_percent_probe(raw: Column) -> Column:
+    """``<percent>|<permille>``: basis points and ``천분의`` stay unrecognised."""
+    return F.regexp_replace(raw, GUARD_PERCENT_LADDER, "$1|$2")
 
 
-def guard_percent(raw: Column) -> Column:
-    """Percent or ``1,000분의`` only: basis points and ``천분의`` stay unrecognised."""
-    open_text = F.translate(raw, "[]()", "    ")
+def guard_percent_value(probe: Column) -> Column:
     return F.coalesce(
-        F.nullif(F.regexp_extract(open_text, PERCENT, 1), F.lit("")).cast("double"),
-        F.nullif(F.regexp_extract(raw, GUARD_PERMILLE, 1), F.lit("")).cast("double") / F.lit(10.0),
+        F.split_part(probe, F.lit("|"), F.lit(1)).try_cast("double"),
+        F.split_part(probe, F.lit("|"), F.lit(2)).try_cast("double") / F.lit(10.0),
     )
 
 
-def guard_date(raw: Column) -> Column:
-    """ISO or slash date in the first ten characters, else a Korean date anywhere."""
-    head = F.substring(strip(raw), 1, 10)
+def guard_date_probe(raw: Column) -> Column:
+    """``<ISO or slash date in the first ten characters>|<Korean date anywhere>``."""
+    return F.regexp_replace(raw, GUARD_DATE_PARTS, "$1$3|$5")
+
+
+def guard_date_value(probe: Column) -> Column:
     return F.coalesce(
-        date_text(F.nullif(F.regexp_extract(head, r"(?U)^\d{4}-\d{1,2}-\d{1,2}$", 0), F.lit(""))),
-        date_text(F.nullif(F.regexp_extract(head, r"(?U)^\d{4}/\d{1,2}/\d{1,2}$", 0), F.lit(""))),
-        date_text(F.nullif(F.regexp_extract(raw, DATE_KOREAN, 0), F.lit(""))),
+        date_text(F.split_part(probe, F.lit("|"), F.lit(1))),
+        date_text(F.split_part(probe, F.lit("|"), F.lit(2))),
     )
 
 

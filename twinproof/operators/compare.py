@@ -51,7 +51,7 @@ def cross_check_raw(df: DataFrame) -> DataFrame:
 
 
 def settle_sides(df: DataFrame, needed: Column | None = None, derive: bool = True) -> DataFrame:
-    """Add ``_contract`` / ``_im`` settled canonical values to rows that carry their policy.
+    """Add ``_contract`` / ``_im`` settled texts to rows that carry their policy.
 
     Patterns run in their own projection and only where ``needed`` holds. With ``derive``,
     fields under the maturity canonicalizer use the row's reference cells.
@@ -76,20 +76,16 @@ def settle_sides(df: DataFrame, needed: Column | None = None, derive: bool = Tru
                     C.date_probe(F.col(f"{s}_ref_raw")),
                 )
     staged = df.withColumns(probes)
-    settled = {f"_{s}": C.settle(F.col(f"_{s}_p")) for s in SIDES}
-    if has_ref:
-        settled |= {f"_{s}_r": C.settle(F.coalesce(F.col(f"_{s}_r"), F.lit("dx"))) for s in SIDES}
-    staged = staged.withColumns(settled)
+    staged = staged.withColumns({f"_{s}": C.settle(F.col(f"_{s}_p")) for s in SIDES} | (
+        {f"_{s}_i": C.settle(F.col(f"_{s}_r")) for s in SIDES} if has_ref else {}))
     if derive:
-        none = F.struct(F.lit("dx").alias("code"), F.lit(None).cast("string").alias("value"))
         staged = staged.withColumns({
-            f"_{s}": F.when(
-                maturity,
-                C.settle_maturity(F.col(f"_{s}"), F.col(f"_{s}_m"), F.col(f"_{s}_r") if has_ref else none),
-            ).otherwise(F.col(f"_{s}"))
+            f"_{s}": F.when(maturity, C.settle_maturity(
+                F.col(f"_{s}"), F.col(f"_{s}_m"), F.col(f"_{s}_i") if has_ref else F.lit("dx")))
+            .otherwise(F.col(f"_{s}"))
             for s in SIDES
         })
-    return staged.drop(*[f"_{s}_p" for s in SIDES])
+    return staged.drop(*[f"_{s}_{x}" for s in SIDES for x in ("p", "r")])
 
 
 def _equal_values(strict_text: bool) -> Column:
@@ -97,12 +93,12 @@ def _equal_values(strict_text: bool) -> Column:
     left, right = F.col("_contract"), F.col("_im")
     value_type = F.col("value_type")
     units = C.unit_of(left, value_type) == C.unit_of(right, value_type)
-    same = left["value"] == right["value"]
+    same = C.value_of(left) == C.value_of(right)
     if not strict_text:
         number = "decimal(38,18)"
         same = F.when(
             F.col("compare_policy") == "numeric_equal",
-            F.coalesce(left["value"].try_cast(number) == right["value"].try_cast(number), same),
+            F.coalesce(C.value_of(left).try_cast(number) == C.value_of(right).try_cast(number), same),
         ).otherwise(same)
     return F.coalesce(units & same, F.lit(False))
 
@@ -144,8 +140,8 @@ def _side_value(side: str, has_ref: bool) -> Column:
     metadata = None
     if has_ref:
         metadata = F.when(
-            settled["code"] == "md",
-            F.create_map(F.lit("inception_date"), F.col(f"_{side}_r.value"),
+            C.code_of(settled) == "md",
+            F.create_map(F.lit("inception_date"), C.value_of(F.col(f"_{side}_i")),
                          F.lit("duration_months"), F.col(f"_{side}_m")),
         )
     return C.describe(settled, F.col("value_type"), F.col("field"), metadata)
@@ -156,7 +152,7 @@ def cross_check_policy(df: DataFrame, profile: Profile = TRUST_FUND, strict_text
     staged = _raw_state(with_policy(df, profile))
     needed = F.col("status") == "needs_review"
     staged = compare_values(staged, strict_text, derive=True, needed=needed)
-    has_ref = "_contract_r" in staged.columns
+    has_ref = "_contract_i" in staged.columns
     canonical = F.struct(
         *[_side_value(s, has_ref).alias(s) for s in SIDES], F.col("judge_allowed").alias("judge_allowed")
     )

@@ -170,13 +170,20 @@ def check_constraints(df: DataFrame, profile: Profile = TRUST_FUND) -> DataFrame
     for s in SIDES:
         raw = F.col(f"{s}_raw")
         first[f"_{s}_raw0"] = raw
-        first[f"_{s}_pct"] = F.when(is_fee, C.guard_percent(raw))
-        first[f"_{s}_date"] = F.when(is_date, C.guard_date(raw))
+        first[f"_{s}_probe"] = F.when(is_fee, C.guard_percent_probe(raw)).when(
+            is_date, C.guard_date_probe(raw))
         if f"{s}_ref_raw" in df.columns:
-            first[f"_{s}_ref_date"] = F.when(
-                is_later & raw.isNotNull(), C.guard_date(F.col(f"{s}_ref_raw")))
+            first[f"_{s}_ref_probe"] = F.when(
+                is_later & raw.isNotNull(), C.guard_date_probe(F.col(f"{s}_ref_raw")))
     out = df.withColumns({"_lo": _range_dims(profile, "range_min"),
                           "_hi": _range_dims(profile, "range_max"), **first})
+    second = {}
+    for s in SIDES:
+        second[f"_{s}_pct"] = F.when(is_fee, C.guard_percent_value(F.col(f"_{s}_probe")))
+        second[f"_{s}_date"] = F.when(is_date, C.guard_date_value(F.col(f"_{s}_probe")))
+        if f"{s}_ref_raw" in df.columns:
+            second[f"_{s}_ref_date"] = C.guard_date_value(F.col(f"_{s}_ref_probe"))
+    out = out.withColumns(second)
     codes = {}
     for s in SIDES:
         pct, raw = F.col(f"_{s}_pct"), F.col(f"{s}_raw")

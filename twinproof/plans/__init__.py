@@ -1 +1,9 @@
 """Compositions of operators: evaluation modes, review runs and the registered queries."""
+
+
+def all_queries():
+    """(queries, SQL restatements) of every registered query."""
+    from twinproof.plans import queries_core  # noqa: F401
+    from twinproof.plans.registry import ORACLE, QUERIES
+
+    return QUERIES, ORACLE
