@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinproof.functions.literals import lookup
 from twinproof.functions.text import WS, fold_digits, is_blank
 
 # Notation patterns.
@@ -202,8 +203,14 @@ def date_text(match: Column) -> Column:
     return F.regexp_replace(parts, "^0000", "x").try_cast("date").cast("string")
 
 
+def _slot(probe: Column, index: int) -> Column:
+    """index-th ``|``-separated slot (byte search, no regular expression)."""
+    head = F.substring_index(probe, "|", index)
+    return head if index == 1 else F.substring_index(head, "|", -1)
+
+
 def _part(probe: Column, index: int) -> Column:
-    return F.split_part(_rest(probe), F.lit("|"), F.lit(index))
+    return _slot(_rest(probe), index)
 
 
 def _dated(code: str, match: Column) -> Column:
@@ -264,8 +271,7 @@ def is_decisive(settled: Column) -> Column:
 
 
 def _lookup(code: Column, index: int) -> Column:
-    pairs = [(c, v[index]) for c, v in OUTCOMES.items() if v[index] is not None]
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])[code]
+    return lookup(code, {c: v[index] for c, v in OUTCOMES.items() if v[index] is not None})
 
 
 def unit_of(settled: Column, value_type: Column) -> Column:
@@ -313,10 +319,10 @@ def guard_percent_probe(raw: Column) -> Column:
 
 
 def guard_percent_value(probe: Column) -> Column:
-    return F.coalesce(
-        F.split_part(probe, F.lit("|"), F.lit(1)).try_cast("double"),
-        F.split_part(probe, F.lit("|"), F.lit(2)).try_cast("double") / F.lit(10.0),
-    )
+    percent, permille = _slot(probe, 1), _slot(probe, 2)
+    # Never cast the empty slot: a failing cast costs an exception per row.
+    return F.when(percent != "", percent.cast("double")).when(
+        permille != "", permille.cast("double") / F.lit(10.0))
 
 
 def guard_date_probe(raw: Column) -> Column:
@@ -325,10 +331,8 @@ def guard_date_probe(raw: Column) -> Column:
 
 
 def guard_date_value(probe: Column) -> Column:
-    return F.coalesce(
-        date_text(F.split_part(probe, F.lit("|"), F.lit(1))),
-        date_text(F.split_part(probe, F.lit("|"), F.lit(2))),
-    )
+    head, korean = _slot(probe, 1), _slot(probe, 2)
+    return F.coalesce(F.when(head != "", date_text(head)), F.when(korean != "", date_text(korean)))
 
 
 def shape_percent(raw: Column) -> Column:

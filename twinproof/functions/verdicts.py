@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from twinproof.functions.literals import lookup
+
 # Statuses.
 RAW_STATUSES = ("exact_match", "needs_review", "missing_evidence")
 FINAL_STATUSES = ("exact_match", "same_after_normalization", "different_after_normalization",
@@ -41,7 +43,7 @@ POLICY_WORD = {"numeric_equal": "numeric_", "date_equal": "date_",
 
 
 def from_map(key: Column, mapping: dict[str, str], default: str | None = None) -> Column:
-    out = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[key]
+    out = lookup(key, mapping)
     return out if default is None else F.coalesce(out, F.lit(default))
 
 

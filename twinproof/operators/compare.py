@@ -147,22 +147,27 @@ def _side_value(side: str, has_ref: bool) -> Column:
     return C.describe(settled, F.col("value_type"), F.col("field"), metadata)
 
 
-def cross_check_policy(df: DataFrame, profile: Profile = TRUST_FUND, strict_text: bool = True) -> DataFrame:
-    """Missing, then exact, then canonical comparison; row-local apart from the policy lookup."""
+def cross_check_policy(df: DataFrame, profile: Profile = TRUST_FUND, strict_text: bool = True,
+                       details: bool = True) -> DataFrame:
+    """Missing, then exact, then canonical comparison; row-local apart from the policy lookup.
+
+    ``details`` adds the nested canonical values of both sides.
+    """
     staged = _raw_state(with_policy(df, profile))
     needed = F.col("status") == "needs_review"
     staged = compare_values(staged, strict_text, derive=True, needed=needed)
     has_ref = "_contract_i" in staged.columns
-    canonical = F.struct(
-        *[_side_value(s, has_ref).alias(s) for s in SIDES], F.col("judge_allowed").alias("judge_allowed")
-    )
-    out = staged.withColumns({
+    out = staged
+    if details:
+        canonical = F.struct(
+            *[_side_value(s, has_ref).alias(s) for s in SIDES], F.col("judge_allowed").alias("judge_allowed"))
+        out = out.withColumn("canonical", F.when(needed, canonical))
+    out = out.withColumns({
         "final_status": F.when(needed, F.col("_verdict")).otherwise(F.col("status")),
         "final_reason_code": F.when(needed, F.col("canonical_reason_code")).otherwise(_raw_reason(0)),
         "final_reason": F.when(needed, _canonical_reason()).otherwise(_raw_reason(1)),
         "canonical_status": F.when(needed, F.col("canonical_status")),
         "canonical_reason_code": F.when(needed, F.col("canonical_reason_code")),
-        "canonical": F.when(needed, canonical),
         # Only rows that reached the canonical step can go to a judge.
         "judge_allowed": needed & F.col("judge_allowed"),
     })

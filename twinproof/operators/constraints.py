@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinproof.functions import canonical as C
+from twinproof.functions.literals import lookup
 from twinproof.functions.text import escape_ntriples
 from twinproof.functions.verdicts import iso_date
 from twinproof.profile import SIDES, TRUST_FUND, Profile
@@ -74,14 +75,14 @@ def structure_triples(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
 def raw_triples(df: DataFrame, key: str = "pair_id", profile: Profile = TRUST_FUND) -> DataFrame:
     """Raw text literals of long evidence rows (null text is skipped)."""
     section = F.substring_index("field", ".", 1)
-    predicate = F.create_map(*[F.lit(x) for f in profile.fields for x in (f, predicate_of(f))])[F.col("field")]
+    predicate = lookup(F.col("field"), {f: predicate_of(f) for f in profile.fields})
     cells = F.array(*[
         F.when(F.col(f"{s}_raw").isNotNull(),
                _triple(F.concat(section, F.lit(f"_{s}")), predicate, F.col(f"{s}_raw"), "literal"))
         for s in SIDES
     ])
     return (
-        df.select(F.col(key).alias("graph_id"), F.explode(F.array_compact(cells)).alias("t"))
+        df.select(F.col(key).alias("graph_id"), F.explode(cells).alias("t")).filter(F.col("t").isNotNull())
         .select("graph_id", "t.*")
     )
 
@@ -97,7 +98,7 @@ def extraction_triples(extractions: DataFrame, key: str = "pair_id", column: str
             cells.append(F.when(raw.isNotNull(), _triple(f"{section}_{side}", predicate_of(path), raw, "literal")))
     return (
         extractions.select(F.col(key).alias("graph_id"),
-                           F.explode(F.array_compact(F.array(*_structure(), *cells))).alias("t"))
+                           F.explode(F.array(*_structure(), *cells)).alias("t")).filter(F.col("t").isNotNull())
         .select("graph_id", "t.*")
     )
 
@@ -127,7 +128,7 @@ def detailed_triples(df: DataFrame, key: str = "pair_id") -> DataFrame:
             cells.append(F.when(value.rlike(numeric), _triple(subject, predicate, value, "literal", "xsd:decimal")))
             cells.append(F.when(~value.rlike(numeric), _triple(subject, predicate, value, "literal")))
     return (
-        df.select(F.col(key).alias("graph_id"), F.explode(F.array_compact(F.array(*cells))).alias("t"))
+        df.select(F.col(key).alias("graph_id"), F.explode(F.array(*cells)).alias("t")).filter(F.col("t").isNotNull())
         .select("graph_id", "t.*")
     )
 
@@ -145,11 +146,11 @@ def infer_types(triples: DataFrame, profile: Profile = TRUST_FUND) -> DataFrame:
     One pass suffices: the vocabulary has no sub-classes or sub-properties.
     """
     dims = property_dim(triples.sparkSession, profile)
-    implied = triples.join(dims, "p").select("graph_id", F.explode(F.array_compact(F.array(
+    implied = triples.join(dims, "p").select("graph_id", F.explode(F.array(
         F.when(F.col("domain").isNotNull(), F.struct(F.col("s").alias("node"), F.col("domain").alias("cls"))),
         F.when(F.col("range").isNotNull() & (F.col("o_kind") == "iri"),
                F.struct(F.col("o").alias("node"), F.col("range").alias("cls"))),
-    ))).alias("t")).select("graph_id", "t.*")
+    )).alias("t")).filter(F.col("t").isNotNull()).select("graph_id", "t.*")
     stated = triples.filter(F.col("p") == RDF_TYPE).select("graph_id", F.col("s").alias("node"), F.col("o").alias("cls"))
     return implied.unionByName(stated).distinct()
 
@@ -205,13 +206,13 @@ def shape_violations(triples: DataFrame, infer: bool = True, profile: Profile =
     facts = node_facts(triples, infer, profile)
     hit = lambda cond, name: F.when(cond, F.lit(name))
     fund, fee = F.col("is_fund"), F.col("is_fee")
-    per_node = F.array_compact(F.array(
+    per_node = F.array(
         hit(fund & ((F.col("n_fund_name") < 1) | (F.col("bad_fund_name") > 0)), "fund_name_min"),
         *[hit(fund & (F.col(f"n_{link}") < 1), f"{link}_link") for link in LINKS.values()],
         hit(fund & (F.col("first_maturity") <= F.col("last_inception")), "maturity_order"),
         hit(fee & ((F.col("n_management_fee") < 1) | (F.col("bad_management_fee") > 0)), "management_fee_min"),
-    ))
-    nodes = facts.select("graph_id", F.col("node").alias("focus"), F.explode(per_node).alias("constraint"))
+    )
+    nodes = facts.select("graph_id", F.col("node").alias("focus"), F.explode(per_node).alias("constraint")).filter(F.col("constraint").isNotNull())
     # Target nodes are focus nodes even where the graph never mentions them.
     party = facts.groupBy("graph_id").agg(*[
         F.sum(F.when(F.col("node") == node, F.col(c)).otherwise(F.lit(0))).alias(f"{node}__{c}")
@@ -219,26 +220,25 @@ def shape_violations(triples: DataFrame, infer: bool = True, profile: Profile =
     ])
     bad = lambda node, p: (F.col(f"{node}__n_{p}") < 1) | (F.col(f"{node}__bad_{p}") > 0)
     on = lambda cond, node, name: F.when(cond, F.struct(F.lit(node).alias("focus"), F.lit(name).alias("constraint")))
-    targets = party.select("graph_id", F.explode(F.array_compact(F.array(
+    targets = party.select("graph_id", F.explode(F.array(
         on(bad("party_contract", "asset_manager"), "party_contract", "contract_asset_manager_min"),
         on(bad("party_contract", "trustee") | (F.col("party_contract__n_trustee") > 1),
            "party_contract", "contract_trustee_exactly_one"),
         on(bad("party_im", "asset_manager"), "party_im", "im_asset_manager_min"),
-    ))).alias("v")).select("graph_id", "v.*")
+    )).alias("v")).filter(F.col("v").isNotNull()).select("graph_id", "v.*")
     # Value rule: a filter over rows, no grouping.
     ranges = triples.filter(_is("management_fee")).withColumn("_pct", C.shape_percent(F.col("o"))).filter(
         (F.col("_pct") < 0.0) | (F.col("_pct") > 5.0)
     ).select("graph_id", F.col("s").alias("focus"), F.lit("management_fee_range").alias("constraint"))
     out = nodes.unionByName(targets).unionByName(ranges)
     out = out.unionByName(link_class_violations(triples, infer, profile))
-    message = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])[F.col("constraint")]
-    return out.withColumn("message", message)
+    return out.withColumn("message", lookup(F.col("constraint"), MESSAGES))
 
 
 def link_class_violations(triples: DataFrame, infer: bool = True, profile: Profile = TRUST_FUND) -> DataFrame:
     """Link objects that do not have the linked class. Range inference makes this hold for nodes."""
     links = triples.filter(F.col("p").isin(*LINKS.values()))
-    wanted = F.create_map(*[F.lit(x) for s, link in LINKS.items() for x in (link, CLASSES[s])])[F.col("p")]
+    wanted = lookup(F.col("p"), {link: CLASSES[s] for s, link in LINKS.items()})
     links = links.select("graph_id", F.col("s").alias("focus"), F.col("o").alias("node"), "o_kind",
                          wanted.alias("cls"), F.concat(F.col("p"), F.lit("_link")).alias("constraint"))
     if infer:
@@ -273,8 +273,8 @@ def normalized_rules(triples: DataFrame, profile: Profile = TRUST_FUND) -> DataF
     rows = triples.filter(F.col("p").endswith("_normalized_value"))
     leaf = F.regexp_replace("p", "_normalized_value$", "")
     limits = {f.split(".", 1)[1]: profile.policy(f) for f in profile.guard_range_fields}
-    lo = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v.range_min)])[leaf]
-    hi = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v.range_max)])[leaf]
+    lo = lookup(leaf, {k: v.range_min for k, v in limits.items()})
+    hi = lookup(leaf, {k: v.range_max for k, v in limits.items()})
     number = value.try_cast("double")
     # A value that is no number breaks the range too.
     fees = rows.filter(F.col("s").startswith("fee_schedule_") & lo.isNotNull()

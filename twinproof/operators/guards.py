@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinproof.functions import canonical as C
+from twinproof.functions.literals import gather, lookup
 from twinproof.operators.evidence import nullify, validate_extractions
 from twinproof.profile import SIDES, TRUST_FUND, Profile
 
@@ -53,6 +54,10 @@ def _meta(**items: Column) -> Column:
     return F.create_map(*[x for k, v in items.items() for x in (F.lit(k), v.cast("string"))])
 
 
+def _when_set(code: Column, value: Column) -> Column:
+    return F.when(code.isNotNull(), F.array(value)).otherwise(F.expr(f"CAST(array() AS array<{EVENT}>)"))
+
+
 # --- format ---------------------------------------------------------------------------------
 
 
@@ -131,7 +136,7 @@ def _citation_event(side: str, profile: Profile) -> Column:
     meta = F.when(
         mismatch, _meta(expected=F.lit(profile.documents[side]), actual=doc, side=F.lit(side))
     ).otherwise(_meta(page=page, max_page=pages, side=F.lit(side)))
-    return F.when(code.isNotNull(), event(
+    return _when_set(code, event(
         "G2", F.concat(F.col("field"), F.lit(f".{side}")),
         F.when(_rejected(code), F.lit("reject")).otherwise(F.lit("pass")), code, reason, meta))
 
@@ -157,8 +162,7 @@ def check_citations(df: DataFrame, profile: Profile = TRUST_FUND) -> DataFrame:
 
 
 def _range_dims(profile: Profile, bound: str) -> Column:
-    pairs = [(f, getattr(profile.policy(f), bound)) for f in profile.guard_range_fields]
-    return F.create_map(*[F.lit(x) for p in pairs for x in p])[F.col("field")]
+    return lookup(F.col("field"), {f: getattr(profile.policy(f), bound) for f in profile.guard_range_fields})
 
 
 def check_constraints(df: DataFrame, profile: Profile = TRUST_FUND) -> DataFrame:
@@ -230,7 +234,7 @@ def _range_event(side: str) -> Column:
         .when(code == "percent_in_range", _meta(value_pct=pct))
         .otherwise(_meta(date=date))
     )
-    return F.when(code.isNotNull(), event(
+    return _when_set(code, event(
         "G3", F.concat(F.col("field"), F.lit(f".{side}")),
         F.when(code == "percent_range", F.lit("reject")).otherwise(F.lit("pass")), code, reason, meta))
 
@@ -242,28 +246,30 @@ def _order_event(side: str) -> Column:
                       F.when(bad, F.lit(" ≤ inception=")).otherwise(F.lit(" > inception=")), earlier)
     meta = F.when(bad, _meta(inception=earlier, maturity=later, side=F.lit(side))).otherwise(
         _meta(inception=earlier, maturity=later))
-    return F.when(code.isNotNull(), event(
+    return _when_set(code, event(
         "G3", F.concat(F.col("field"), F.lit(f".{side}")),
         F.when(bad, F.lit("reject")).otherwise(F.lit("pass")), code, reason, meta))
 
 
 def apply_guards(df: DataFrame, options: GuardOptions = GuardOptions(),
-                 profile: Profile = TRUST_FUND) -> DataFrame:
+                 profile: Profile = TRUST_FUND, with_events: bool = True) -> DataFrame:
     """Citation then constraint guards over long evidence rows.
 
     Adds ``guard_events``, ``guard_rejections`` (``G2:page_out_of_range`` ...) and
     ``guard_caught``. Cells emptied by the citation guard are invisible to the next one.
+    Callers that only score leave the events out (``with_events=False``).
     """
     out, events, rejections = df, [], []
     if options.citation:
         out = check_citations(out, profile)
-        events += [_citation_event(s, profile) for s in SIDES]
+        events += [_citation_event(s, profile) for s in SIDES] if with_events else []
         rejections += [
             F.when(_rejected(F.col(f"_g2_{s}")), F.concat(F.lit("G2:"), F.col(f"_g2_{s}"))) for s in SIDES
         ]
     if options.constraint:
         out = check_constraints(out, profile)
-        events += [_range_event(s) for s in SIDES] + [_order_event(s) for s in SIDES]
+        if with_events:
+            events += [_range_event(s) for s in SIDES] + [_order_event(s) for s in SIDES]
         rejections += [F.when(F.col(f"_g3a_{s}") == "percent_range", F.lit("G3:percent_range")) for s in SIDES]
         rejections += [
             F.when(F.col(f"_g3c_{s}") == "maturity_not_after_inception",
@@ -277,12 +283,13 @@ def apply_guards(df: DataFrame, options: GuardOptions = GuardOptions(),
             "guard_events": empty.cast(f"array<{EVENT}>"),
             "guard_rejections": empty.cast("array<string>"), "guard_caught": F.lit(False),
         })
-    caught = F.coalesce(*[F.when(r.isNotNull(), F.lit(True)) for r in rejections], F.lit(False))
-    return out.withColumns({
-        "guard_events": F.array_compact(F.array(*events)).cast(f"array<{EVENT}>"),
-        "guard_rejections": F.array_compact(F.array(*rejections)),
-        "guard_caught": caught,
-    }).drop(*inner)
+    added = {
+        "guard_rejections": gather(rejections, "string"),
+        "guard_caught": F.coalesce(*rejections).isNotNull(),
+    }
+    if with_events:
+        added["guard_events"] = F.concat(*events).cast(f"array<{EVENT}>")
+    return out.withColumns(added).drop(*inner)
 
 
 def with_pages(df: DataFrame, contract_pages: int, im_pages: int) -> DataFrame:
@@ -299,7 +306,9 @@ def attach_pages(df: DataFrame, documents: DataFrame, key: str = "pair_id") -> D
 
 
 def explode_events(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys, F.explode("guard_events").alias("_e")).select(*keys, "_e.*")
+    # The outer variant keeps the optimizer from evaluating the array twice for a size filter.
+    rows = df.select(*keys, F.explode_outer("guard_events").alias("_e")).filter(F.col("_e").isNotNull())
+    return rows.select(*keys, "_e.*")
 
 
 def parent_field(path: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from twinproof.functions import canonical as C
 from twinproof.functions.canonical import date_text, shift_left
+from twinproof.functions.literals import lookup
 from twinproof.operators.compare import compare_values, with_policy
 from twinproof.profile import TRUST_FUND, Profile
 
@@ -143,7 +144,7 @@ def mutate(df: DataFrame) -> DataFrame:
                                           "semantic_equivalent"), F.lit("match"))
         .otherwise(F.lit("mismatch"))
     )
-    trait = lambda i: F.create_map(*[F.lit(x) for k, v in TRAITS.items() for x in (k, v[i])])[F.col("mutation_type")]
+    trait = lambda i: lookup(F.col("mutation_type"), {k: v[i] for k, v in TRAITS.items()})
     return staged.select(
         F.col("case_key").alias("case_id"), "field", gold.alias("gold_label"), "mutation_type",
         trait(0).alias("difficulty"), trait(1).alias("harness_signal"), "contract_raw",

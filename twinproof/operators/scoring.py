@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinproof.functions import verdicts as V
+from twinproof.functions.literals import lookup
 
 # Efficiency index constants, in minutes.
 T_MANUAL_MIN, T_AI_MIN, T_REVIEW_MIN = 180.0, 2.5, 2.0
@@ -127,9 +128,7 @@ DIFFICULTY_RANK = {"easy": 0, "medium": 1, "hard": 2}
 
 
 def rank_of(column: Column, ranks: dict[str, int], default: int = 99) -> Column:
-    return F.coalesce(
-        F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[column], F.lit(default)
-    )
+    return F.coalesce(lookup(column, ranks), F.lit(default))
 
 
 def compare_modes(scored: DataFrame) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinproof.session import configure
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -18,7 +21,12 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or fn.__name__
         if key in QUERIES:
             raise ValueError(f"duplicate query {key}")
-        QUERIES[key] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(configure(spark), sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLE[key] = sql
         return fn

@@ -7,11 +7,9 @@ operators under test are not part of them. One scan per table, no join, no shuff
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from twinproof.operators.evidence import CITATION, DOCUMENT_VALUE
 from twinproof.operators.mutate import mutate
 from twinproof.profile import SIDES, TRUST_FUND
+from twinproof.session import spread
 
 CONTRACT_PAGES, IM_PAGES = 22, 32
 
@@ -22,8 +20,14 @@ DIALECTS = {
 }
 
 
+# Unique keys, used to spread small files over the cores.
+KEYS = {"lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "orders": ("o_orderkey",),
+        "events": ("event_id",), "documents": ("doc_id",)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, *KEYS[name]) if name in KEYS else df
 
 
 def text(expr: str) -> str:
@@ -212,30 +216,28 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     raws = {n: e for n, e in columns.items() if n.startswith(("contract_raw", "im_raw"))}
     wide = base.selectExpr("*", *[f"{e} AS {n}" for n, e in raws.items()])
 
-    def cell(path: str, i: int, side: str):
-        raw = F.col(_wide_name(path, f"{side}_raw"))
-        digit = lambda j: F.expr(nib(j))
-        if side == "contract":
-            page, doc = digit(14 + i) + 1, F.lit("신탁계약서")
-        else:
-            page = F.when(digit(15 + i) == 15, F.lit(999)).otherwise(digit(15 + i) + 1)
-            doc = F.when(digit(16 + i) == 14, F.lit("신탁계약서")).otherwise(F.lit("IM"))
-        none = F.lit(None).cast("string")
-        citation = F.when(raw.isNotNull(), F.struct(doc.alias("document"), page.cast("int").alias("page")))
-        return F.struct(none.alias("value"), none.alias("unit"), raw.alias("raw_text"),
-                        citation.cast(CITATION).alias("citation")).cast(DOCUMENT_VALUE)
-
     order = {path: i for i, path in enumerate(TRUST_FUND.fields, start=1)}
-    sections = [
-        F.struct(*[
-            F.struct(*[cell(f"{s}.{x}", order[f"{s}.{x}"], side).alias(side) for side in SIDES]).alias(x)
-            for x in leaves
-        ]).alias(s)
-        for s, leaves in TRUST_FUND.sections.items()
-    ]
-    return wide.select(
-        "pair_id", "run_id", F.lit(CONTRACT_PAGES).alias("contract_pages"), F.lit(IM_PAGES).alias("im_pages"),
-        F.struct(F.lit("v0").alias("schema_version"), *sections).alias("extraction"))
+
+    def cell(path: str, side: str) -> str:
+        raw, i = _wide_name(path, f"{side}_raw"), order[path]
+        page, doc = f"1 + {nib(14 + i)}", "'신탁계약서'"
+        if side == "im":
+            page = f"CASE WHEN {nib(15 + i)} = 15 THEN 999 ELSE 1 + {nib(15 + i)} END"
+            doc = f"CASE WHEN {nib(16 + i)} = 14 THEN '신탁계약서' ELSE 'IM' END"
+        citation = f"CASE WHEN {raw} IS NOT NULL THEN named_struct('document', {doc}, 'page', CAST({page} AS INT)) END"
+        none = "CAST(NULL AS STRING)"
+        return f"named_struct('value', {none}, 'unit', {none}, 'raw_text', {raw}, 'citation', {citation})"
+
+    def section(name: str, leaves: tuple[str, ...]) -> str:
+        fields = ", ".join(
+            f"'{x}', named_struct(" + ", ".join(f"'{side}', {cell(f'{name}.{x}', side)}" for side in SIDES) + ")"
+            for x in leaves)
+        return f"'{name}', named_struct({fields})"
+
+    body = ", ".join(section(s, leaves) for s, leaves in TRUST_FUND.sections.items())
+    return wide.selectExpr(
+        "pair_id", "run_id", f"{CONTRACT_PAGES} AS contract_pages", f"{IM_PAGES} AS im_pages",
+        f"named_struct('schema_version', 'v0', {body}) AS extraction")
 
 
 def pairs_sql() -> str:

@@ -21,11 +21,35 @@ def get_spark(app: str = "twinproof", cores: str = "*", **conf: str) -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Session settings the wide projections need.
+
+    The JVM leaves methods above 8000 bytecodes interpreted. With this limit Spark compiles
+    such a stage as split, JIT-friendly projections instead of one huge method.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") != "8000":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input with too few splits (a single small file, say).
+
+    A scan that already has at least one split per core passes through untouched, which is
+    the case for any large table; ``keys`` should be unique so that no partition is hot.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
