@@ -181,13 +181,15 @@ def node_facts(triples: DataFrame, infer: bool = True, profile: Profile = TRUST_
     fee_props = [predicate_of(f) for f in profile.fields if f.startswith("fee_schedule.")]
     inferred_fund = F.col("p").isin(*fund_props) if infer else F.lit(False)
     inferred_fee = F.col("p").isin(*fee_props) if infer else F.lit(False)
-    subject = triples.select("graph_id", F.col("s").alias("node"), "p", "o", "o_kind", "o_datatype")
+    # A link also tells the class of its object: one explode covers both ends in a single scan.
+    own = F.struct(F.col("s").alias("node"), "p", "o", "o_kind", "o_datatype")
+    both = F.array(own)
     if infer:
-        # Objects of a link are nodes of the link's range.
-        objects = triples.filter((F.col("o_kind") == "iri") & (F.col("p") == "has_fee_schedule")).select(
-            "graph_id", F.col("o").alias("node"), F.lit(RDF_TYPE).alias("p"), F.lit("FeeSchedule").alias("o"),
-            F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"))
-        subject = subject.unionByName(objects)
+        target = (F.col("o_kind") == "iri") & (F.col("p") == "has_fee_schedule")
+        both = F.array(own, F.when(target, F.struct(
+            F.col("o").alias("node"), F.lit(RDF_TYPE).alias("p"), F.lit("FeeSchedule").alias("o"),
+            F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"))))
+    subject = triples.select("graph_id", F.explode(both).alias("t")).filter(F.col("t").isNotNull()).select("graph_id", "t.*")
     is_type = _is(RDF_TYPE)
     count = lambda p: F.count_if(_is(p)).alias(f"n_{p}")
     typed = lambda p: F.count_if(_is(p) & ~strings).alias(f"bad_{p}")
@@ -196,42 +198,62 @@ def node_facts(triples: DataFrame, infer: bool = True, profile: Profile = TRUST_
         F.max(F.coalesce((is_type & (F.col("o") == "Fund")) | inferred_fund, F.lit(False))).alias("is_fund"),
         F.max(F.coalesce((is_type & (F.col("o") == "FeeSchedule")) | inferred_fee, F.lit(False))).alias("is_fee"),
         *[count(p) for p in singles], *[typed(p) for p in singles], *[count(p) for p in LINKS.values()],
+        *[F.count_if(_is(p) & (F.col("o_kind") != "iri")).alias(f"bad_{p}") for p in LINKS.values()],
+        F.count_if(when(_is("management_fee"), C.shape_percent(F.col("o"))) < 0.0).alias("n_low_fee"),
+        F.count_if(when(_is("management_fee"), C.shape_percent(F.col("o"))) > 5.0).alias("n_high_fee"),
         F.max(when(_is("inception_date"), order_number(F.col("o")))).alias("last_inception"),
         F.min(when(_is("maturity_date"), order_number(F.col("o")))).alias("first_maturity"),
     )
 
 
-def shape_violations(triples: DataFrame, infer: bool = True, profile: Profile = TRUST_FUND) -> DataFrame:
-    """Violations ``graph_id, focus, constraint, message``; no row for a conforming graph."""
-    facts = node_facts(triples, infer, profile)
+def _node_rules(infer: bool) -> list[Column]:
+    """Names of the rules a node's facts break (null where a rule holds)."""
     hit = lambda cond, name: F.when(cond, F.lit(name))
     fund, fee = F.col("is_fund"), F.col("is_fee")
-    per_node = F.array(
+    # Range inference gives link objects their class; only a literal object can break it.
+    broken = lambda link: (F.col(f"n_{link}") < 1) | (F.col(f"bad_{link}") > 0) if infer else F.col(f"n_{link}") < 1
+    return [
         hit(fund & ((F.col("n_fund_name") < 1) | (F.col("bad_fund_name") > 0)), "fund_name_min"),
-        *[hit(fund & (F.col(f"n_{link}") < 1), f"{link}_link") for link in LINKS.values()],
+        *[hit(fund & broken(link), f"{link}_link") for link in LINKS.values()],
         hit(fund & (F.col("first_maturity") <= F.col("last_inception")), "maturity_order"),
         hit(fee & ((F.col("n_management_fee") < 1) | (F.col("bad_management_fee") > 0)), "management_fee_min"),
-    )
-    nodes = facts.select("graph_id", F.col("node").alias("focus"), F.explode(per_node).alias("constraint")).filter(F.col("constraint").isNotNull())
-    # Target nodes are focus nodes even where the graph never mentions them.
-    party = facts.groupBy("graph_id").agg(*[
+        hit((F.col("n_low_fee") > 0) | (F.col("n_high_fee") > 0), "management_fee_range"),
+    ]
+
+
+_TARGETS = ("party_contract", "party_im")
+
+
+def _target_counts() -> list[Column]:
+    return [
         F.sum(F.when(F.col("node") == node, F.col(c)).otherwise(F.lit(0))).alias(f"{node}__{c}")
-        for node in ("party_contract", "party_im") for c in ("n_asset_manager", "bad_asset_manager", "n_trustee", "bad_trustee")
-    ])
+        for node in _TARGETS for c in ("n_asset_manager", "bad_asset_manager", "n_trustee", "bad_trustee")
+    ]
+
+
+def _target_rules() -> list[Column]:
+    """Rules of the fixed target nodes, which apply even where a graph never mentions them."""
     bad = lambda node, p: (F.col(f"{node}__n_{p}") < 1) | (F.col(f"{node}__bad_{p}") > 0)
     on = lambda cond, node, name: F.when(cond, F.struct(F.lit(node).alias("focus"), F.lit(name).alias("constraint")))
-    targets = party.select("graph_id", F.explode(F.array(
+    return [
         on(bad("party_contract", "asset_manager"), "party_contract", "contract_asset_manager_min"),
         on(bad("party_contract", "trustee") | (F.col("party_contract__n_trustee") > 1),
            "party_contract", "contract_trustee_exactly_one"),
         on(bad("party_im", "asset_manager"), "party_im", "im_asset_manager_min"),
-    )).alias("v")).filter(F.col("v").isNotNull()).select("graph_id", "v.*")
-    # Value rule: a filter over rows, no grouping.
-    ranges = triples.filter(_is("management_fee")).withColumn("_pct", C.shape_percent(F.col("o"))).filter(
-        (F.col("_pct") < 0.0) | (F.col("_pct") > 5.0)
-    ).select("graph_id", F.col("s").alias("focus"), F.lit("management_fee_range").alias("constraint"))
-    out = nodes.unionByName(targets).unionByName(ranges)
-    out = out.unionByName(link_class_violations(triples, infer, profile))
+    ]
+
+
+def shape_violations(triples: DataFrame, infer: bool = True, profile: Profile = TRUST_FUND) -> DataFrame:
+    """Violations ``graph_id, focus, constraint, message``; no row for a conforming graph."""
+    facts = node_facts(triples, infer, profile)
+    nodes = facts.select(
+        "graph_id", F.col("node").alias("focus"), F.explode(F.array(*_node_rules(infer))).alias("constraint")
+    ).filter(F.col("constraint").isNotNull())
+    targets = facts.groupBy("graph_id").agg(*_target_counts()).select(
+        "graph_id", F.explode(F.array(*_target_rules())).alias("v")).filter(F.col("v").isNotNull()).select("graph_id", "v.*")
+    out = nodes.unionByName(targets)
+    if not infer:
+        out = out.unionByName(link_class_violations(triples, infer, profile))
     return out.withColumn("message", lookup(F.col("constraint"), MESSAGES))
 
 
@@ -249,12 +271,14 @@ def link_class_violations(triples: DataFrame, infer: bool = True, profile: Profi
     return bad.select("graph_id", "focus", "constraint")
 
 
-def conformance(triples: DataFrame, violations: DataFrame) -> DataFrame:
-    """``graph_id, n_violations, conforms`` for every graph."""
-    tagged = triples.select("graph_id", F.lit(0).alias("v")).unionByName(
-        violations.select("graph_id", F.lit(1).alias("v")))
-    return tagged.groupBy("graph_id").agg(F.sum("v").alias("n_violations")).withColumn(
-        "conforms", F.col("n_violations") == 0)
+def conformance(triples: DataFrame, profile: Profile = TRUST_FUND) -> DataFrame:
+    """``graph_id, n_violations, conforms`` for every graph, from one scan of the triples."""
+    facts = node_facts(triples, True, profile)
+    as_count = lambda rules: sum((F.when(r.isNotNull(), 1).otherwise(0) for r in rules), F.lit(0))
+    graphs = facts.withColumn("_n", as_count(_node_rules(True))).groupBy("graph_id").agg(
+        F.sum("_n").alias("_nodes"), *_target_counts())
+    total = F.col("_nodes") + as_count(_target_rules())
+    return graphs.select("graph_id", total.alias("n_violations"), (total == 0).alias("conforms"))
 
 
 def shape_event(conforming: DataFrame) -> DataFrame:

@@ -124,9 +124,7 @@ def shape_violations_unguarded(spark, sf_dir):
 @query(f"WITH {_GD}, v AS ({_VIOL}), g AS (SELECT DISTINCT pair_id AS graph_id FROM ev), c AS (SELECT graph_id, count(v.focus) AS n_violations FROM g LEFT JOIN v USING (graph_id) GROUP BY 1) "
        "SELECT graph_id, n_violations, n_violations = 0 AS conforms, CASE WHEN n_violations = 0 THEN 'shacl_conforms' ELSE 'shacl_violation' END AS reason_code FROM c")
 def graph_conformance(spark, sf_dir):
-    triples = _graph(spark, sf_dir)
-    conforming = K.conformance(triples, K.shape_violations(triples))
-    return conforming.withColumn("reason_code", F.when(F.col("conforms"), F.lit("shacl_conforms")).otherwise(F.lit("shacl_violation")))
+    return K.conformance(_graph(spark, sf_dir)).withColumn("reason_code", F.when(F.col("conforms"), F.lit("shacl_conforms")).otherwise(F.lit("shacl_violation")))
 
 
 @query(f"WITH {_EV} SELECT graph_id, 'fund_' || side AS focus, 'has_party_link' AS \"constraint\" FROM (SELECT pair_id AS graph_id, unnest(['contract', 'im']) AS side FROM (SELECT DISTINCT pair_id FROM ev)) "

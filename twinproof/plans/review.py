@@ -55,8 +55,7 @@ def audit(guarded: DataFrame, key: str, profile: Profile = TRUST_FUND) -> tuple[
     """(violations, conformance) of the guarded evidence as a graph."""
     triples = constraints.raw_triples(guarded, key, profile).unionByName(
         constraints.structure_triples(guarded.filter(F.col("field") == profile.fields[0]), key))
-    violations = constraints.shape_violations(triples, profile=profile)
-    return violations, constraints.conformance(triples, violations)
+    return constraints.shape_violations(triples, profile=profile), constraints.conformance(triples, profile)
 
 
 def run_mode(extractions: DataFrame, mode: str, profile: Profile = TRUST_FUND) -> DataFrame:
