@@ -68,8 +68,12 @@ def strip_closed_fence(text: Column) -> Column:
 
 def is_json_object(text: Column) -> Column:
     """True when the text parses as one JSON object (arrays, scalars and junk are not)."""
-    parsed = F.try_parse_json(text)
-    return F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    # The parser ignores what follows a complete value, so the text is parsed as the first
+    # element of an array whose second element must then still be reached.
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "\u241e"]')))
+    is_object = F.schema_of_variant(F.try_variant_get(parsed, "$[0]", "variant")).startswith("OBJECT")
+    closed = F.try_variant_get(parsed, "$[1]", "string") == "\u241e"
+    return F.coalesce(is_object & closed, F.lit(False))
 
 
 def escape_literal(text: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from twinproof.functions import verdicts as V
 from twinproof.functions.text import is_blank, is_json_object, strip_closed_fence
 from twinproof.profile import TRUST_FUND, Profile
+from twinproof.session import late_filter
 
 RESPONSE = "response_text string, error string, input_tokens bigint, output_tokens bigint, latency_ms bigint"
 
@@ -26,8 +27,8 @@ def needs_judge() -> Column:
 
 def judge_inputs(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows still in review with text on both sides, and only what a judge may see."""
-    rows = df.filter(
-        needs_judge() & (F.col("final_status") == "needs_review")
+    rows = late_filter(
+        df, needs_judge() & (F.col("final_status") == "needs_review")
         & F.col("contract_raw").isNotNull() & F.col("im_raw").isNotNull())
     extra = [c for c in keys if c != "field"]
     return rows.select(*extra, "field", "label", F.col("contract_raw").alias("contract_raw_text"),
@@ -48,9 +49,10 @@ def judge_requests(df: DataFrame, keys: list[str], profile: Profile = TRUST_FUND
 
     Maturity requests also carry the same-side reference texts.
     """
-    rows = df.filter((F.col("final_status") == "needs_review") & F.coalesce(F.col("judge_allowed"), F.lit(False)))
+    wanted = (F.col("final_status") == "needs_review") & F.coalesce(F.col("judge_allowed"), F.lit(False))
     if "effective_status" in df.columns:
-        rows = rows.filter(F.col("requires_human_review"))
+        wanted = wanted & F.col("requires_human_review")
+    rows = late_filter(df, wanted)
     rows = rows.withColumns({
         "route": route(profile), "contract_raw_text": F.col("contract_raw"), "im_raw_text": F.col("im_raw"),
     })

@@ -14,6 +14,7 @@ from twinproof.functions.canonical import date_text, shift_left
 from twinproof.functions.literals import lookup
 from twinproof.operators.compare import compare_values, with_policy
 from twinproof.profile import TRUST_FUND, Profile
+from twinproof.session import late_filter
 
 # Mutations per value family; the key's hash picks one. "x/y" is mutation x in flavour y.
 FAMILIES = {
@@ -187,7 +188,7 @@ def label_contradictions(cases: DataFrame, inception: str, target: str, profile:
         .when((gold == "match") & (F.col("_verdict") == "different_after_normalization"), F.lit("match_but_different"))
         .when((gold == "mismatch") & (F.col("_verdict") == "same_after_normalization"), F.lit("mismatch_but_same"))
     )
-    return rows.withColumn("problem", problem).filter(F.col("problem").isNotNull()).select(
+    return late_filter(rows.withColumn("problem", problem), F.col("problem").isNotNull()).select(
         "case_id", "field", "gold_label", "mutation_type", "problem")
 
 

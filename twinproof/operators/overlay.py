@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinproof.functions import verdicts as V
 from twinproof.functions.text import alias_key, clip, series_numbers
 from twinproof.profile import TRUST_FUND, Profile
+from twinproof.session import late_filter
 
 
 # --- aliases ------------------------------------------------------------------------------------
@@ -37,8 +38,8 @@ def match_aliases(df: DataFrame, aliases: DataFrame, profile: Profile = TRUST_FU
         F.col("field").isin(*profile.alias_fields) & (left != "") & (right != ""), F.lit(False))
     approved = aliases.filter(F.col("status") == "approved").select(
         "field", "left_norm", "right_norm").distinct().withColumn("_hit", F.lit(True))
-    rest = df.filter(~eligible).withColumn("alias_match", F.lit(False))
-    hits = with_alias_pair(df.filter(eligible)).join(
+    rest = late_filter(df, ~eligible).withColumn("alias_match", F.lit(False))
+    hits = with_alias_pair(late_filter(df, eligible)).join(
         approved, ["field", "left_norm", "right_norm"], "left")
     hits = hits.withColumn("alias_match", F.coalesce(F.col("_hit"), F.lit(False))).drop(
         "_hit", "left_norm", "right_norm")

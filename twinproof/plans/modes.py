@@ -31,11 +31,20 @@ def evaluate(cases: DataFrame, mode: str, contract_pages: int, im_pages: int,
     return compare.cross_check_raw(rows)
 
 
+def one_per_case(table: DataFrame, *columns: str) -> DataFrame:
+    """At most one row per case, so that an overlay can never multiply cases.
+
+    It shares its shuffle on ``case_id`` with the join that follows.
+    """
+    row = F.max(F.struct(*columns)).alias("_r")
+    return table.groupBy("case_id").agg(row).select("case_id", *[F.col("_r")[c].alias(c) for c in columns])
+
+
 def evaluate_with_judge(cases: DataFrame, judged: DataFrame, contract_pages: int, im_pages: int,
                         profile: Profile = TRUST_FUND) -> DataFrame:
     """Policy mode plus resolved verdicts ``judged(case_id, judged)`` for the rows in review."""
     rows = evaluate(cases, "ontology_policy", contract_pages, im_pages, profile)
-    joined = rows.join(judged.select("case_id", "judged"), "case_id", "left")
+    joined = rows.join(one_per_case(judged, "judged"), "case_id", "left")
     usable = F.when(F.col("judge_allowed"), F.col("judged"))
     settled = (F.col("final_status") == "needs_review") & usable.isNotNull()
     return joined.withColumns({
@@ -48,8 +57,9 @@ def evaluate_full(cases: DataFrame, normalized: DataFrame, judged: DataFrame, co
                   im_pages: int, profile: Profile = TRUST_FUND) -> DataFrame:
     """Guards, raw check, normalization overlay, then verdicts for what is still in review."""
     rows = evaluate(cases, "guard", contract_pages, im_pages, profile)
+    normalized = one_per_case(normalized, "normalization_status", "reason_code", "reason")
     rows = compare.apply_normalization(rows, normalized, ["case_id"])
-    rows = rows.join(judged.select("case_id", "judged"), "case_id", "left")
+    rows = rows.join(one_per_case(judged, "judged"), "case_id", "left")
     return rows.withColumns({
         "final_status": V.resolve_review(F.col("final_status"), F.col("judged")),
         "final_reason_code": F.lit("harness_norm_judge"),
@@ -58,7 +68,7 @@ def evaluate_full(cases: DataFrame, normalized: DataFrame, judged: DataFrame, co
 
 def evaluate_baseline(cases: DataFrame, answers: DataFrame) -> DataFrame:
     """Stand-alone verdicts ``answers(case_id, response_text)`` without guards or policies."""
-    rows = cases.join(answers.select("case_id", "response_text"), "case_id", "inner")
+    rows = cases.join(one_per_case(answers, "response_text"), "case_id", "inner")
     verdict = V.parse_verdict(F.col("response_text"))
     return rows.withColumns({
         "verdict": verdict,

@@ -14,6 +14,7 @@ from twinproof.plans import oracle as O
 from twinproof.plans import workload as L
 from twinproof.plans.registry import query, round_all, rounded
 from twinproof.profile import SIDES, TRUST_FUND
+from twinproof.session import late_filter
 
 PAGES = (L.CONTRACT_PAGES, L.IM_PAGES)
 METRICS = ("accuracy", "precision", "recall", "f1", "f2", "efficiency_index_pct", "hallucination_rate", "review_rate")
@@ -360,8 +361,8 @@ def citation_guard(spark, sf_dir):
 def constraint_guard(spark, sf_dir):
     rows = guards.check_constraints(pair_rows(spark, sf_dir))
     codes = ["g3a_contract", "g3a_im", "g3c_contract", "g3c_im"]
-    return rows.select("pair_id", "field", *[F.col(f"_{c}").alias(c) for c in codes], "contract_raw", "im_raw").filter(
-        F.coalesce(*codes).isNotNull())
+    return rows.select("pair_id", "field", *[F.col(f"_{c}").alias(c) for c in codes], "contract_raw", "im_raw").transform(
+        lambda d: late_filter(d, F.coalesce(*codes).isNotNull()))
 
 
 _EVENTS = "SELECT pair_id, guard, field_path, code, decision FROM (" + " UNION ALL ".join(
@@ -402,7 +403,7 @@ def events_of_fields(spark, sf_dir):
 @query(f"WITH {_PAIRS}, {O.guard_cte()} SELECT pair_id, field, contract_raw, im_raw, contract_page, im_page FROM guarded WHERE guard_caught")
 def emptied_cells(spark, sf_dir):
     """Rows whose rejected side was emptied (value, citation and all)."""
-    return guarded_pairs(spark, sf_dir).filter("guard_caught").select(
+    return late_filter(guarded_pairs(spark, sf_dir), F.col("guard_caught")).select(
         "pair_id", "field", "contract_raw", "im_raw", "contract_page", "im_page")
 
 

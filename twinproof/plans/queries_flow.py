@@ -565,17 +565,16 @@ def extraction_json_scan(spark, sf_dir):
     """Extraction JSON lines under run folders; the folder names the run."""
     path = shared_dir(spark, "extractions")
     L.extractions(spark, sf_dir).select("run_id", "extraction.*").write.partitionBy("run_id").json(path)
-    out = ST.read_extractions(spark, f"{path}/*/*.json") if False else spark.read.schema(evidence.extraction_schema()).json(f"{path}/*/*.json").select(
-        F.regexp_extract("_metadata.file_path", r"run_id=([^/]+)/[^/]+$", 1).alias("run_id"), "fund")
+    out = ST.read_extractions(spark, f"{path}/*/*.json", multi_line=False)
     return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_id").alias("n_runs"))
 
 
-@query("WITH w AS (SELECT event_type AS tier, CAST(day(ts) AS INT) AS rep, round(avg(value), 4) AS f1, count(*) AS tp FROM events GROUP BY 1, 2) SELECT tier, rep, 'f1' AS metric, f1 AS value FROM w UNION ALL SELECT tier, rep, 'tp', CAST(tp AS DOUBLE) FROM w")
+@query("WITH w AS (SELECT event_type AS tier, CAST(day(ts) AS INT) AS rep, max(value) AS f1, count(*) AS tp FROM events GROUP BY 1, 2) SELECT tier, rep, 'f1' AS metric, f1 AS value FROM w UNION ALL SELECT tier, rep, 'tp', CAST(tp AS DOUBLE) FROM w")
 def rep_metrics(spark, sf_dir):
     """Rep reports unpivoted to long metrics."""
     e = L.table(spark, sf_dir, "events")
     wide = e.groupBy(F.col("event_type").alias("tier"), F.dayofmonth("ts").alias("rep")).agg(
-        F.round(F.avg("value"), 4).alias("f1"), F.count(F.lit(1)).alias("tp"))
+        F.max("value").alias("f1"), F.count(F.lit(1)).alias("tp"))
     none = F.lit(None).cast("double")
     metrics = F.struct(*[(F.col("f1") if m == "f1" else none).alias(m) for m in ST.METRICS])
     counts = F.struct(*[(F.col("tp") if c == "tp" else none.cast("bigint")).alias(c) for c in ST.CONFUSION])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def late_filter(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on derived columns where they are computed.
+
+    A plain filter is pushed below every projection by substituting their expressions, which
+    re-runs the parsers inside the predicate (and makes it enormous). Going through a
+    generated marker keeps each expression evaluated once.
+    """
+    marked = df.withColumn("_keep", F.explode_outer(F.when(condition, F.array(F.lit(True)))))
+    return marked.filter(F.col("_keep").isNotNull()).drop("_keep")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 

@@ -62,9 +62,14 @@ def _from_path(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
-def read_extractions(spark: SparkSession, path: str, profile: Profile = TRUST_FUND) -> DataFrame:
-    """Extraction JSON files under run folders: ``run_id`` is the folder's name."""
-    nested = spark.read.schema(extraction_schema(profile)).option("multiLine", True).json(path)
+def read_extractions(spark: SparkSession, path: str, profile: Profile = TRUST_FUND,
+                     multi_line: bool = True) -> DataFrame:
+    """Extraction JSON files under run folders: ``run_id`` is the folder's name.
+
+    One pretty-printed document per file by default; JSON lines files (``multi_line=False``)
+    split and are the form to keep at scale.
+    """
+    nested = spark.read.schema(extraction_schema(profile)).option("multiLine", multi_line).json(path)
     body = F.struct(*[F.col(f.name) for f in extraction_schema(profile)])
     return nested.select(_from_path(r"([^/]+)/[^/]+$").alias("run_id"), body.alias("extraction"))
 
