@@ -50,8 +50,9 @@ def _shape_pattern(profile: Profile) -> str:
 
 
 def _key_problems(path: Column, keys: Column, expected: list[str]) -> Column:
+    # Below a missing parent there is nothing to report.
     want = F.array(*[F.lit(k) for k in expected])
-    have = F.coalesce(keys, F.array().cast("array<string>"))
+    have = F.coalesce(keys, want)
     unknown = F.transform(F.array_except(have, want), lambda k: F.concat(F.lit("unknown_key:"), path, k))
     missing = F.transform(F.array_except(want, have), lambda k: F.concat(F.lit("missing_key:"), path, k))
     return F.concat(unknown, missing)
@@ -78,7 +79,7 @@ def _structure_problems(text: Column, profile: Profile) -> Column:
     ])
 
     def of_section(e: Column) -> Column:
-        have = F.coalesce(e["keys"], F.array().cast("array<string>"))
+        have = F.coalesce(e["keys"], e["want"])
         return F.concat(
             F.transform(F.array_except(have, e["want"]), lambda k: F.concat(F.lit("unknown_key:"), e["path"], k)),
             F.transform(F.array_except(e["want"], have), lambda k: F.concat(F.lit("missing_key:"), e["path"], k)),
