@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_twinproof_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "twinproof-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*")):
+            if path.suffix in (".py", ".json"):
+                out.write(path, path.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
+    sc._twinproof_shipped = True
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on an input with too few splits (a single small file, say).
 
