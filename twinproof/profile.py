@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from importlib.resources import files
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,13 +94,13 @@ def _read(path: Path) -> dict:
 
 def load_field_policies(path: str | Path) -> dict[str, FieldPolicy]:
     """Policies keyed by field; the file is a mapping, or a profile with a ``policies`` list."""
-    raw = _read(Path(path))
+    raw = _read(Path(path) if isinstance(path, str) else path)
     items = raw["policies"] if "policies" in raw else [{"field": k, **v} for k, v in raw.items()]
     return {item["field"]: _policy(item) for item in items}
 
 
 def load_profile(path: str | Path) -> Profile:
-    path = Path(path)
+    path = Path(path) if isinstance(path, str) else path
     raw = _read(path)
     order = raw.get("order_rule", {})
     return Profile(
@@ -114,7 +115,7 @@ def load_profile(path: str | Path) -> Profile:
     )
 
 
-TRUST_FUND = load_profile(Path(__file__).parent / "profiles" / "trust_fund.json")
+TRUST_FUND = load_profile(files("twinproof") / "profiles" / "trust_fund.json")  # also from a shipped archive
 
 
 def policy_dim(spark: SparkSession, profile: Profile = TRUST_FUND) -> DataFrame:
