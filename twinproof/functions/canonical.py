@@ -96,7 +96,7 @@ def _code(probe: Column) -> Column:
 
 
 def _rest(probe: Column) -> Column:
-    return F.substring(probe, 3, 1_000_000_000)
+    return F.substr(probe, F.lit(3))
 
 
 def _any_word(text: Column, words: tuple[str, ...]) -> Column:

@@ -96,25 +96,9 @@ def normal_two_sided_p(z: Column) -> Column:
     return erfc(F.abs(z) / F.sqrt(F.lit(2.0)))
 
 
-def exact_binomial_p(b: Column, c: Column) -> Column:
-    """min(1, 2 P(X <= min(b, c))) for X ~ Bin(b + c, 1/2), as one fold over 0..min."""
-    n = (b + c).cast("double")
-    k = F.least(b, c).cast("int")
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    steps = F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-
-    def step(acc, i):
-        term = acc["term"] * (n - i + 1) / i
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    total = F.aggregate(steps, start, step, lambda acc: acc["total"])
-    p = F.least(F.lit(1.0), F.lit(2.0) * total * F.pow(F.lit(0.5), n))
-    return F.when(b == c, F.lit(1.0)).otherwise(p)
-
-
 @F.pandas_udf(DoubleType())
-def exact_binomial_p_any(b: pd.Series, c: pd.Series) -> pd.Series:
-    """Same tail for counts too large for the fold: P(X <= k) = I_1/2(n - k, k + 1)."""
+def exact_binomial_p(b: pd.Series, c: pd.Series) -> pd.Series:
+    """min(1, 2 P(X <= min(b, c))) for X ~ Bin(b + c, 1/2), as P(X <= k) = I_1/2(n - k, k + 1)."""
 
     def tail(x: float, y: float) -> float:
         k = min(x, y)

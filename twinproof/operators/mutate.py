@@ -64,7 +64,7 @@ def double_last_digit(text: Column) -> Column:
 
 
 def replace_third(text: Column) -> Column:
-    return F.concat(F.substring(text, 1, 2), F.lit("뷁"), F.substring(text, 4, 1_000_000))
+    return F.concat(F.substring(text, 1, 2), F.lit("뷁"), F.substr(text, F.lit(4)))
 
 
 def widen_spaces(text: Column) -> Column:

@@ -75,11 +75,9 @@ def mcnemar(counts: DataFrame, exact: bool | None = None) -> DataFrame:
         "method": method,
         "statistic": F.when(n == 0, F.lit(0.0)).when(use_exact, F.least(b, c).cast("double")).otherwise(chi),
     })
-    by_fold = F.when((F.col("method") == "exact_binomial") & (n <= 1000), D.exact_binomial_p(b, c))
-    by_beta = D.exact_binomial_p_any(
-        F.when((F.col("method") == "exact_binomial") & (n > 1000), b.cast("double")), c.cast("double"))
+    by_beta = D.exact_binomial_p(F.when(F.col("method") == "exact_binomial", b.cast("double")), c.cast("double"))
     by_chi = D.chi2_1df_p(F.when(F.col("method") == "chi2_continuity", F.col("statistic")))
-    return out.withColumn("p_value", F.when(n == 0, F.lit(1.0)).otherwise(F.coalesce(by_fold, by_beta, by_chi)))
+    return out.withColumn("p_value", F.when(n == 0, F.lit(1.0)).otherwise(F.coalesce(by_beta, by_chi)))
 
 
 def mismatch_flags(scored: DataFrame, *keys: str) -> DataFrame:
@@ -236,15 +234,17 @@ def significance_table(reps: DataFrame, constant: str, low: str, high: str, metr
     return welch.unionByName(rest, allowMissingColumns=True)
 
 
-def midranks(counts: DataFrame, keys: list[str], value: str = "value", n_buckets: int = 256) -> DataFrame:
+def midranks(counts: DataFrame, keys: list[str], value: str = "value", n_buckets: int | None = None) -> DataFrame:
     """Add ``rank`` (mid-rank over all rows) to distinct-value counts ``keys, value, n``.
 
     A global running count without a global window: values are cut into buckets at
     approximate quantiles, counts are accumulated inside each bucket, and the few bucket
-    totals carry the offset. Ties were merged beforehand, so a hot value is one row.
+    totals carry the offset. Ties were merged beforehand, so a hot value is one row. Without
+    ``n_buckets`` there are a few buckets for each shuffle partition of the session.
     """
+    n_buckets = n_buckets or max(64, 4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, cuts, 10_000).alias("_cuts"))
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, cuts, max(10_000, 20 * n_buckets)).alias("_cuts"))
     placed = counts.join(bounds, keys).withColumn(
         "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     totals = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_total"))

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinproof.session import configure
+from twinproof.session import configure, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
 
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return fn(configure(spark), sf_dir)
 
         QUERIES[key] = run

@@ -20,7 +20,7 @@ DIALECTS = {
 }
 
 
-# Unique keys, used to spread small files over the cores.
+# Unique keys, for sessions that deal out their scans.
 KEYS = {"lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "orders": ("o_orderkey",),
         "events": ("event_id",), "documents": ("doc_id",)}
 
@@ -56,7 +56,7 @@ ANCHORS = {
                  " WHEN 1 THEN 'fee_schedule.management_fee' WHEN 2 THEN 'fee_schedule.trust_fee'"
                  " ELSE 'fee_schedule.sales_fee' END",
         "family": "'percent'",
-        "anchor": "CASE WHEN l_linenumber % 4 = 0 AND l_discount = 0 THEN '제36조(환매수수료) (해당사항 없음)'"
+        "anchor": "CASE WHEN l_linenumber % 4 = 0 AND l_discount = 0 THEN '환매수수료 항목: 해당사항 없음'"
                   f" ELSE '보수율 : 연 1,000분의 ' || {text(whole(_BP, 10))} || '.' || {text(f'{_BP} % 10')} END",
         "anchor_page": "CAST(1 + l_partkey % 22 AS INT)",
     },

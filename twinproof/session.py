@@ -25,6 +25,7 @@ def get_spark(app: str = "twinproof", cores: str = "*", **conf: str) -> SparkSes
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.twinproof.scanPartitions", "8" if cores == "*" else cores)
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -57,16 +58,17 @@ def ship_package(spark: SparkSession) -> None:
     sc._twinproof_shipped = True
 
 
+#: A local session may name the partitions of its scans; clusters leave it unset.
+SCAN_PARTITIONS = "spark.twinproof.scanPartitions"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input with too few splits (a single small file, say).
+    """A scan dealt to the partitions that the session asks for; as it is if it asks for none.
 
-    A scan that already has at least one split per core passes through untouched, which is
-    the case for any large table; ``keys`` should be unique so that no partition is hot.
+    Nothing depends on the size of the input. ``keys`` should be unique so that no partition is hot.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted), *keys) if wanted else df
 
 
 def late_filter(df: DataFrame, condition: Column) -> DataFrame:
@@ -83,13 +85,15 @@ def late_filter(df: DataFrame, condition: Column) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    ``spark.checkpoint.dir`` is the folder every executor can reach. Only where the
-    session leaves it unset (tests) does a temporary local folder stand in for it.
+    ``spark.checkpoint.dir`` is the folder every executor can reach. Only in a local session
+    that leaves it unset (tests) does a temporary folder stand in for it.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/twinproof/{name}-{uuid.uuid4().hex}"
 
