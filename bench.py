@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = ("fee_reconciliation", "mode_raw_score", "mode_guarded_score", "mode_policy_score", "breakdown_sets",
-            "guard_summary", "policy_status_by_field", "review_run", "shape_violations", "graph_conformance",
+            "guard_summary", "policy_status_by_field", "review_run", "decision_overlay", "shape_violations", "graph_conformance",
             "mcnemar", "bootstrap_interval", "rep_descriptives", "mann_whitney")
 
 

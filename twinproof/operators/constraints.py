@@ -72,8 +72,12 @@ def structure_triples(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     )
 
 
-def raw_triples(df: DataFrame, key: str = "pair_id", profile: Profile = TRUST_FUND) -> DataFrame:
-    """Raw text literals of long evidence rows (null text is skipped)."""
+def raw_triples(df: DataFrame, key: str = "pair_id", profile: Profile = TRUST_FUND, structure: bool = False) -> DataFrame:
+    """Raw text literals of long evidence rows (null text is skipped).
+
+    ``structure`` adds nodes, types and links at each pair's row of the profile's first field, so
+    a whole graph comes from one scan.
+    """
     section = F.substring_index("field", ".", 1)
     predicate = lookup(F.col("field"), {f: predicate_of(f) for f in profile.fields})
     cells = F.array(*[
@@ -81,6 +85,8 @@ def raw_triples(df: DataFrame, key: str = "pair_id", profile: Profile = TRUST_FU
                _triple(F.concat(section, F.lit(f"_{s}")), predicate, F.col(f"{s}_raw"), "literal"))
         for s in SIDES
     ])
+    if structure:
+        cells = F.when(F.col("field") == profile.fields[0], F.concat(F.array(*_structure()), cells)).otherwise(cells)
     return (
         df.select(F.col(key).alias("graph_id"), F.explode(cells).alias("t")).filter(F.col("t").isNotNull())
         .select("graph_id", "t.*")
@@ -246,12 +252,12 @@ def _target_rules() -> list[Column]:
 def shape_violations(triples: DataFrame, infer: bool = True, profile: Profile = TRUST_FUND) -> DataFrame:
     """Violations ``graph_id, focus, constraint, message``; no row for a conforming graph."""
     facts = node_facts(triples, infer, profile)
-    nodes = facts.select(
-        "graph_id", F.col("node").alias("focus"), F.explode(F.array(*_node_rules(infer))).alias("constraint")
-    ).filter(F.col("constraint").isNotNull())
-    targets = facts.groupBy("graph_id").agg(*_target_counts()).select(
-        "graph_id", F.explode(F.array(*_target_rules())).alias("v")).filter(F.col("v").isNotNull()).select("graph_id", "v.*")
-    out = nodes.unionByName(targets)
+    # Facts are computed once: a graph's few nodes carry their broken rules into the target counts.
+    broken = F.array_compact(F.array(*_node_rules(infer)))
+    own = F.transform(broken, lambda name: F.struct(F.col("node").alias("focus"), name.alias("constraint")))
+    graphs = facts.withColumn("_own", own).groupBy("graph_id").agg(F.flatten(F.collect_list("_own")).alias("_own"), *_target_counts())
+    found = F.concat("_own", F.array_compact(F.array(*_target_rules())))
+    out = graphs.select("graph_id", F.explode(found).alias("v")).select("graph_id", "v.*")
     if not infer:
         out = out.unionByName(link_class_violations(triples, infer, profile))
     return out.withColumn("message", lookup(F.col("constraint"), MESSAGES))

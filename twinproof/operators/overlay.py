@@ -38,8 +38,8 @@ def match_aliases(df: DataFrame, aliases: DataFrame, profile: Profile = TRUST_FU
         F.col("field").isin(*profile.alias_fields) & (left != "") & (right != ""), F.lit(False))
     approved = aliases.filter(F.col("status") == "approved").select(
         "field", "left_norm", "right_norm").distinct().withColumn("_hit", F.lit(True))
-    rest = late_filter(df, ~eligible).withColumn("alias_match", F.lit(False))
-    hits = with_alias_pair(late_filter(df, eligible)).join(
+    rest = df.filter(~eligible).withColumn("alias_match", F.lit(False))
+    hits = with_alias_pair(df.filter(eligible)).join(
         approved, ["field", "left_norm", "right_norm"], "left")
     hits = hits.withColumn("alias_match", F.coalesce(F.col("_hit"), F.lit(False))).drop(
         "_hit", "left_norm", "right_norm")
@@ -155,6 +155,10 @@ def review_fields(compared: DataFrame) -> DataFrame:
     })
 
 
+# Fixed value: the stored reason of a row that a model settled.
+JUDGED_REASON = "The LLM Judge classified the two extracted evidence snippets."
+
+
 def apply_verdicts(fields: DataFrame, verdicts: DataFrame, keys: list[str], profile: Profile = TRUST_FUND) -> DataFrame:
     """Resolved model verdicts settle rows that still need review and may be judged.
 
@@ -169,6 +173,7 @@ def apply_verdicts(fields: DataFrame, verdicts: DataFrame, keys: list[str], prof
         "resolution_source": F.when(use, F.lit("llm_judge")).otherwise(F.col("resolution_source")),
         "reason_code": F.when(use & special, F.lit("specialized_high_confidence_judge"))
         .when(use, F.lit("llm_judge_classification")).otherwise(F.col("reason_code")),
+        "reason": F.when(use, F.lit(JUDGED_REASON)).otherwise(F.col("reason")),
         "requires_human_review": F.col("requires_human_review") & ~use,
     }).drop("_j")
 

@@ -137,17 +137,15 @@ def normalization_scope(spark, sf_dir):
     return out.groupBy("outcome", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_EV}, {O.policy_cte()} SELECT pair_id, field, label, pord AS ord FROM ev JOIN policy USING (field) WHERE ev.contract_raw IS NULL")
+@query(f"WITH {_EV}, {O.policy_cte()} SELECT pair_id, field, label, pord AS ord FROM ev JOIN policy USING (field)")
 def labelled_fields(spark, sf_dir):
-    rows = pair_rows(spark, sf_dir).filter(F.col("contract_raw").isNull())
-    return evidence.attach_labels(rows).select("pair_id", "field", "label", "ord")
+    return evidence.attach_labels(pair_rows(spark, sf_dir)).select("pair_id", "field", "label", "ord")
 
 
 @query("SELECT p_type AS field FROM (SELECT DISTINCT p_type FROM part)")
 def uncovered_fields(spark, sf_dir):
     rows = L.table(spark, sf_dir, "part").select(F.col("p_type").alias("field"))
-    covered = pair_rows(spark, sf_dir).select("field").limit(0)
-    return compare.uncovered_fields(rows.unionByName(covered))
+    return compare.uncovered_fields(rows.unionByName(pair_rows(spark, sf_dir).select("field")))
 
 
 @query(f"WITH {O.cases_cte()} SELECT field, side FROM (SELECT DISTINCT field FROM cases WHERE gold_label = 'mismatch') FULL JOIN (SELECT DISTINCT field, 'x' AS side FROM cases WHERE mutation_type = 'bool_flip') USING (field) WHERE FALSE "
@@ -171,7 +169,9 @@ def policy_coverage(spark, sf_dir):
 
 # --- model requests and answers ---------------------------------------------------------------------------
 
-_NJ = f"{POLICY_PAIRS}, req AS (SELECT *, CASE field WHEN 'redemption_terms.is_redeemable' THEN 'redeemability' WHEN 'fund.maturity_date' THEN 'maturity' WHEN 'redemption_terms.redemption_fee' THEN 'redemption_fee' ELSE 'generic' END AS route FROM checked WHERE final_status = 'needs_review' AND judge_allowed)"
+# Evaluated once: the requests and the final rows both read it.
+_CHECKED = POLICY_PAIRS.replace("checked AS (", "checked AS MATERIALIZED (")
+_NJ = f"{_CHECKED}, req AS MATERIALIZED (SELECT *, CASE field WHEN 'redemption_terms.is_redeemable' THEN 'redeemability' WHEN 'fund.maturity_date' THEN 'maturity' WHEN 'redemption_terms.redemption_fee' THEN 'redemption_fee' ELSE 'generic' END AS route FROM checked WHERE final_status = 'needs_review' AND judge_allowed)"
 
 
 def policy_pairs(spark, sf_dir) -> DataFrame:
@@ -227,7 +227,7 @@ def judged_pairs(spark, sf_dir) -> DataFrame:
 
 
 _SQZ = lambda c: f"regexp_replace({c}, '[\\s\\x{{3000}}]+', '', 'g')"
-_JUDGED = (f"{_NJ}, ans AS (SELECT *, CASE WHEN route = 'generic' AND contains(im_raw, '개방형') THEN 'empty_text:reason' END AS problem, CASE route WHEN 'redeemability' THEN CASE WHEN {_SQZ('contract_raw')} < {_SQZ('im_raw')} THEN 'different' END "
+_JUDGED = (f"{_NJ}, ans AS MATERIALIZED (SELECT *, CASE WHEN route = 'generic' AND contains(im_raw, '개방형') THEN 'empty_text:reason' END AS problem, CASE route WHEN 'redeemability' THEN CASE WHEN {_SQZ('contract_raw')} < {_SQZ('im_raw')} THEN 'different' END "
            f"WHEN 'maturity' THEN CASE WHEN contains(im_raw, '년') THEN 'same' END WHEN 'redemption_fee' THEN 'same' ELSE CASE WHEN contains(im_raw, '개방형') THEN NULL WHEN {_SQZ('contract_raw')} = {_SQZ('im_raw')} THEN 'same' ELSE 'different' END END AS judged FROM req)")
 
 
@@ -249,9 +249,8 @@ _RESOLVED = (f"{_JUDGED}, final AS (SELECT c.pair_id, c.run_id, c.field, c.contr
 
 
 def reviewed(spark, sf_dir) -> DataFrame:
-    verdicts = judged_pairs(spark, sf_dir).select("pair_id", "field", "judged")
-    return review.review(L.extractions(spark, sf_dir), ["pair_id", "run_id"], verdicts=None).transform(
-        lambda f: overlay.apply_verdicts(f, verdicts, ["pair_id", "field"]))
+    fields = review.review(L.extractions(spark, sf_dir), ["pair_id", "run_id"])
+    return review.settle(fields, ["pair_id", "run_id"], rule_judge, shared_dir(spark, "review"))
 
 
 @query(f"{_RESOLVED} SELECT pair_id, run_id, field, system_status, effective_status, resolution_source FROM final")
@@ -271,6 +270,15 @@ def run_statuses(spark, sf_dir):
     return overlay.run_statuses(reviewed(spark, sf_dir))
 
 
+@query(f"{_RESOLVED} SELECT resolution_source, reason_code, count(*) AS n FROM (SELECT resolution_source, CASE WHEN judged IS NULL THEN 'kept' WHEN field IN {O.in_list(TRUST_FUND.judge_routes)} THEN 'specialized_high_confidence_judge' ELSE 'llm_judge_classification' END AS reason_code FROM final) GROUP BY 1, 2")
+def review_reasons(spark, sf_dir):
+    """Where each verdict came from; rows that a model settled carry its reason."""
+    rows = reviewed(spark, sf_dir)
+    judged = F.col("resolution_source") == "llm_judge"
+    code = F.when(judged & (F.col("reason") == overlay.JUDGED_REASON), F.col("reason_code")).otherwise(F.lit("kept"))
+    return rows.groupBy("resolution_source", code.alias("reason_code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- decisions and aliases ---------------------------------------------------------------------------------
 
 _DEC = ("SELECT 'R' || CAST(user_id % 50 AS STRING) AS run_id, CASE event_type WHEN 'click' THEN 'fund.name' WHEN 'view' THEN 'party.trustee' WHEN 'error' THEN 'no.such' WHEN 'signup' THEN 'fund.type' ELSE 'redemption_terms.redemption_fee' END AS field, "

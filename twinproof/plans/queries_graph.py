@@ -105,8 +105,7 @@ _VIOL = " UNION ALL ".join(
 
 
 def _graph(spark, sf_dir) -> DataFrame:
-    return K.raw_triples(guarded_pairs(spark, sf_dir)).unionByName(
-        K.structure_triples(L.extractions(spark, sf_dir).select("pair_id")))
+    return K.raw_triples(guarded_pairs(spark, sf_dir), structure=True)
 
 
 @query(f"WITH {_GD} {_VIOL}")
@@ -153,6 +152,16 @@ def literal_escape(spark, sf_dir):
     return L.table(spark, sf_dir, "events").select("event_id", escape_literal(text).alias("escaped"))
 
 
+@query(f"WITH {_GD}, v AS ({_VIOL}), g AS (SELECT DISTINCT pair_id FROM ev), c AS (SELECT g.pair_id, count(v.focus) AS n FROM g LEFT JOIN v ON v.graph_id = g.pair_id GROUP BY 1) "
+       "SELECT pair_id, 'G3' AS guard, CASE WHEN n = 0 THEN 'pass' ELSE 'reject' END AS decision, CASE WHEN n = 0 THEN 'shacl_conforms' ELSE 'shacl_violation' END AS reason_code FROM c")
+def review_audit(spark, sf_dir):
+    """The review's graph audit as the guard chain's last event, one per pair."""
+    from twinproof.plans import review
+
+    _, conforming = review.audit(guarded_pairs(spark, sf_dir), "pair_id")
+    return K.shape_event(conforming)
+
+
 # --- statistics ---------------------------------------------------------------------------------------------
 
 _JUDGES = ("judged AS (SELECT d.doc_id, l.quality, d.n_chars > 1000 AS a, d.n_chars % 5 <> 0 AS b FROM labels l JOIN documents d USING (doc_id))")
@@ -189,10 +198,12 @@ _TAIL = "list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma
 
 
 @query(f"WITH {_JUDGES}, {_BC} SELECT b, c, b + c AS n, CASE WHEN b + c < 25 THEN CAST(least(b, c) AS DOUBLE) ELSE round(CAST((abs(b - c) - 1) * (abs(b - c) - 1) AS DOUBLE) / (b + c), 6) END AS statistic, "
-       f"CASE WHEN b + c = 0 THEN 'no_discordant' WHEN b + c < 25 THEN 'exact_binomial' ELSE 'chi2_continuity' END AS method FROM bc")
+       f"CASE WHEN b + c = 0 THEN 'no_discordant' WHEN b + c < 25 THEN 'exact_binomial' ELSE 'chi2_continuity' END AS method, "
+       f"round(CASE WHEN b + c = 0 OR (b + c < 25 AND b = c) THEN 1.0 WHEN b + c < 25 THEN least(1.0, 2 * {_TAIL}) ELSE {_erfc('sqrt(CAST((abs(b - c) - 1) * (abs(b - c) - 1) AS DOUBLE) / (b + c) / 2)')} END, 6) AS p_value FROM bc")
 def mcnemar(spark, sf_dir):
     counts = stats.discordance(stats.align_modes(_mode_correct(spark, sf_dir), ["a", "b"], "correct"), "a", "b")
-    return round_all(stats.mcnemar(counts), "statistic").select("b", "c", "n", "statistic", "method")
+    out = round_all(stats.mcnemar(counts), "statistic").withColumn("p_value", F.round("p_value", 6))
+    return out.select("b", "c", "n", "statistic", "method", "p_value")
 
 
 @query(f"WITH {_JUDGES}, {_BC} SELECT b, c, round(CASE WHEN b = c THEN 1.0 ELSE least(1.0, 2 * {_TAIL}) END, 9) AS p_value FROM bc")
@@ -287,10 +298,10 @@ _MWU = (f"{_REPS}, s AS (SELECT * FROM reps WHERE tier IN ('click', 'view')), r
         "z AS (SELECT metric, na, nb, ra - na * (na + 1) / 2 AS u1, sqrt(na * nb / 12 * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1)))) AS sg FROM u JOIN t USING (metric))")
 
 
-@query(f"WITH {_MWU} SELECT metric, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, round(CAST(u1 AS DOUBLE), 3) AS u_stat, round((greatest(u1, na * nb - u1) - na * nb / 2 - 0.5) / sg, 6) AS z FROM z")
+@query(f"WITH {_MWU} SELECT metric, n_a, n_b, u_stat, round(z, 6) AS z, round(least(1.0, {_erfc('z / sqrt(2.0)')}), 6) AS p_value FROM (SELECT metric, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, round(CAST(u1 AS DOUBLE), 3) AS u_stat, (greatest(u1, na * nb - u1) - na * nb / 2 - 0.5) / sg AS z FROM z)")
 def mann_whitney(spark, sf_dir):
     out = stats.mann_whitney(event_reps(spark, sf_dir), "click", "view", ["metric"])
-    return out.select("metric", "n_a", "n_b", F.round("u_stat", 3).alias("u_stat"), rounded("z").alias("z"))
+    return out.select("metric", "n_a", "n_b", F.round("u_stat", 3).alias("u_stat"), rounded("z").alias("z"), rounded("p_value").alias("p_value"))
 
 
 @query()

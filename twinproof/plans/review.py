@@ -51,10 +51,30 @@ def judge_fields(fields: DataFrame, keys: list[str], client_factory: Callable, p
     return fields.sparkSession.read.parquet(path)
 
 
+#: What a stored review row keeps; requests and verdicts need no more.
+REVIEW_COLUMNS = ("field", "label", "contract_raw", "im_raw", "contract_ref_raw", "im_ref_raw", "judge_allowed", "final_status",
+                  "system_status", "effective_status", "resolution_source", "requires_human_review", "reason_code", "reason")
+
+
+def settle(fields: DataFrame, keys: list[str], client_factory: Callable, path: str,
+           max_parallel: int | None = None, profile: Profile = TRUST_FUND) -> DataFrame:
+    """Review rows with the judge's verdicts.
+
+    The rows are stored below ``path`` first, so guards and policy run once and the model is
+    asked once; only rows that wait for a verdict meet the answers, all others bypass the join.
+    """
+    fields.select(*keys, *REVIEW_COLUMNS).write.mode("overwrite").parquet(f"{path}/rows")
+    rows = fields.sparkSession.read.parquet(f"{path}/rows")
+    waits = F.coalesce(F.col("requires_human_review") & F.col("judge_allowed"), F.lit(False))
+    waiting = rows.filter(waits)
+    answers = judge_fields(waiting, keys, client_factory, f"{path}/answers", max_parallel, profile)
+    settled = overlay.apply_verdicts(waiting, answers, [*keys, "field"], profile)
+    return settled.unionByName(rows.filter(~waits))
+
+
 def audit(guarded: DataFrame, key: str, profile: Profile = TRUST_FUND) -> tuple[DataFrame, DataFrame]:
     """(violations, conformance) of the guarded evidence as a graph."""
-    triples = constraints.raw_triples(guarded, key, profile).unionByName(
-        constraints.structure_triples(guarded.filter(F.col("field") == profile.fields[0]), key))
+    triples = constraints.raw_triples(guarded, key, profile, structure=True)
     return constraints.shape_violations(triples, profile=profile), constraints.conformance(triples, profile)
 
 

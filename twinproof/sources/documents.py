@@ -12,17 +12,21 @@ MAGIC = "%PDF-"
 SCAN_PAGES, SCAN_CHARS = 3, 50
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Binary files as ``path, length, content``."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Binary files as ``path, length, content``; larger files keep their length but aren't loaded."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= max_bytes).select("path", "length", "content")
+    large = files.filter(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def check_files(files: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``sha256`` and ``problem``: empty, not a PDF, or too large."""
+    """Add ``sha256`` and ``problem``: empty, not a PDF, or too large (also if not loaded)."""
     data = F.col(content)
     head = F.decode(F.substring(data, 1, len(MAGIC)), "ISO-8859-1")
     problem = (
-        F.when(F.length(data) == 0, F.lit("empty"))
+        F.when(data.isNull(), F.lit("too_large"))
+        .when(F.length(data) == 0, F.lit("empty"))
         .when(head != MAGIC, F.lit("not_a_pdf"))
         .when(F.length(data) > MAX_BYTES, F.lit("too_large"))
     )

@@ -41,14 +41,19 @@ def clean_cases(raw: DataFrame, profile: Profile = TRUST_FUND) -> DataFrame:
         "contract_page": F.col("contract_page").try_cast("int"), "im_page": F.col("im_page").try_cast("int")})
 
 
-def read_cases(spark: SparkSession, path: str, profile: Profile = TRUST_FUND, strict: bool = True) -> DataFrame:
+def read_cases(spark: SparkSession, path: str, profile: Profile = TRUST_FUND, strict: bool = True,
+               multi_line: bool = True) -> DataFrame:
     """Case CSV: BOM, quotes and line breaks inside cells are handled by the reader.
 
+    Columns are matched by the header's names: a file with another order of columns is refused
+    by the reader. Line breaks inside cells need one task per file; without them
+    ``multi_line=False`` lets files split.
+
     With ``strict`` a table with any bad row is refused (the check reports only a few rows).
     """
-    header = spark.read.option("header", True).option("multiLine", True).csv(path).columns
+    header = spark.read.option("header", True).option("multiLine", multi_line).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"')
+    raw = spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
     cases = clean_cases(raw, profile)
     if strict:
         bad = cases.filter(F.size("problems") > 0).select("case_id", "field", "problems").take(5)
