@@ -30,6 +30,9 @@ REPEAT_PERCENT = 50
 SHARE = 0.75
 LEAST_ROWS = 200
 STEPS = 3
+#: Up to so many groups (about 500 bytes each) their estimates are sent to every executor; more
+#: groups are joined by shuffle.
+SENT_GROUPS = 20_000
 #: The nearest three quarters vary too little; for normal rows with five features this mends it.
 CONSISTENT = 1.6
 #: Squared distance beyond which a row is an outlier, in units of the consistent covariance.
@@ -118,7 +121,11 @@ def _estimate(moments: DataFrame, keys: list[str], scale: float) -> DataFrame:
     return floored.select(*keys, *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)], logdet.alias("logdet"))
 
 
-def _far(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
+def _sent(groups: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(groups) if few else groups
+
+
+def _far(rows: DataFrame, estimate: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """Each row of a group with its squared distance ``d`` under the group's estimate."""
     p = range(len(FEATURES))
     told = estimate.select(*[F.col(k).alias(f"k_{k}") for k in keys], *[c for c in estimate.columns if c not in keys])
@@ -126,11 +133,11 @@ def _far(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         on = F.col(k).eqNullSafe(F.col(f"k_{k}")) if on is None else on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
     low = [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in p]
-    return rows.join(told, on).withColumn("d", distance(low, [F.col(f"m{i}") for i in p])).drop(*told.columns)
+    return rows.join(_sent(told, few), on).withColumn("d", distance(low, [F.col(f"m{i}") for i in p])).drop(*told.columns)
 
 
-def concentrate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The minimum-covariance-determinant estimate of each group of ``keys``."""
+def concentrate(rows: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """The minimum-covariance-determinant estimate of each group of ``keys``, of which there may be few."""
     p = range(len(FEATURES))
     quartiles = rows.groupBy(*keys).agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)])
     spread = quartiles.select(*keys, F.lit("median").alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in p], *[
@@ -141,13 +148,13 @@ def concentrate(rows: DataFrame, keys: list[str]) -> DataFrame:
     estimate = _estimate(spread.unionByName(plain), group, 1.0)
     twice = rows.withColumn("start", F.explode(F.array(F.lit("median"), F.lit("mean"))))
     for step in range(STEPS):
-        far = _far(twice, estimate, group)
+        far = _far(twice, estimate, group, few)
         limit = far.groupBy(*group).agg(F.percentile_approx("d", SHARE, 1000).alias("limit")).select(
             *[F.col(k).alias(f"h_{k}") for k in group], "limit")
         on = F.lit(True)
         for k in group:
             on = on & F.col(k).eqNullSafe(F.col(f"h_{k}"))
-        near = far.join(limit, on).filter(F.col("d") <= F.col("limit"))
+        near = far.join(_sent(limit, few), on).filter(F.col("d") <= F.col("limit"))
         last = step == STEPS - 1
         estimate = _estimate(cut(near.groupBy(*group).agg(*_moments())), group, CONSISTENT if last else 1.0)
     best = estimate.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in estimate.columns if c not in group]), "logdet").alias("e"))
@@ -166,15 +173,17 @@ def judge(docs: DataFrame, key: bool = False) -> DataFrame:
     levels = sizes.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).select(
         F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
         F.when(F.col("n") >= LEAST_ROWS, 0).when(F.col("n_lang") >= LEAST_ROWS, 1).otherwise(2).alias("level"))
+    levels = cut(levels)
+    few = levels.count() <= SENT_GROUPS
     levelled = cut(rows.join(
-        levels, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).drop("g_lang", "g_source"))
+        _sent(levels, few), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).drop("g_lang", "g_source"))
     judged = None
     for level, keys in enumerate((["lang", "source"], ["lang"], ["every"])):
         own = levelled.filter(F.col("level") == level)
         if level and own.isEmpty():
             continue
         base = levelled if level else own
-        part = _far(own, concentrate(base, keys), keys)
+        part = _far(own, concentrate(base, keys, few), keys, few)
         judged = part if judged is None else judged.unionByName(part)
     told_columns = ["doc_id", *["key"] * key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     out = judged.select(*told_columns, "d").unionByName(
