@@ -92,10 +92,6 @@ def chi2_1df_p(statistic: Column) -> Column:
     return erfc(F.sqrt(statistic / 2.0))
 
 
-def normal_two_sided_p(z: Column) -> Column:
-    return erfc(F.abs(z) / F.sqrt(F.lit(2.0)))
-
-
 @F.pandas_udf(DoubleType())
 def exact_binomial_p(b: pd.Series, c: pd.Series) -> pd.Series:
     """min(1, 2 P(X <= min(b, c))) for X ~ Bin(b + c, 1/2), as P(X <= k) = I_1/2(n - k, k + 1)."""

@@ -44,10 +44,6 @@ def confusion_cells(scored: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def roll_up(cells: DataFrame, *keys: str) -> DataFrame:
-    return cells.groupBy(*keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTS])
-
-
 def _p(tp: Column, fp: Column) -> Column:
     return ratio(tp, tp + fp)
 
@@ -167,11 +163,12 @@ def review_summary(fields: DataFrame, *keys: str) -> DataFrame:
 
 
 def unmapped_statuses(df: DataFrame, column: str = "final_status") -> DataFrame:
-    """Statuses without a predicted label, and labels whose status never exists (both empty = complete)."""
-    spark = df.sparkSession
-    known = spark.createDataFrame([(s,) for s in V.FINAL_TO_PREDICTED], "status string")
-    seen = df.select(F.col(column).alias("status")).distinct()
-    return seen.exceptAll(known).withColumn("problem", F.lit("unmapped"))
+    """Statuses without a predicted label (``unmapped``) and mapped ones that never occur (``unseen``)."""
+    from twinproof.operators.setops import symmetric_difference
+
+    known = df.sparkSession.createDataFrame([(s,) for s in V.FINAL_TO_PREDICTED], "status string")
+    both = symmetric_difference(df.select(F.col(column).alias("status")), known)
+    return both.select("status", F.when(F.col("side") == "left_only", "unmapped").otherwise("unseen").alias("problem"))
 
 
 def case_rows(scored: DataFrame, *extra: str) -> DataFrame:

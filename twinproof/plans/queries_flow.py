@@ -383,6 +383,29 @@ def alias_match(spark, sf_dir):
     return out.select(F.col("decided_at").alias("row_id"), "field", "alias_match")
 
 
+_STATUSES = "'exact_match', 'same_after_normalization', 'different_after_normalization', 'needs_review', 'missing_evidence'"
+
+
+@query(f"WITH k AS (SELECT unnest([{_STATUSES}]) AS status), s AS (SELECT DISTINCT CASE WHEN event_type = 'view' THEN 'exact_match' WHEN event_type = 'click' THEN 'needs_review' ELSE event_type END AS status FROM events) "
+       "SELECT status, CASE WHEN k.status IS NULL THEN 'unmapped' ELSE 'unseen' END AS problem FROM s FULL JOIN k USING (status) WHERE s.status IS NULL OR k.status IS NULL")
+def status_map_gaps(spark, sf_dir):
+    """Statuses without a label, and labels' statuses that never occur."""
+    e = F.col("event_type")
+    named = F.when(e == "view", "exact_match").when(e == "click", "needs_review").otherwise(e)
+    return scoring.unmapped_statuses(L.table(spark, sf_dir, "events").select(named.alias("final_status")))
+
+
+@query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def last_duplicate_wins(spark, sf_dir):
+    return stats.last_per_case(L.table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type", "value")
+
+
+@query("SELECT doc_id, substr(text, 1, 1000) AS error FROM documents")
+def failed_runs(spark, sf_dir):
+    """Stored error texts of failed runs."""
+    return L.table(spark, sf_dir, "documents").select("doc_id", overlay.failed_run(F.col("text")).alias("error"))
+
+
 # --- normalization -----------------------------------------------------------------------------------------
 
 

@@ -231,7 +231,8 @@ def skipped_cases(spark, sf_dir):
 
 def _flags(spark, sf_dir) -> DataFrame:
     docs = judged_documents(spark, sf_dir)
-    return docs.select((F.col("quality") == 0).alias("gold"), (~F.col("a")).alias("pred"))
+    label = lambda c: F.when(c, "mismatch").otherwise("match")
+    return stats.mismatch_flags(docs.select(label(F.col("quality") == 0).alias("gold_label"), label(~F.col("a")).alias("predicted_label")))
 
 
 @query(f"WITH {_JUDGES}, c AS (SELECT count(*) FILTER (quality = 0 AND NOT a) AS tp, count(*) FILTER (quality <> 0 AND NOT a) AS fp, count(*) FILTER (quality = 0 AND a) AS fn, count(*) FILTER (quality <> 0 AND a) AS tn FROM judged) "
