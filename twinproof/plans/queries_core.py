@@ -14,7 +14,7 @@ from twinproof.plans import oracle as O
 from twinproof.plans import workload as L
 from twinproof.plans.registry import query, round_all, rounded
 from twinproof.profile import SIDES, TRUST_FUND
-from twinproof.session import late_filter
+from twinproof.session import late_filter, stored
 
 PAGES = (L.CONTRACT_PAGES, L.IM_PAGES)
 METRICS = ("accuracy", "precision", "recall", "f1", "f2", "efficiency_index_pct", "hallucination_rate", "review_rate")
@@ -277,9 +277,10 @@ def status_histogram(spark, sf_dir):
 
 
 def _all_modes(spark, sf_dir) -> DataFrame:
-    out = None
+    """All modes over the same cases: tables are scanned and cases mutated once."""
+    cases, out = stored(L.cases(spark, sf_dir), "cases"), None
     for mode in modes.DETERMINISTIC_MODES:
-        part = scored_mode(spark, sf_dir, mode).select(
+        part = scoring.classify(modes.evaluate(cases, mode, *PAGES)).select(
             F.lit(mode).alias("mode"), "case_id", "field", "difficulty", "gold_label", "predicted_label", "bucket", "correct", "final_status")
         out = part if out is None else out.unionByName(part)
     return out

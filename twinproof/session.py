@@ -58,6 +58,13 @@ def ship_package(spark: SparkSession) -> None:
     sc._twinproof_shipped = True
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later passes read it, none recomputes it."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 #: A local session may name the partitions of its scans; clusters leave it unset.
 SCAN_PARTITIONS = "spark.twinproof.scanPartitions"
 
