@@ -36,7 +36,7 @@ SENT_GROUPS = 20_000
 #: The nearest three quarters vary too little; for normal rows with five features this mends it.
 CONSISTENT = 1.6
 #: Squared distance beyond which a row is an outlier, in units of the consistent covariance.
-CUT = 150.0
+CUT = 100.0
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
 #: Smallest standard deviation of each feature.
 FLOOR = (0.5, 0.08, 0.05, 0.05, 0.08)
