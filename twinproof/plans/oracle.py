@@ -3,10 +3,36 @@
 from __future__ import annotations
 
 from twinproof.functions import verdicts as V
-from twinproof.operators.mutate import FAMILIES, FAKE_PAGE, OTHER_ENTITY, TRAITS
 from twinproof.plans import workload as L
 from twinproof.profile import SIDES, TRUST_FUND
 
+# Stated again on purpose, not imported: a wrong table under test must not be wrong here too.
+FAMILIES = {
+    "percent": ("unit_conversion/percent", "unit_conversion/bp", "format_diff", "whitespace_normalize", "decimal_shift",
+                "digit_swap", "shacl_violation", "fake_citation", "missing_one_side", "invent_clause"),
+    "date": ("format_diff/-", "format_diff/.", "format_diff//", "whitespace_normalize", "date_shift/year", "date_shift/week",
+             "fake_citation", "missing_one_side"),
+    "name": ("whitespace_normalize", "format_diff", "char_typo", "entity_swap", "digit_insert", "fake_citation",
+             "missing_one_side", "identical"),
+    "boolean": ("semantic_equivalent", "bool_flip", "whitespace_normalize", "fake_citation", "missing_one_side", "invent_clause"),
+    "duration": ("unit_conversion", "date_shift", "whitespace_normalize", "fake_citation", "missing_both"),
+}
+DIFFICULTY = {
+    "easy": ("format_diff", "whitespace_normalize", "identical", "missing_one_side", "missing_both"),
+    "medium": ("semantic_equivalent", "digit_swap", "date_shift", "entity_swap", "bool_flip"),
+    "hard": ("unit_conversion", "decimal_shift", "char_typo", "digit_insert", "invent_clause", "fake_citation", "shacl_violation"),
+}
+SIGNAL = {
+    "normalization": ("unit_conversion", "format_diff", "whitespace_normalize"),
+    "llm_judge": ("semantic_equivalent", "bool_flip"),
+    "cross_check": ("identical", "missing_one_side", "missing_both", "digit_swap", "date_shift", "entity_swap", "digit_insert"),
+    "normalization+cross_check": ("decimal_shift",),
+    "cross_check+llm_judge": ("char_typo", "invent_clause"),
+    "g2_citation": ("fake_citation",),
+    "g3_constraint+shacl": ("shacl_violation",),
+}
+FAKE_PAGE, OTHER_ENTITY = 999, "다온미래 주식회사"
+
 WS = r"[\s\x{3000}]"
 NUM = r"([0-9]+(?:\.[0-9]+)?)"
 
@@ -184,7 +210,7 @@ def cases_cte(tables: tuple[str, ...] = tuple(L.ANCHORS)) -> str:
         "WHEN kind = 'unit_conversion' THEN (mon // 12) || '년 ' || (mon % 12) || '개월' "
         "WHEN kind = 'date_shift' THEN (mon + 1) || '개월' "
         "WHEN kind IN ('missing_one_side', 'missing_both') THEN NULL ELSE anchor END")
-    traits = lambda i: case_map("mutation_type", {k: v[i] for k, v in TRAITS.items()})
+    traits = lambda i: case_map("mutation_type", {k: name for name, ks in (DIFFICULTY, SIGNAL)[i].items() for k in ks})
     return (
         f"anchors AS ({L.anchors_sql(tables)}), "
         f"kinded AS (SELECT *, {kinds} AS kind, {pct} AS pct, CASE WHEN family = 'date' THEN {as_date(date_match('anchor'))} END AS iso, "
