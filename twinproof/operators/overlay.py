@@ -112,9 +112,15 @@ def check_decisions(decisions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def latest_decisions(decisions: DataFrame, order: str = "decided_at") -> DataFrame:
-    """Last decision per (run, field): one aggregation instead of a window sort."""
+    """Last decision per (run, field); equal times go to the larger payload.
+
+    The latest time is a plain maximum that tasks combine by hash; only the rows that hold it
+    carry their payload into the second aggregation.
+    """
     payload = [c for c in decisions.columns if c not in ("run_id", "field")]
-    picked = decisions.groupBy("run_id", "field").agg(
+    top = decisions.groupBy("run_id", "field").agg(F.max(order).alias("_top"))
+    last = decisions.join(top, ["run_id", "field"]).filter(F.col(order).eqNullSafe(F.col("_top"))).drop("_top")
+    picked = last.groupBy("run_id", "field").agg(
         F.max_by(F.struct(*payload), F.struct(order, *[c for c in payload if c != order])).alias("_d"))
     return picked.select("run_id", "field", "_d.*")
 
