@@ -267,10 +267,17 @@ def rep_descriptives(spark, sf_dir):
     return round_all(out, "mean", "sd", "median").select("tier", "metric", "n", "mean", "sd", "min", "max", "median")
 
 
-@query()
+# The critical value by halving steps: the largest t whose two-sided p still exceeds 0.05.
+_T_CRIT = ("list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(0, 46), lambda j: 16.0 / pow(2.0, j))), "
+           f"lambda acc, step: CASE WHEN {_T_P.replace('abs(t)', '(acc + step)')} > 0.05 THEN acc + step ELSE acc END)")
+
+
+@query(f"WITH {_REPS}, m AS (SELECT tier, metric, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, CAST(count(*) - 1 AS DOUBLE) AS dof FROM reps GROUP BY 1, 2), "
+       f"h AS (SELECT *, CASE WHEN n > 1 AND sd > 0 THEN {_T_CRIT} * sd / sqrt(n) ELSE 0.0 END AS half FROM m) SELECT tier, metric, round(mean - half, 6) AS ci_lo, round(mean + half, 6) AS ci_hi FROM h")
 def rep_intervals(spark, sf_dir):
-    """t intervals of the means (critical values checked in the tests)."""
-    return stats.describe(event_reps(spark, sf_dir), "tier", "metric").select("tier", "metric", "ci_lo", "ci_hi")
+    """t intervals of the means."""
+    out = stats.describe(event_reps(spark, sf_dir), "tier", "metric")
+    return round_all(out, "ci_lo", "ci_hi").select("tier", "metric", "ci_lo", "ci_hi")
 
 
 _MOM = f"{_REPS}, m AS (SELECT tier, metric, count(*) AS n, avg(value) AS mean, var_samp(value) AS var FROM reps GROUP BY 1, 2)"
@@ -305,10 +312,21 @@ def mann_whitney(spark, sf_dir):
     return out.select("metric", "n_a", "n_b", F.round("u_stat", 3).alias("u_stat"), rounded("z").alias("z"), rounded("p_value").alias("p_value"))
 
 
-@query()
+_SIG = (f"WITH {_MWU}, m AS (SELECT tier, metric, count(*) AS n, avg(value) AS mean, var_samp(value) AS var FROM reps GROUP BY 1, 2), "
+        "j AS (SELECT metric, a.mean - b.mean AS gap, a.var / a.n AS ea, b.var / b.n AS eb, a.n AS na, b.n AS nb, sqrt((a.var + b.var) / 2) AS s FROM m a JOIN m b USING (metric) WHERE a.tier = 'click' AND b.tier = 'view'), "
+        "w AS (SELECT metric, 'click vs view' AS comparison, 'welch_t' AS test, gap, gap / s AS d, gap / sqrt(ea + eb) AS t, (ea + eb) * (ea + eb) / (ea * ea / (na - 1) + eb * eb / (nb - 1)) AS dof FROM j "
+        "UNION ALL SELECT metric, a.tier || ' vs error', 'one_sample_t', a.mean - b.mean, NULL, (a.mean - b.mean) / sqrt(a.var / a.n), CAST(a.n - 1 AS DOUBLE) FROM m a JOIN m b USING (metric) WHERE a.tier IN ('click', 'view') AND b.tier = 'error'), "
+        f"mw AS (SELECT metric, least(1.0, {_erfc('zz / sqrt(2.0)')}) AS p FROM (SELECT metric, (greatest(u1, na * nb - u1) - na * nb / 2 - 0.5) / sg AS zz FROM z)), "
+        f"p AS (SELECT *, {_T_P} AS p_value FROM w) "
+        "SELECT metric, comparison, test, round(gap, 6) AS mean_diff, round(d, 6) AS cohens_d, round(t, 6) AS t_stat, round(dof, 4) AS dof, round(p_value, 6) AS p_value, p_value < 0.05 AS significant_p05, "
+        "CASE WHEN test = 'welch_t' THEN round(mw.p, 6) END AS mannwhitney_p FROM p LEFT JOIN mw USING (metric)")
+
+
+@query(_SIG)
 def significance_table(spark, sf_dir):
-    """Three comparisons per metric with every p value (values checked in the tests)."""
-    return stats.significance_table(event_reps(spark, sf_dir), "error", "view", "click", ["even", "odd"])
+    """Three comparisons per metric with every p value."""
+    out = stats.significance_table(event_reps(spark, sf_dir), "error", "view", "click", ["even", "odd"])
+    return round_all(out, "mean_diff", "cohens_d", "t_stat", "p_value", "mannwhitney_p").withColumn("dof", F.round("dof", 4))
 
 
 @query(f"WITH {_JUDGES}, k AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (a AND b) AS x, count(*) FILTER (a AND NOT b) AS y, count(*) FILTER (NOT a AND b) AS w, count(*) FILTER (NOT a AND NOT b) AS v FROM judged), "
