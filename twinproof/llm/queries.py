@@ -112,9 +112,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-spots AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY array_to_string(w[pos:pos + 34], ' ')) AS n
+spots AS (SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 34], ' ')) AS h
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS pos FROM d WHERE len(w) >= 35)),
-gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS i FROM spots WHERE n > 1),
+twice AS (SELECT h FROM spots GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS i FROM spots SEMI JOIN twice USING (h)),
 each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 kept AS (SELECT e.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY e.i) AS text
   FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
