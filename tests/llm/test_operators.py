@@ -235,6 +235,12 @@ def test_language_spans(spark):
     assert [got[i].lang_pred for i in range(4)] == ["und", "und", "und", "ru"] and got[5].lang_pred == "de"
     assert [(s.lang, s.first, s.end) for s in got[4].spans] == [("en", 0, 20), ("de", 20, 40)]
     assert all(0 <= r.score <= 1 for r in got.values())
+    small = langid.Labeller(model)
+    langid.CACHED_WORDS, before = 3, langid.CACHED_WORDS
+    try:  # forgetting words changes nothing
+        assert [small.label(t)[:2] for t in texts for _ in range(2)] == [(got[i].lang_pred, got[i].score) for i in range(7) for _ in range(2)]
+    finally:
+        langid.CACHED_WORDS = before
     empty = langid.predict(frame(spark, texts).filter("doc_id < 0"))
     assert empty.count() == 0
     unlabelled = langid.predict(frame(spark, texts).withColumn("lang", F.lit(None).cast("string")))

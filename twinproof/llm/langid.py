@@ -34,7 +34,7 @@ GRAMS = 300_000
 LANGUAGES = 200
 SWITCH = 12.0
 FOREIGN = -40.0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 # First and last code points of scripts, apart from Latin the blocks of common use.
 SCRIPTS = (
@@ -141,65 +141,73 @@ def fit(labelled: DataFrame, size: int = SAMPLE_ROWS) -> dict:
 class Labeller:
     def __init__(self, model: dict, switch: float = SWITCH):
         self.model, self.switch, self.size = model, switch, len(model["languages"])
+        self.forget()
+
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.scores = np.zeros((1024, self.size), dtype=np.float64)
-        self.letters = np.zeros(1024, dtype=np.int64)
-
-    def word(self, word: str) -> tuple[np.ndarray, int]:
-        """The word's score in each language, and its number of letters."""
-        total, n = np.zeros(self.size), 0
-        known, logs = self.model["grams"], self.model["logs"]
-        for kind, letters in runs(word):
-            n += len(letters)
-            allowed = self.model["scripts"].get(kind)
-            if allowed is None or not allowed.any():
-                continue
-            own = logs[[known.get(g, 0) for g in grams(letters)]].sum(axis=0)
-            total = total + np.where(allowed, own, FOREIGN * len(letters))
-        return total - total.max(initial=-np.inf) if self.size else total, n
+        self.scores, self.letters = np.zeros((0, self.size)), np.zeros(0, dtype=np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        """Scores and numbers of letters of words that weren't met before, all at once."""
+        if len(self.index) > CACHED_WORDS:
+            self.forget()
+        fresh = [w for w in words if w not in self.index]
+        known, scripts, everywhere = self.model["grams"], self.model["scripts"], np.ones(self.size, dtype=bool)
+        ids, starts, owners, sizes, allowed = [], [], [], [], []
+        letters = np.zeros(len(fresh), dtype=np.int64)
+        for i, word in enumerate(fresh):
+            for kind, run in runs(word):
+                letters[i] += len(run)
+                used = scripts.get(kind)
+                if used is not None and used.any():
+                    starts.append(len(ids))
+                    ids += [known.get(g, 0) for g in grams(run)]
+                    owners.append(i)
+                    sizes.append(len(run))
+                    allowed.append(used if not used.all() else everywhere)
+        scores = np.zeros((len(fresh), self.size))
+        if ids and self.size:
+            own = np.add.reduceat(self.model["logs"][ids], starts, axis=0)
+            own = np.where(np.array(allowed), own, FOREIGN * np.array(sizes)[:, None])
+            np.add.at(scores, np.array(owners), own)
+            scores -= scores.max(axis=1, keepdims=True)
+        at = len(self.index)
+        self.index.update(zip(fresh, range(at, at + len(fresh))))
+        self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
 
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (words by languages) and letters of words."""
-        index = self.index
-        for w in {w for w in words if w not in index}:
-            if len(index) >= CACHED_WORDS:
-                break
-            if len(index) == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-            at = len(index)
-            self.scores[at], self.letters[at] = self.word(w)
-            index[w] = at
-        places = np.array([index.get(w, -1) for w in words], dtype=np.int64)
-        scores, letters = self.scores[places], self.letters[places]
-        for i in np.flatnonzero(places < 0).tolist():
-            scores[i], letters[i] = self.word(words[i])
-        return scores, letters
+        """Scores (words by languages) and letters of learnt words."""
+        places = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.scores[places], self.letters[places]
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The Viterbi labels of words."""
-        total = scores.sum(axis=0) + self.model["prior"]
-        best = int(np.argmax(total))
+        prior = self.model["prior"]
+        best = int(np.argmax(scores.sum(axis=0) + prior))
         gain = np.cumsum(scores - scores[:, [best]], axis=0)
         low = np.minimum(0, np.minimum.accumulate(np.vstack([np.zeros(self.size), gain[:-1]]), axis=0))
-        spare = self.model["prior"] - self.model["prior"][best]
-        if (gain - low + np.maximum(0, spare)).max() <= self.switch:
+        if (gain - low + np.maximum(0, prior - prior[best])).max() <= self.switch:
             return np.full(len(scores), best)
-        value, back = self.model["prior"] + scores[0], np.zeros(scores.shape, dtype=np.int64)
-        for i in range(1, len(scores)):
-            top = int(np.argmax(value))
-            moved = value[top] - self.switch > value
-            back[i] = np.where(moved, top, np.arange(self.size))
-            value = np.where(moved, value[top] - self.switch, value) + scores[i]
-        labels = np.zeros(len(scores), dtype=np.int64)
-        labels[-1] = int(np.argmax(value))
-        for i in range(len(scores) - 1, 0, -1):
-            labels[i - 1] = back[i, labels[i]]
-        return labels
+        value, back = (prior + scores[0]).tolist(), []
+        for row in scores[1:].tolist():
+            most = max(value)
+            least = most - self.switch  # a language below it is better reached from the best one
+            back.append((value.index(most), [v < least for v in value]))
+            value = [(least if v < least else v) + s for v, s in zip(value, row)]
+        label = value.index(max(value))
+        labels = [label]
+        for top, moved in reversed(back):
+            label = top if moved[label] else label
+            labels.append(label)
+        return np.array(labels[::-1])
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
         """(language, score, spans as (language, first word, end))."""
         words = (text or "").lower().split()
+        self.learn(set(words))
+        return self.label_words(words)
+
+    def label_words(self, words: list[str]) -> tuple[str, float, list[tuple[str, int, int]]]:
         if not words or not self.size:
             return "und", 0.0, []
         scores, letters = self.rows(words)
@@ -225,7 +233,11 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH, spans: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = kept.get(0) or kept.setdefault(0, Labeller(sent.value, switch))
         for batch in batches:
-            found = [labeller.label(t) for t in batch.column("text").to_pylist()]
+            found = []
+            for at in range(0, batch.num_rows, 500):  # their new words are scored together
+                split = [(t or "").lower().split() for t in batch.column("text").slice(at, 500).to_pylist()]
+                labeller.learn(set().union(*split))
+                found += map(labeller.label_words, split)
             made = [batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             names = ["doc_id", "lang_pred", "score"]
             if spans:
