@@ -67,10 +67,12 @@ def best_branches(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     while len(steps) <= limit and not reach.filter("up is not null").isEmpty():
         above = reach.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"),
                              F.col("total").alias("more"), F.col("depth").alias("deeper"), F.col("root").alias("root2"))
-        reach = cut(reach.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left").select(
+        # Nodes that have met their root are carried along and join no more.
+        waiting, arrived = reach.filter("up is not null"), reach.filter("up is null")
+        reach = cut(waiting.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left").select(
             "conv", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
             (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth"),
-            F.coalesce("root", "root2").alias("root")))
+            F.coalesce("root", "root2").alias("root")).unionByName(arrived))
         steps.append(reach)
     parents = steps[0].filter("up is not null").select(F.col("conv").alias("c"), F.col("up").alias("n")).distinct()
     leaves = reach.filter("root is not null").join(
