@@ -82,6 +82,14 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, texts):
     assert simhash.near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_dedup_keeps_unrelated_rows_of_null_and_equal_ids(spark):
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 200) for _ in range(4))
+    df = frame(spark, [a, b, c, d, a, c, c], ids=[None, None, 5, 5, None, 7, None])
+    got = sorted((str(r[0]), r[1]) for r in simhash.near_dedup(df).collect())
+    assert got == sorted([("None", a), ("None", b), ("5", c), ("5", d)])
+
+
 @pytest.mark.parametrize("block_chars", [decontaminate.BLOCK_CHARS, 300])
 def test_decontamination(spark, block_chars):
     rng = random.Random(5)

@@ -117,7 +117,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, key (hash of the text), print, component_id."""
+    """One row per row of ``docs``: doc_id, key (hash of the text), print, component_id and root.
+
+    ``root`` is the smallest fingerprint of the component. Unlike ``component_id``, which is null or
+    shared where doc_ids are null or repeat, it tells components apart.
+    """
     source = columns(docs, doc_id="doc_id", text="text").withColumn("key", F.xxhash64("text"))
     prints = cut(fingerprints(source, "doc_id", "key"))
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
@@ -125,16 +129,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rooted = nodes.join(label.withColumnRenamed("node", "print"), "print", "left").select(
         "print", "least", F.coalesce("root", "print").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("print", "component_id"), "print")
+    return prints.join(rooted.join(named, "root").select("print", "component_id", "root"), "print")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` but one of each component: that of the smallest doc_id.
+    """The rows of ``docs`` but one of each component: that of the smallest doc_id, nulls last.
 
-    Where several rows have that doc_id, one of them stays (that of the smallest text hash).
+    Where several rows of the component have that doc_id (or all have none), the one of the smallest
+    text hash stays. Rows of one doc_id in different components stay for each of them.
     """
     groups = near_groups(docs)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(
         F.min("key").alias("key")).select(F.col("component_id").alias("id"), F.col("key").alias("hash"))
     rows = packed(docs, doc_id="doc_id", text="text").withColumn("key", F.xxhash64("text"))
     held = rows.join(stay, rows.doc_id.eqNullSafe(stay.id) & (rows.key == stay.hash), "left_semi")
