@@ -264,6 +264,30 @@ def test_toxicity_edges(spark, texts):
     assert toxicity.score(df.limit(0), labels).count() == 0
 
 
+def test_toxicity_model_holds_every_letter_group(spark):
+    """More groups than the 300,000 beginnings that the model held once, and none dropped."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(40_000)]
+    rows = [(i, " ".join(words[i * 1000 : (i + 1) * 1000])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    fold = {r.doc_id for r in docs.filter(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(toxicity.FOLDS)) > 0).collect()}
+    spelt = [f" {w}\n" for i, text in rows if i in fold for w in text.split()]
+    want = {w[i - k : i] for w in spelt for k in range(1, toxicity.ORDER + 1) for i in range(max(2, k), len(w) + 1)}
+    assert len(model["steps"][0]) == len(want) > 300_000
+
+
+def test_toxicity_scores_whole_words(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 60, ["house", "garden", "river", "stone"]) + " zorgblat" * (i % 2)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int"))
+    texts = ["house", "zorgblat", "qqqzorgblat", "qqqhouse", "gardenriverstonezorgblat", "gardenriverstonegarden", "\u6f22" * 30 + "zorgblat", "\u6f22" * 30]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    x = {r.doc_id: r.x for r in toxicity.compared(made, model).collect()}
+    assert all(x[i] > x[j] + 0.5 for i, j in ((1, 0), (2, 3), (4, 5), (6, 7)))
+
+
 SF = "/root/testdata/sf0.01"
 
 

@@ -1,19 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class (ordinary, toxic) has a model that spells words: the next letter given the letters
-before it in the word, from discounted counts of the class's labelled texts. The discounted mass
-backs off to counts that both classes share: the same beginnings in either class, and below them
+Each class (ordinary, toxic) has a model that spells words: the next letter given up to ``ORDER`` - 1
+letters before it in the word, from discounted counts of the class's labelled texts. A letter is
+judged in the longest context that the labelled texts have it in, so every letter of every word is scored (one
+that they lack altogether is alike to both). Discounted mass backs off to counts that both classes share: the same context in either class, and below it
 trigram, bigram and single-letter continuation counts, the numbers of different words that a
 letter group occurs in, taken from all documents. A spelling that one class has hardly
 seen is thus judged alike by both, so rare expressions weigh little; ``PRIOR`` occurrences spread
 as the shared counts are added to each class for the same end. A document's score is a logistic function of
 the difference of the two log-likelihoods per word. Each word's difference counts by as much
-as it exceeds ``MARGIN``: what differs less is the style or language of the labelled texts,
-which would otherwise outweigh a few words in a long text.
+as it exceeds a margin: what differs less is the style or language of the labelled texts,
+which would otherwise outweigh a few words in a long text. The margin is the one of ``MARGINS`` under
+which the labels of the rows kept back are likeliest.
 
 Class counts come from about ``SAMPLE_ROWS`` labelled rows (all, if fewer) chosen by a hash of doc_id
-and read whole; one in ``FOLDS`` of them is kept back to fit the logistic function. The shared counts
-cover every document. The model sent to the executors holds at most ``BEGINNINGS`` word beginnings.
+and read whole; one in ``FOLDS`` of them is kept back to choose the margin and fit the logistic function. The shared counts
+cover every document. Counts, totals and ratios are Spark tables under 64-bit hashes of the letter
+groups. The model sent to the executors holds all groups of the sample, 12 bytes each.
 
 Defined results: null texts are empty, and a text without words scores as one with equal likelihoods; rows
 with null labels teach nothing; without labels of both classes all differences are 0;
@@ -29,23 +32,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import columns
+from twinproof.llm.common import columns, cut
 from twinproof.llm.langid import sampled
 
 SAMPLE_ROWS = 20_000
 FOLDS = 4
 DISCOUNT = 0.75
 PRIOR = 5.0
-MARGIN = 2.5
-LONGEST = 12
-BEGINNINGS = 300_000
-GROUPS = 500_000
+#: Margins to choose from by the likelihood of the rows kept back from the training rows.
+MARGINS = (0.0, 1.0, 2.5, 5.0, 7.5, 10.0, 15.0)
+#: Letters of the longest counted groups: a letter and the context before it.
+ORDER = 6
 CACHED_WORDS = 300_000
 LETTERS = re.compile(r"[^\W_]+")
 END = "\n"
+EMPTY = 0x9E3779B97F4A7C15
 
 
 def spelled(chunk: str) -> list[str]:
@@ -53,6 +57,35 @@ def spelled(chunk: str) -> list[str]:
     return LETTERS.findall(chunk)
 
 
+class Groups:
+    """Hashes of the letter groups of words, which are written with a space before and END after.
+
+    ``at[k][i]`` is the hash of the k letters that end at place i of all words; ``depth`` is the place in the
+    word, so a group of k letters lies within its word where k <= depth + 1. Places of depth 0 are spaces.
+    """
+
+    def __init__(self, words: list[str], order: int = ORDER):
+        joined = "".join([f" {w}{END}" for w in words])
+        letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+        self.starts = np.cumsum(sizes) - sizes
+        self.word = np.repeat(np.arange(len(words)), sizes)
+        self.depth = np.arange(len(letters)) - self.starts[self.word]
+        self.at = [np.full(len(letters), EMPTY, dtype=np.uint64)]
+        for _ in range(order):
+            before = self.at[-1]
+            x = (np.concatenate([before[:1], before[:-1]]) ^ (letters * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            self.at.append(x ^ (x >> np.uint64(32)))
+
+    def context(self, k: int, places: np.ndarray) -> np.ndarray:
+        """The hashes of the k - 1 letters before the last one of groups of k letters."""
+        return self.at[k - 1][places - 1]
+
+    def places(self, k: int) -> np.ndarray:
+        return np.flatnonzero((self.depth > 0) & (self.depth >= k - 1))
+
+
 def word_types(texts: DataFrame) -> DataFrame:
     """The different words of all texts."""
 
@@ -72,18 +105,57 @@ def word_types(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string").distinct()
 
 
-def shared_counts(texts: DataFrame) -> dict[str, int]:
-    """For groups of up to three letters: in how many different words they occur, over all texts."""
-    end = F.concat(F.lit(" "), F.col("word"), F.lit(END))
-    groups = [F.transform(F.sequence(F.lit(1), F.length(end) - n + 1), lambda i, n=n: F.substr(end, i, F.lit(n))) for n in (1, 2)]
-    groups.append(F.transform(F.sequence(F.lit(1), F.length(end) - 2), lambda i: F.substr(end, i, F.lit(3))))
-    told = word_types(texts).select(F.explode(F.array_distinct(F.flatten(F.array(*groups)))).alias("group")).groupBy("group").agg(
-        F.count("*").alias("n")).orderBy(F.desc("n"), "group").limit(GROUPS).toArrow()
-    return dict(zip(told.column("group").to_pylist(), told.column("n").to_pylist()))
+def batch_of(names: str, *arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64)) for a in arrays], names.split())
+
+
+def shared_counts(texts: DataFrame) -> DataFrame:
+    """(size, g, ctx, low, n): in how many different words each group of up to three letters occurs, over all texts.
+
+    ``ctx`` is the group without its last letter and ``low`` without its first one.
+    """
+    names = "size g ctx low n"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = Groups(batch.column("word").to_pylist(), 3)
+            for k in (1, 2, 3):
+                places = words.places(k)
+                # A group counts once a word, so the first of its places in the word.
+                order = np.lexsort((words.at[k][places], words.word[places]))
+                g, w = words.at[k][places][order], words.word[places][order]
+                places = places[order][np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])[: len(g)]]
+                _, first, n = np.unique(words.at[k][places], return_index=True, return_counts=True)
+                at = places[first]
+                yield batch_of(names, np.full(len(at), k), words.at[k][at], words.context(k, at), words.at[k - 1][at], n)
+
+    found = word_types(texts).mapInArrow(run, ", ".join(f"{c} long" for c in names.split()))
+    return found.groupBy("size", "g", "ctx", "low").agg(F.sum("n").alias("n"))
+
+
+def shared_letters(counts: DataFrame) -> DataFrame:
+    """(shape, p): interpolated continuation probabilities of the last letters of groups of up to three letters."""
+    counts = cut(counts)
+    top = counts.filter("size = 1").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    known = counts.filter("size = 1").crossJoin(F.broadcast(top)).select(
+        "g", ((F.col("n") + 0.5) / (F.col("total") + 0.5 * (F.col("kinds") + 1))).alias("p"))
+    out = known.select(F.col("g").alias("shape"), "p")
+    for size in (2, 3):
+        own = counts.filter(F.col("size") == size)
+        sums = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        below = known.select(F.col("g").alias("low"), F.col("p").alias("p_low"))
+        known = own.join(sums, "ctx").join(below, "low").select("g", (
+            (F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p_low")) / F.col("total")).alias("p"))
+        out = out.unionByName(known.select(F.col("g").alias("shape"), "p"))
+    return out
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
-    """(start, n0, n1): occurrences of word beginnings of up to LONGEST letters by class."""
+    """(g, ctx, shape, n0, n1): occurrences of groups of up to ORDER letters by class.
+
+    ``ctx`` is the group without its last letter, ``shape`` the last three letters there (two at a word's start).
+    """
+    names = "g ctx shape n0 n1"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -91,70 +163,49 @@ def class_counts(rows: DataFrame) -> DataFrame:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 held[toxic].update((text or "").lower().split())
             if sum(map(len, held.values())) > 200_000:
-                yield told(held)
+                yield from told(held)
                 held = {0: Counter(), 1: Counter()}
-        yield told(held)
+        yield from told(held)
 
-    def told(held: dict[int, Counter]) -> pa.RecordBatch:
-        sums: dict[int, Counter] = {}
+    def told(held: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list[int]] = {}
         for label, chunks in held.items():
-            own = sums[label] = Counter()
             for chunk, n in chunks.items():
                 for word in spelled(chunk):
-                    word += END
-                    for i in range(1, min(len(word), LONGEST) + 1):
-                        own[word[:i]] += n
-        starts = list(sums[0].keys() | sums[1].keys())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(starts, pa.string()), *[pa.array([sums[c][s] for s in starts], pa.int64()) for c in (0, 1)]], ["start", "n0", "n1"])
-
-    counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "start string, n0 long, n1 long")
-    return counted.groupBy("start").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-class Shared:
-    """Letter probabilities by interpolated continuation counts."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.counts, self.total, self.kinds = counts, Counter(), Counter()
-        for group, n in counts.items():
-            self.total[group[:-1]] += n
-            self.kinds[group[:-1]] += 1
-
-    def letter(self, before: str, x: str) -> float:
-        if not before:
-            return (self.counts.get(x, 0) + 0.5) / (self.total[""] + 0.5 * (self.kinds[""] + 1))
-        low = self.letter(before[1:], x)
-        total = self.total[before]
-        if not total:
-            return low
-        return (max(0.0, self.counts.get(before + x, 0) - DISCOUNT) + DISCOUNT * self.kinds[before] * low) / total
-
-
-def spellings(starts: dict[str, tuple[int, int]], shared: Shared) -> dict[str, tuple[float, float]]:
-    """For each word beginning: the log ratio of its last letter, and that of any unseen next letter."""
-    total: dict[str, list[int]] = {"": [0, 0, 0]}
-    kinds: dict[str, list[int]] = {"": [0, 0, 0]}
-    pooled = {s: (n0, n1, n0 + n1) for s, (n0, n1) in starts.items()}
-    for s, ns in pooled.items():
-        for c in (0, 1, 2):
-            total.setdefault(s[:-1], [0, 0, 0])[c] += ns[c]
-            kinds.setdefault(s[:-1], [0, 0, 0])[c] += ns[c] > 0
-    none = [0, 0, 0]
-
-    def smoothed(s: str, c: int, low: float) -> float:
-        spare = DISCOUNT * kinds[s[:-1]][c] + PRIOR
-        return (max(0.0, pooled[s][c] - DISCOUNT) + spare * low) / (total[s[:-1]][c] + PRIOR)
-
-    out = {}
-    for s in ["", *starts]:
-        step, n, k = 0.0, total.get(s, none), kinds.get(s, none)
-        mass = [(DISCOUNT * k[c] + PRIOR) / (n[c] + PRIOR) for c in (0, 1)]
-        if s:
-            both = smoothed(s, 2, shared.letter((" " + s[:-1])[-2:], s[-1]))
-            step = math.log(smoothed(s, 1, both) / smoothed(s, 0, both))
-        out[s] = (step, math.log(mass[1] / mass[0]))
-    return out
+                    sums.setdefault(word, [0, 0])[label] += n
+        words, ns = Groups(list(sums)), np.array(list(sums.values()), dtype=np.float64).reshape(-1, 2)
+        for k in range(1, ORDER + 1):
+            places = words.places(k)
+            g, first, own = np.unique(words.at[k][places], return_index=True, return_inverse=True)
+            n = [np.bincount(own, weights=ns[words.word[places], c], minlength=len(g)) for c in (0, 1)]
+            at = places[first]
+            # The shared letter of a group follows from the group itself: its own last three letters, or all it has.
+            yield batch_of(names, g, words.context(k, at), words.at[min(k, 3)][at], *n)
+
+    counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, ", ".join(f"{c} long" for c in names.split()))
+    return counted.groupBy("g", "ctx", "shape").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def spellings(counts: DataFrame, letters: DataFrame) -> DataFrame:
+    """(g, step): the log ratio of the last letter of each group, given the letters before it."""
+    both = counts.withColumn("n2", F.col("n0") + F.col("n1"))
+    sums = both.groupBy("ctx").agg(*[F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1, 2)], *[
+        F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"k{c}") for c in (0, 1, 2)])
+
+    def smoothed(c: int, low: Column) -> Column:
+        spare = DISCOUNT * F.col(f"k{c}") + PRIOR
+        return (F.greatest(F.lit(0.0), F.col(f"n{c}") - DISCOUNT) + spare * low) / (F.col(f"t{c}") + PRIOR)
+
+    return both.join(sums, "ctx").join(letters, "shape").withColumn("both", smoothed(2, F.col("p"))).select(
+        "g", F.log(smoothed(1, F.col("both")) / smoothed(0, F.col("both"))).alias("step"))
+
+
+def fetched(table: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their values."""
+    told = table.select(key, F.col(value).cast("float")).toArrow()
+    keys, values = told.column(0).to_numpy().view(np.uint64), told.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order].astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS) -> dict:
@@ -163,13 +214,22 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS) -> dict:
         F.max("toxic").alias("toxic"))
     # At most about ``size`` rows of two numbers, so this side may be broadcast.
     rows = docs.join(F.broadcast(wanted), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)))
-    counts = class_counts(rows.filter("fold > 0")).orderBy(F.desc(F.col("n0") + 8 * F.col("n1")), "start").limit(BEGINNINGS).toArrow()
-    starts = dict(zip(counts.column("start").to_pylist(), zip(counts.column("n0").to_pylist(), counts.column("n1").to_pylist())))
-    shared = Shared(shared_counts(docs.select("text")))
-    both = all(sum(n[c] for n in starts.values()) for c in (0, 1))
-    model = {"starts": spellings(starts, shared) if both else {"": (0.0, 0.0)}, "weights": (0.0, 0.0)}
-    held = compared(rows.filter("fold = 0").select("doc_id", "text", "toxic"), model, "toxic").select("x", "toxic").toArrow()
-    return model | {"weights": logistic(held.column("x").to_numpy(), held.column("toxic").to_numpy())}
+    counts = cut(class_counts(rows.filter("fold > 0")))
+    seen = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    model = {"steps": (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)), "weights": (0.0, 0.0), "margin": MARGINS[0]}
+    if seen.n0 and seen.n1:
+        steps = spellings(counts, cut(shared_letters(shared_counts(docs.select("text")))))
+        model["steps"] = fetched(steps, "g", "step")
+    held = compared(rows.filter("fold = 0").select("doc_id", "text", "toxic"), model, "toxic", margins=MARGINS).select("x", "toxic").toArrow()
+    x, y = np.array(held.column("x").to_pylist()).reshape(-1, len(MARGINS)), held.column("toxic").to_numpy()
+    fitted = [logistic(x[:, i], y) for i in range(len(MARGINS))]
+    best = min(range(len(MARGINS)), key=lambda i: loss(x[:, i], y, *fitted[i]))
+    return model | {"weights": fitted[best], "margin": MARGINS[best]}
+
+
+def loss(x: np.ndarray, y: np.ndarray, a: float, b: float) -> float:
+    """Minus the log-likelihood of labels under a logistic function."""
+    return float(np.logaddexp(0, np.where(y == 1, -1, 1) * (a + b * x)).sum())
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -189,48 +249,77 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(weights[0]), float(weights[1] / scale)
 
 
+def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in the table, and their values (0 for others)."""
+    if not len(table[0]):
+        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    found = table[0][at] == keys
+    return found, np.where(found, table[1][at], 0.0)
+
+
 class Scorer:
-    def __init__(self, model: dict):
-        self.starts = model["starts"]
-        self.chunks: dict[str, tuple[float, int]] = {}
-
-    def chunk(self, chunk: str) -> tuple[float, int]:
-        """(excess difference of the log-likelihoods, number of words) of a stretch without white space."""
-        total, words = 0.0, spelled(chunk)
-        for word in words:
-            own, word, missed = 0.0, word + END, self.starts[""][1]
-            for i in range(1, min(len(word), LONGEST) + 1):
-                known = self.starts.get(word[:i])
-                if known is None:
-                    own += missed
-                    break
-                own, missed = own + known[0], known[1]
-            total += max(0.0, own - MARGIN)
-        if len(self.chunks) < CACHED_WORDS:
-            self.chunks[chunk] = (total, len(words))
-        return total, len(words)
-
-    def difference(self, text: str | None) -> float:
-        """The square root of the words' mean excess of log p(word | toxic) - log p(word | ordinary)."""
-        known, chunk = self.chunks, self.chunk
-        found = [known.get(c) or chunk(c) for c in (text or "").lower().split()]
-        n = sum(f[1] for f in found)
-        return math.sqrt(sum(f[0] for f in found) / n) if n else 0.0
-
-
-def compared(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
-    """doc_id, the kept columns and x, the difference of the length-normalised log-likelihoods."""
+    def __init__(self, model: dict, margins: tuple[float, ...]):
+        self.steps, self.margins = model["steps"], np.array(margins)
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.sums = np.zeros((0, len(self.margins) + 1))
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary) of words, all their letters included."""
+        groups = Groups(words)
+        own, left = np.zeros(len(groups.word)), groups.places(1)
+        for k in range(ORDER, 0, -1):
+            inside = groups.depth[left] >= k - 1
+            places, rest = left[inside], left[~inside]
+            found, step = looked_up(self.steps, groups.at[k][places])
+            own[places] += step
+            left = np.concatenate([rest, places[~found]])
+        return np.add.reduceat(own, groups.starts) if words else np.zeros(0)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Excess differences of the log-likelihoods by margin, and numbers of words, of stretches without white space, all at once."""
+        if len(self.index) > CACHED_WORDS:
+            self.forget()
+        fresh = [c for c in chunks if c not in self.index]
+        split = [spelled(c) for c in fresh]
+        own = self.words([w for words in split for w in words])
+        owners = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), dtype=np.int64, count=len(split)))
+        sums = [np.bincount(owners, weights=np.maximum(0.0, own - m), minlength=len(split)) for m in self.margins]
+        sums.append(np.bincount(owners, minlength=len(split)))
+        at = len(self.index)
+        self.index.update(zip(fresh, range(at, at + len(fresh))))
+        self.sums = np.concatenate([self.sums, np.stack(sums, axis=1)])
+
+    def differences(self, texts: list[str | None]) -> np.ndarray:
+        """The square roots of the words' mean excess of log p(word | toxic) - log p(word | ordinary), by text and margin."""
+        out = np.zeros((len(texts), len(self.margins)))
+        for at in range(0, len(texts), 500):  # their new words are scored together
+            split = [(t or "").lower().split() for t in texts[at : at + 500]]
+            self.learn(set().union(*split))
+            for i, chunks in enumerate(split, at):
+                if chunks:
+                    found = self.sums[np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int64, count=len(chunks))].sum(axis=0)
+                    out[i] = np.sqrt(found[:-1] / max(1.0, found[-1]))
+        return out
+
+
+def compared(docs: DataFrame, model: dict, *keep: str, margins: tuple[float, ...] = ()) -> DataFrame:
+    """doc_id, the kept columns and x, the difference of the length-normalised log-likelihoods (an array under several margins)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = kept.get(0) or kept.setdefault(0, Scorer(sent.value))
+        scorer = kept.get(0) or kept.setdefault(0, Scorer(sent.value, margins or (sent.value["margin"],)))
         for batch in batches:
-            x = pa.array([scorer.difference(t) for t in batch.column("text").to_pylist()], pa.float64())
+            found = scorer.differences(batch.column("text").to_pylist())
+            x = pa.array(found.tolist(), pa.list_(pa.float64())) if margins else pa.array(found[:, 0])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *keep)], x], ["doc_id", *keep, "x"])
 
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join([*kinds, "x double"]))
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join([*kinds, "x array<double>" if margins else "x double"]))
 
 
 def held_out(doc_id: str = "doc_id"):
