@@ -255,6 +255,20 @@ def test_language_spans(spark):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_rare_language_beside_large_ones(spark):
+    """Neither the sample of rows nor the trigrams of a large script push out a language with one row."""
+    rng = random.Random(6)
+    han = ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(1000)) for _ in range(320)]
+    rows = [(i, t, "zh") for i, t in enumerate(han + han)] + [(i, "the house and the thing with", "en") for i in range(1000, 1400)]
+    rows.append((5000, "kvarpo zulmi drebta fosk", "rare"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for size in (langid.SAMPLE_ROWS, 20):  # all rows; about 20 of each language
+        model = langid.fit(df, size)
+        assert model["languages"] == ["en", "rare", "zh"] and np.allclose(np.exp(model["prior"]) * 1041, [400, 1, 640])
+        assert {"kva", "lmi", "osk", "the"} <= model["grams"].keys()
+        assert [langid.Labeller(model).label(t)[0] for t in ("kvarpo zulmi drebta fosk", "the house")] == ["rare", "en"]
+
+
 def test_toxicity_edges(spark, texts):
     df = frame(spark, texts)
     labels = spark.createDataFrame([(i, i % 2 if i % 3 else None, "z") for i in range(20)], "doc_id long, toxic int, text string")

@@ -7,9 +7,9 @@ change the language, and runs of equal labels are the spans. When no stretch of
 another language by more than the penalty, the best single language is the Viterbi path, which
 one vectorised pass shows; only other texts run the recursion.
 
-The trigram counts are fitted on a sample of about ``SAMPLE_ROWS`` labelled rows (all, if fewer), chosen
-by a hash of doc_id and read whole; at most ``GRAMS`` trigrams are kept. Every document is
-predicted from its whole text.
+The trigram counts are fitted on a sample of about ``SAMPLE_ROWS`` labelled rows of each language (all, if
+fewer), chosen by a hash of doc_id and read whole, and all trigrams of it are kept. How common a
+language is counts over all labelled rows. Every document is predicted from its whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything if
 there is nothing to learn from; ties go to the language first in alphabetical order; repeated
@@ -24,13 +24,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import columns
+from twinproof.llm.common import columns, cut
 
 SAMPLE_ROWS = 20_000
-GRAMS = 300_000
 LANGUAGES = 200
 SWITCH = 12.0
 FOREIGN = -40.0
@@ -83,23 +83,35 @@ def sampled(rows: DataFrame, size: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) < (size << 40) // total)
 
 
+def sampled_each(rows: DataFrame, totals: dict[str, int], size: int) -> DataFrame:
+    """About ``size`` rows of each language by a hash of doc_id; all rows of a language that has fewer."""
+    shares = {x: (size << 40) // n for x, n in totals.items() if n > size}
+    if not shares:
+        return rows
+    limit = F.lit(1 << 40)
+    for lang, share in shares.items():
+        limit = F.when(F.col("lang") == lang, share).otherwise(limit)
+    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) < limit)
+
+
 def fit(labelled: DataFrame, size: int = SAMPLE_ROWS) -> dict:
-    """The model of rows (doc_id, text, lang): languages, trigram log-probabilities, scripts."""
+    """The model of rows (doc_id, text, lang): languages, trigram log-probabilities, scripts.
+
+    ``size`` is the number of rows sampled from each language.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
-        rows: Counter = Counter()
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 words.setdefault(lang, Counter()).update(text.lower().split())
-                rows[lang] += 1
             if sum(map(len, words.values())) > 200_000:
-                yield told(words, rows)
-                words, rows = {}, Counter()
-        yield told(words, rows)
+                yield told(words)
+                words = {}
+        yield told(words)
 
-    def told(words: dict[str, Counter], rows: Counter) -> pa.RecordBatch:
-        found: Counter = Counter({(lang, "rows", ""): n for lang, n in rows.items()})
+    def told(words: dict[str, Counter]) -> pa.RecordBatch:
+        found: Counter = Counter()
         for lang, own in words.items():
             for word, n in own.items():
                 for kind, letters in runs(word):
@@ -110,29 +122,31 @@ def fit(labelled: DataFrame, size: int = SAMPLE_ROWS) -> dict:
             [pa.array([k[i] for k in found], pa.string()) for i in range(3)] + [pa.array(list(found.values()), pa.int64())],
             ["lang", "what", "name", "n"])
 
-    known = sampled(labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()), size)
-    counted = known.select("text", "lang").mapInArrow(count, "lang string, what string, name string, n long")
-    summed = counted.groupBy("lang", "what", "name").agg(F.sum("n").alias("n"))
-    told = summed.filter("what <> 'gram'").limit(LANGUAGES * (len(SCRIPTS) + 2) + 1).toArrow().to_pylist()
-    languages = sorted({r["lang"] for r in told})
+    known = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    per = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).toArrow().to_pylist()}
+    languages = sorted(per)
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages to learn")
-    grammed = summed.filter("what = 'gram'").orderBy(F.desc("n"), "name", "lang").limit(GRAMS).toArrow().to_pylist()
+    counted = sampled_each(known, per, size).select("text", "lang").mapInArrow(count, "lang string, what string, name string, n long")
+    summed = cut(counted.groupBy("lang", "what", "name").agg(F.sum("n").alias("n")))
+    told = summed.filter("what <> 'gram'").toArrow().to_pylist()
+    grammed = summed.filter("what = 'gram'").select("name", "lang", "n").toArrow()
     at = {x: i for i, x in enumerate(languages)}
-    table: dict[str, np.ndarray] = {}
-    for r in grammed:
-        table.setdefault(r["name"], np.zeros(len(languages)))[at[r["lang"]]] = r["n"]
-    totals = sum(table.values(), np.zeros(len(languages))) + 0.5 * max(1, len(table))
+    names = pc.unique(grammed.column("name"))
+    table = np.zeros((len(names), len(languages)))
+    owners = np.array([at[x] for x in grammed.column("lang").to_pylist()], dtype=np.int64)
+    table[pc.index_in(grammed.column("name"), names).to_numpy(), owners] = grammed.column("n").to_numpy()
+    totals = table.sum(axis=0) + 0.5 * max(1, len(table))
     scripts: dict[str, np.ndarray] = {}
     for r in told:
         if r["what"] == "script":
             scripts.setdefault(r["name"], np.zeros(len(languages)))[at[r["lang"]]] = r["n"]
     letters = np.maximum(1, sum(scripts.values(), np.zeros(len(languages))))
-    prior = np.array([sum(r["n"] for r in told if r["what"] == "rows" and r["lang"] == x) for x in languages], dtype=float)
+    prior = np.array([per[x] for x in languages], dtype=float)
     rest = np.log(0.5 / totals) if languages else np.zeros(0)
     return {
-        "languages": languages, "grams": {g: i for i, g in enumerate(table, 1)},
-        "logs": np.vstack([rest, *[np.log((c + 0.5) / totals) for c in table.values()]]),  # row 0: other trigrams
+        "languages": languages, "grams": {g: i for i, g in enumerate(names.to_pylist(), 1)},
+        "logs": np.vstack([rest, np.log((table + 0.5) / totals)]),  # row 0: other trigrams
         "scripts": {s: c / letters >= 0.01 for s, c in scripts.items()},
         "prior": np.log(prior / max(1.0, prior.sum())) if languages else np.zeros(0),
     }
