@@ -179,6 +179,18 @@ def test_quality_distances(spark):
     assert not got["kept"][got["doc_id"] >= 300].any() and got["kept"][got["doc_id"] < 300].all()
 
 
+def test_quality_cut_and_small_groups(spark):
+    """Junk at a distance between the chi-square point and 100 goes, and 40 rows get an estimate of their own."""
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(60, 400)) for _ in range(300)]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    rows += [(300, texts[0] + " #" * (len(texts[0].split()) // 12), "en", "a", 1)]
+    rows += [(1000 + i, " ".join("long" * 10 + w for w in t.split()), "en", "b", 1) for i, t in enumerate(texts[:40])]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert 12.84 < got[300].d < 100 and not got[300].kept
+    assert all(got[1000 + i].d < 12.83 and got[1000 + i].kept for i in range(40))
+
+
 def test_bpe_equals_the_library(spark, texts):
     from tokenizers import Tokenizer
 

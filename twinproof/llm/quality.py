@@ -6,9 +6,10 @@ the plain limits become transformed statistic vectors (``FEATURES``). For each l
 source the minimum covariance determinant is approached by concentration steps: from a start,
 the ``SHARE`` of rows nearest by Mahalanobis distance give the next mean and covariance. Two
 deterministic starts (coordinate-wise medians and quartile spreads; means and variances) run
-side by side and the smaller determinant wins. Rows farther than the cut are rejected.
+side by side until their determinants stop falling, and the smaller one wins. Rows farther than the
+97.5 % point of chi-square are rejected.
 
-Groups of fewer than ``LEAST_ROWS`` rows use the estimate of their language, and then the one of
+Groups of fewer than ``LEAST_ROWS`` rows, too few for a covariance of five features, use the estimate of their language, and then the one of
 all rows. A variance floor keeps columns that hardly vary (no repeated lines, say) from turning
 every small deviation into an outlier. The nearest rows of a group are cut at an approximate
 quantile (an aggregate of bounded size), so a source with a third of all rows is never
@@ -28,15 +29,20 @@ from twinproof.llm.common import SPACES, columns, cut
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 SHARE = 0.75
-LEAST_ROWS = 200
-STEPS = 3
+#: Five rows a feature, as is usual for this estimator.
+LEAST_ROWS = 25
+#: Steps end when no determinant falls; this is only a guard against an endless loop.
+STEPS = 100
+#: Fall of a log determinant that counts.
+FALL = 1e-6
 #: Up to so many groups (about 500 bytes each) their estimates are sent to every executor; more
 #: groups are joined by shuffle.
 SENT_GROUPS = 20_000
-#: The nearest three quarters vary too little; for normal rows with five features this mends it.
-CONSISTENT = 1.6
-#: Squared distance beyond which a row is an outlier, in units of the consistent covariance.
-CUT = 100.0
+#: The nearest three quarters vary too little; for normal rows with five features this mends it:
+#: SHARE / P(chi-square with 7 degrees <= the SHARE point of chi-square with 5).
+CONSISTENT = 1.4121
+#: Squared distance beyond which a row is an outlier: the 97.5 % point of chi-square with 5 degrees.
+CUT = 12.8325
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
 #: Smallest standard deviation of each feature.
 FLOOR = (0.5, 0.08, 0.05, 0.05, 0.08)
@@ -125,6 +131,18 @@ def _sent(groups: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(groups) if few else groups
 
 
+def _told(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys renamed for a join by ``_same``."""
+    return groups.select(*[F.col(k).alias(f"h_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+
+
+def _same(keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"h_{k}"))
+    return on
+
+
 def _far(rows: DataFrame, estimate: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """Each row of a group with its squared distance ``d`` under the group's estimate."""
     p = range(len(FEATURES))
@@ -145,18 +163,25 @@ def concentrate(rows: DataFrame, keys: list[str], few: bool) -> DataFrame:
     plain = rows.groupBy(*keys).agg(*_moments()).select(*keys, F.lit("mean").alias("start"), *[f"m{i}" for i in p], *[
         (F.col(f"v{i}{j}") if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i in p for j in range(i + 1)])
     group = [*keys, "start"]
-    estimate = _estimate(spread.unionByName(plain), group, 1.0)
+    live = spread.unionByName(plain).withColumn("ld", F.lit(float("inf")))
     twice = rows.withColumn("start", F.explode(F.array(F.lit("median"), F.lit("mean"))))
-    for step in range(STEPS):
-        far = _far(twice, estimate, group, few)
-        limit = far.groupBy(*group).agg(F.percentile_approx("d", SHARE, 1000).alias("limit")).select(
-            *[F.col(k).alias(f"h_{k}") for k in group], "limit")
-        on = F.lit(True)
-        for k in group:
-            on = on & F.col(k).eqNullSafe(F.col(f"h_{k}"))
-        near = far.join(_sent(limit, few), on).filter(F.col("d") <= F.col("limit"))
-        last = step == STEPS - 1
-        estimate = _estimate(cut(near.groupBy(*group).agg(*_moments())), group, CONSISTENT if last else 1.0)
+    found: DataFrame | None = None
+    for _ in range(STEPS):
+        far = _far(twice, _estimate(live, group, 1.0).drop("logdet"), group, few)
+        limit = far.groupBy(*group).agg(F.percentile_approx("d", SHARE, 1000).alias("limit"))
+        near = far.join(_sent(_told(limit, group), few), _same(group)).filter(F.col("d") <= F.col("limit")).drop(*[f"h_{k}" for k in group])
+        moments = cut(near.groupBy(*group).agg(*_moments()))
+        dets = _estimate(moments, group, 1.0).select(*group, F.col("logdet").alias("ld"))
+        last = live.select(*group, F.col("ld").alias("last"))
+        step = moments.join(_sent(_told(dets, group), few), _same(group)).drop(*[f"h_{k}" for k in group])
+        step = cut(step.join(_sent(_told(last, group), few), _same(group)).drop(*[f"h_{k}" for k in group]))
+        found = step if found is None else found.unionByName(step)
+        live = step.filter(F.col("ld") < F.col("last") - FALL).drop("last")
+        if live.isEmpty():
+            break
+    values = [c for c in found.columns if c not in group]
+    least = found.groupBy(*group).agg(F.min_by(F.struct(*values), "ld").alias("e")).select(*group, "e.*")
+    estimate = _estimate(least, group, CONSISTENT)
     best = estimate.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in estimate.columns if c not in group]), "logdet").alias("e"))
     return cut(best.select(*keys, "e.*").drop("logdet"))
 
