@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinproof.llm import bpe, chat, decontaminate, langid, linededup, quality, secrets, simhash, substring, toxicity
+from twinproof.llm import (
+    bpe, chat, decontaminate, fim, langid, licences, linededup, merkle, quality, secrets, simhash, substring, toxicity,
+)
 from twinproof.llm.common import digest, table
 from twinproof.session import ship_package
 
@@ -157,6 +159,100 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lowered).otherwise(F.col("text"))
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), claimed=tampered).proofs()
+    root = merkle.folded(F.col("claim"), F.col("path"))
+    told = proofs.select("doc_id", "leaf", "subroot", "root", merkle.sha(merkle.siblings(F.col("path"))).alias("proof_sha256"), root.alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op11_sql() -> str:
+    value = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(value, ("doc_id", "source", "lang", "n_chars")), value(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(4294967295, list_reduce([4294967295] || [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')], lambda c, b: {bits}))"
+    tree = lambda name, base: f"""
+{name} AS (SELECT g, 0 AS level, pos, n, hash FROM {base} UNION ALL
+  SELECT g, level + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(hash, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, level, pos // 16),
+{name}_runs AS (SELECT g, level, pos // 16 AS up, list(hash ORDER BY pos) AS kids FROM {name} WHERE n > 1 GROUP BY g, level, pos // 16)"""
+    left, right = "array_to_string(kids[:pos % 16], '')", "array_to_string(kids[pos % 16 + 2:], '')"
+    fold = lambda name, base, runs: f"""
+{name} AS (SELECT doc_id, g, 0 AS level, pos, n, own, '' AS told FROM {base} UNION ALL
+  SELECT f.doc_id, f.g, f.level + 1, f.pos // 16, (f.n + 15) // 16, sha256({left} || own || {right}), told || {left} || {right}
+  FROM {name} f JOIN {runs} r ON f.g = r.g AND f.level = r.level AND f.pos // 16 = r.up WHERE f.n > 1)"""
+    return f"""
+WITH RECURSIVE docs AS (SELECT *, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, CASE WHEN {crc} % 5 = 0 THEN {lower} ELSE text END AS told FROM documents),
+rows AS (SELECT doc_id, g, {leaf('text')} AS hash, {leaf('told')} AS own, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY g) AS n
+  FROM docs WINDOW w AS (PARTITION BY g ORDER BY doc_id)), {tree("low", "rows")},
+tops AS (SELECT '' AS g, g AS key, hash, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1), {tree("high", "tops")},
+root AS (SELECT hash AS root FROM high WHERE n = 1), {fold("up", "rows", "low_runs")},
+mid AS (SELECT doc_id, t.g, t.key, t.hash AS subroot, t.pos, t.n, own, told FROM up JOIN tops t ON up.g = t.key WHERE up.n = 1),
+{fold("over", "mid", "high_runs").replace("'' AS told", "told")}
+SELECT r.doc_id, r.hash AS leaf, m.subroot, root, sha256(o.told) AS proof_sha256, o.own AS folded_root, o.own = root AS verified
+FROM rows r JOIN mid m ON r.doc_id = m.doc_id JOIN over o ON r.doc_id = o.doc_id AND o.n = 1, root"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+  CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("places", lambda x: x["base"])
+    joined = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda x: x["label"]))), ",")
+    return licences.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(F.transform(base, lambda x: x["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda x: x["first"])).alias("last_word"), joined(base).alias("base_labels"), joined("places").alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda x: x["share"])), F.lit(0.0)).alias("score"))
+
+
+def _op13_sql() -> str:
+    words, keys = [], []
+    for number, t in enumerate(licences.TEMPLATES):
+        for i, w in enumerate(t.words):
+            words.append(f"({number}, '{t.label}', {str(t.base).lower()}, {len(t.words)}, {t.need}, {t.slack}, {i}, '{w}')")
+        for k, key in enumerate(t.keys):
+            size = len(key.split())
+            keys += [f"({number}, {k}, {size}, {i}, '{w}')" for i, w in enumerate(key.split())]
+    return rf"""
+WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, fold),
+t AS (SELECT * FROM (VALUES {", ".join(words)}) AS x(number, label, base, m, need, slack, i, word)),
+k AS (SELECT * FROM (VALUES {", ".join(keys)}) AS x(number, k, size, i, word)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+known AS (SELECT * FROM each SEMI JOIN t USING (word)),
+near AS (SELECT doc_id, number, label, base, m, need, slack, i, unnest(range(p - i - slack, p - i + slack + 1)) AS pos FROM known JOIN t USING (word)),
+spots AS (SELECT doc_id, number, label, base, m, slack, pos, count(DISTINCT i) AS n FROM near GROUP BY ALL HAVING count(DISTINCT i) >= any_value(need)),
+keyed AS (SELECT doc_id, number, k, size, p - i AS pos FROM known JOIN k USING (word) GROUP BY ALL HAVING count(DISTINCT i) = size),
+asked AS (SELECT number, count(DISTINCT k) AS n_keys FROM k GROUP BY number),
+good AS (SELECT s.doc_id, s.number, label, base, s.pos, s.n, m FROM spots s JOIN keyed y ON s.doc_id = y.doc_id AND s.number = y.number
+  AND y.pos >= s.pos - slack AND y.pos + y.size <= s.pos + m + slack JOIN asked a ON s.number = a.number
+  GROUP BY ALL HAVING count(DISTINCT k) = any_value(n_keys)),
+per AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(pos) FILTER (base) AS first_word, max(pos) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+  max(CAST(n AS DOUBLE) / m) AS score FROM good GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN per ON d.doc_id = per.doc_id"""
+
+
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -167,6 +263,6 @@ def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_line_dedup, op2_secret_scans, op3_bpe, op4_toxicity, op5_simhash, op6_decontamination, op7_substring_dedup,
-    op8_language_id, op9_chat_format, op10_quality_rules)}
+    op8_language_id, op9_chat_format, op10_quality_rules, op11_merkle_manifest, op12_fill_in_middle, op13_license_scans)}
 ORACLE = {"op1_line_dedup": OP1, "op2_secret_scans": _op2_sql(), "op6_decontamination": OP6, "op7_substring_dedup": OP7,
-          "op9_chat_format": OP9}
+          "op9_chat_format": OP9, "op11_merkle_manifest": _op11_sql(), "op12_fill_in_middle": OP12, "op13_license_scans": _op13_sql()}
