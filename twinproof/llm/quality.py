@@ -21,10 +21,12 @@ own; repeated rows get one row each; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import SPACES, columns, cut
+from twinproof.llm.common import SPACES, columns, cut, shared_folder
 
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
@@ -112,78 +114,67 @@ def _moments() -> list[Column]:
 
 
 def _estimate(moments: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """Group keys, centre m*, Cholesky factor l* and log determinant of the scaled covariance."""
+    """Group keys, centre m*, covariance v* as it came, Cholesky factor l* and log determinant of the scaled and floored one."""
     p = range(len(FEATURES))
-    floored = moments.select(*keys, *[f"m{i}" for i in p], *[
-        (F.coalesce(f"v{i}{j}", F.lit(0.0)) * scale + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"v{i}{j}") for i in p for j in range(i + 1)])
+    raw = [f"v{i}{j}" for i in p for j in range(i + 1)]
+    floored = moments.select(*keys, *[f"m{i}" for i in p], *raw, *[
+        (F.coalesce(f"v{i}{j}", F.lit(0.0)) * scale + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"w{i}{j}") for i in p for j in range(i + 1)])
     for i in p:  # one column of the factor after the other, so that no expression grows
         done = lambda a, b: F.col(f"l{a}{b}")
         for j in range(i + 1):
-            rest = F.col(f"v{i}{j}")
+            rest = F.col(f"w{i}{j}")
             for k in range(j):
                 rest = rest - done(i, k) * done(j, k)
             floored = floored.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / done(j, j))
     logdet = sum((2 * F.log(F.col(f"l{i}{i}")) for i in p), F.lit(0.0))
-    return floored.select(*keys, *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)], logdet.alias("logdet"))
+    return floored.select(*keys, *[f"m{i}" for i in p], *raw, *[f"l{i}{j}" for i in p for j in range(i + 1)], logdet.alias("ld"))
 
 
 def _sent(groups: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(groups) if few else groups
 
 
-def _told(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys renamed for a join by ``_same``."""
-    return groups.select(*[F.col(k).alias(f"h_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
-
-
-def _same(keys: list[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"h_{k}"))
-    return on
-
-
-def _far(rows: DataFrame, estimate: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """Each row of a group with its squared distance ``d`` under the group's estimate."""
+def _far(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with the other columns of their group's estimates, one row an estimate, and the squared distance ``d``."""
     p = range(len(FEATURES))
-    told = estimate.select(*[F.col(k).alias(f"k_{k}") for k in keys], *[c for c in estimate.columns if c not in keys])
-    on = None
-    for k in keys:
-        on = F.col(k).eqNullSafe(F.col(f"k_{k}")) if on is None else on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
     low = [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in p]
-    return rows.join(_sent(told, few), on).withColumn("d", distance(low, [F.col(f"m{i}") for i in p])).drop(*told.columns)
+    used = [f"m{i}" for i in p] + [f"l{i}{j}" for i in p for j in range(i + 1)]
+    rest = [c for c in estimate.columns if c not in used and not c.startswith("v")]
+    return rows.join(_sent(estimate.select(*rest, *used), few), "g").withColumn("d", distance(low, [F.col(f"m{i}") for i in p])).drop(*used)
 
 
-def concentrate(rows: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """The minimum-covariance-determinant estimate of each group of ``keys``, of which there may be few."""
-    p = range(len(FEATURES))
-    quartiles = rows.groupBy(*keys).agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)])
-    spread = quartiles.select(*keys, F.lit("median").alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in p], *[
-        (((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i in p for j in range(i + 1)])
-    plain = rows.groupBy(*keys).agg(*_moments()).select(*keys, F.lit("mean").alias("start"), *[f"m{i}" for i in p], *[
-        (F.col(f"v{i}{j}") if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i in p for j in range(i + 1)])
-    group = [*keys, "start"]
-    live = spread.unionByName(plain).withColumn("ld", F.lit(float("inf")))
-    twice = rows.withColumn("start", F.explode(F.array(F.lit("median"), F.lit("mean"))))
-    found: DataFrame | None = None
-    for _ in range(STEPS):
-        far = _far(twice, _estimate(live, group, 1.0).drop("logdet"), group, few)
-        limit = far.groupBy(*group).agg(F.percentile_approx("d", SHARE, 1000).alias("limit"))
-        near = far.join(_sent(_told(limit, group), few), _same(group)).filter(F.col("d") <= F.col("limit")).drop(*[f"h_{k}" for k in group])
-        moments = cut(near.groupBy(*group).agg(*_moments()))
-        dets = _estimate(moments, group, 1.0).select(*group, F.col("logdet").alias("ld"))
-        last = live.select(*group, F.col("ld").alias("last"))
-        step = moments.join(_sent(_told(dets, group), few), _same(group)).drop(*[f"h_{k}" for k in group])
-        step = cut(step.join(_sent(_told(last, group), few), _same(group)).drop(*[f"h_{k}" for k in group]))
-        found = step if found is None else found.unionByName(step)
-        live = step.filter(F.col("ld") < F.col("last") - FALL).drop("last")
+def concentrate(rows: DataFrame, few: bool) -> DataFrame:
+    """The minimum-covariance-determinant estimate (g, m*, l*) of each group ``g``, of which there may be few.
+
+    Each step is one query over the rows: the limit of each (group, start), then the moments of the rows within it.
+    Its result, a row a (group, start), is written to the shared folder; the next step reads those that still fall.
+    """
+    p, group = range(len(FEATURES)), ["g", "start"]
+    diagonal = lambda value: [(value(i) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i in p for j in range(i + 1)]
+    plain = rows.groupBy("g").agg(
+        *[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)],
+        *[F.avg(f).alias(f"a{i}") for i, f in enumerate(FEATURES)], *[F.var_pop(f).alias(f"s{i}") for i, f in enumerate(FEATURES)])
+    median = plain.select("g", F.lit("median").alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in p],
+                          *diagonal(lambda i: ((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2))
+    mean = plain.select("g", F.lit("mean").alias("start"), *[F.col(f"a{i}").alias(f"m{i}") for i in p], *diagonal(lambda i: F.col(f"s{i}")))
+    live = _estimate(median.unionByName(mean), group, 1.0).withColumn("ld", F.lit(float("inf")))
+    spark, base = rows.sparkSession, shared_folder(rows.sparkSession) + f"/quality-{uuid.uuid4().hex}"
+    schema, steps = None, 0
+    while steps < STEPS:
+        far = _far(rows, live.withColumnRenamed("ld", "last"), few)
+        limit = far.groupBy(*group).agg(F.percentile_approx("d", SHARE, 1000).alias("limit"), F.max("last").alias("last"))
+        near = far.drop("last").join(_sent(limit, few), group).filter(F.col("d") <= F.col("limit"))
+        step = _estimate(near.groupBy(*group, "last").agg(*_moments()), [*group, "last"], 1.0)
+        step.write.parquet(f"{base}/step={steps}")
+        schema, steps = step.schema, steps + 1
+        live = spark.read.schema(schema).parquet(f"{base}/step={steps - 1}").filter(F.col("ld") < F.col("last") - FALL).drop("last")
         if live.isEmpty():
             break
-    values = [c for c in found.columns if c not in group]
-    least = found.groupBy(*group).agg(F.min_by(F.struct(*values), "ld").alias("e")).select(*group, "e.*")
+    found = spark.read.schema(schema).parquet(*[f"{base}/step={k}" for k in range(steps)]).drop("last")
+    least = found.groupBy(*group).agg(F.min_by(F.struct(*[c for c in found.columns if c not in group]), "ld").alias("e")).select(*group, "e.*")
     estimate = _estimate(least, group, CONSISTENT)
-    best = estimate.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in estimate.columns if c not in group]), "logdet").alias("e"))
-    return cut(best.select(*keys, "e.*").drop("logdet"))
+    best = estimate.groupBy("g").agg(F.min_by(F.struct(*[c for c in estimate.columns if c not in group]), "ld").alias("e"))
+    return cut(best.select("g", "e.*").drop("ld"))
 
 
 def judge(docs: DataFrame, key: bool = False) -> DataFrame:
@@ -192,24 +183,23 @@ def judge(docs: DataFrame, key: bool = False) -> DataFrame:
     ``key`` adds the hash of the text, which tells rows of one doc_id apart.
     """
     told = cut(counts(docs, "lang", "source").withColumn("base_failed", base_failed()))
-    rows = told.filter(~F.col("base_failed")).select("*", *features()).withColumn("every", F.lit(1))
+    rows = told.filter(~F.col("base_failed")).select("*", *features())
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    levels = sizes.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).select(
+    of_lang = Window.partitionBy("lang")
+    level = F.when(F.col("n") >= LEAST_ROWS, 0).when(F.col("n_lang") >= LEAST_ROWS, 1).otherwise(2)
+    levels = sizes.withColumn("n_lang", F.sum("n").over(of_lang)).withColumn("level", level)
+    levels = cut(levels.withColumn("lang_used", F.max((F.col("level") == 1).cast("int")).over(of_lang) == 1))
+    few, all_used = levels.count() <= SENT_GROUPS, not levels.filter("level = 2").isEmpty()
+    name = lambda depth, *keys: F.to_json(F.struct(F.lit(depth).alias("level"), *keys))
+    names = [name(0, "lang", "source"), name(1, "lang"), name(2)]
+    groups = levels.select(
         F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-        F.when(F.col("n") >= LEAST_ROWS, 0).when(F.col("n_lang") >= LEAST_ROWS, 1).otherwise(2).alias("level"))
-    levels = cut(levels)
-    few = levels.count() <= SENT_GROUPS
-    levelled = cut(rows.join(
-        _sent(levels, few), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).drop("g_lang", "g_source"))
-    judged = None
-    for level, keys in enumerate((["lang", "source"], ["lang"], ["every"])):
-        own = levelled.filter(F.col("level") == level)
-        if level and own.isEmpty():
-            continue
-        base = levelled if level else own
-        part = _far(own, concentrate(base, keys, few), keys, few)
-        judged = part if judged is None else judged.unionByName(part)
+        F.when(F.col("level") == 0, names[0]).when(F.col("level") == 1, names[1]).otherwise(names[2]).alias("own"),
+        F.array_compact(F.array(F.when(F.col("level") == 0, names[0]), F.when(F.col("lang_used"), names[1]), *[names[2]] * all_used)).alias("used"))
+    grouped = cut(rows.join(
+        _sent(groups, few), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).drop("g_lang", "g_source"))
+    estimates = concentrate(grouped.select(F.explode("used").alias("g"), *FEATURES), few)
+    judged = _far(grouped.withColumnRenamed("own", "g"), estimates, few)
     told_columns = ["doc_id", *["key"] * key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     out = judged.select(*told_columns, "d").unionByName(
         told.filter("base_failed").select(*told_columns, F.lit(None).cast("double").alias("d")))
