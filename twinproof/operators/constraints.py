@@ -6,6 +6,8 @@ aggregations and filters; there is no rule engine underneath.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -287,6 +289,34 @@ def conformance(triples: DataFrame, profile: Profile = TRUST_FUND) -> DataFrame:
     return graphs.select("graph_id", total.alias("n_violations"), (total == 0).alias("conforms"))
 
 
+#: Fields whose cells the shape rules read.
+SHAPE_FIELDS = ("fund.name", "fund.inception_date", "fund.maturity_date", "party.asset_manager", "party.trustee",
+                "fee_schedule.management_fee")
+
+
+def row_violations(cell: Callable[[str, str], Column]) -> Column:
+    """Broken rules of one pair as ``array<struct<focus, constraint>>``, from its own cells.
+
+    ``cell(path, side)`` is a raw text. An extraction states every node and link and has one cell a
+    field and side, so these are the violations of its graph, without building or shuffling it.
+    """
+    on = lambda cond, focus, name: F.when(cond, F.struct(F.lit(focus).alias("focus"), F.lit(name).alias("constraint")))
+    found = []
+    for s in SIDES:
+        fee = cell("fee_schedule.management_fee", s)
+        percent = C.shape_percent(fee)
+        later, earlier = order_number(cell("fund.maturity_date", s)), order_number(cell("fund.inception_date", s))
+        found += [
+            on(cell("fund.name", s).isNull(), f"fund_{s}", "fund_name_min"),
+            on(later <= earlier, f"fund_{s}", "maturity_order"),
+            on(fee.isNull(), f"fee_schedule_{s}", "management_fee_min"),
+            on((percent < 0.0) | (percent > 5.0), f"fee_schedule_{s}", "management_fee_range"),
+            on(cell("party.asset_manager", s).isNull(), f"party_{s}", f"{s}_asset_manager_min"),
+        ]
+    found.append(on(cell("party.trustee", "contract").isNull(), "party_contract", "contract_trustee_exactly_one"))
+    return F.array_compact(F.array(*found))
+
+
 def shape_event(conforming: DataFrame) -> DataFrame:
     """The global guard event per graph: reported, nothing is emptied."""
     ok = F.col("conforms")

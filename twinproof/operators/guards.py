@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from twinproof.functions import canonical as C
 from twinproof.functions.literals import gather, lookup
+from twinproof.operators.constraints import SHAPE_FIELDS, row_violations
 from twinproof.operators.evidence import nullify, validate_extractions
 from twinproof.profile import SIDES, TRUST_FUND, Profile
 
@@ -23,7 +24,10 @@ EVENT = ("struct<guard:string,field_path:string,decision:string,reason_code:stri
 
 @dataclass(frozen=True)
 class GuardOptions:
-    """Which guards run; ``max_retries`` bounds the alternates tried by the format guard."""
+    """Which guards run; ``max_retries`` bounds the alternates tried by the format guard.
+
+    ``use_shapes`` ends the chain with one event a pair about the shape rules (``with_shape_event``).
+    """
 
     format: bool = True
     citation: bool = True
@@ -66,13 +70,13 @@ def check_format(df: DataFrame, keys: list[str], attempts: str = "attempts",
     """Validate raw outputs in order of attempt.
 
     ``attempts`` is an array of texts: the first output, then alternates for retries. Adds
-    ``extraction`` (first valid attempt within the limit, else null), ``g1_fatal`` and
-    ``guard_events``. With the guard off, only the first text is parsed and a failure is
+    ``extraction`` (first valid attempt within the limit, else null), ``g1_fatal``, ``guard_events`` and
+    ``violations`` (all problems of every attempt made; event reasons hold 300 characters of them). With the guard off, only the first text is parsed and a failure is
     reported as ``schema_violation_force``.
     """
     limit = 1 + options.max_retries if options.format else 1
     out, done = df, F.lit(False)
-    events, results = [], []
+    events, results, problems = [], [], []
     for i in range(1, limit + 1):
         text = F.try_element_at(F.col(attempts), F.lit(i))
         out = validate_extractions(
@@ -93,6 +97,7 @@ def check_format(df: DataFrame, keys: list[str], attempts: str = "attempts",
                            reason, _meta(forced=F.lit(True)))
             events.append(F.when(~valid, failed))
         results.append(F.when(tried & valid, F.col(f"_x{i}")))
+        problems.append(F.when(tried, F.col(f"_v{i}")))
         done = done | (tried & valid)
         # Without an alternate the chain stops after its first retry event.
         if i < limit:
@@ -102,14 +107,14 @@ def check_format(df: DataFrame, keys: list[str], attempts: str = "attempts",
         F.coalesce(*results).alias("extraction"),
         F.coalesce(*results).isNull().alias("g1_fatal"),
         F.array_compact(F.array(*events)).cast(f"array<{EVENT}>").alias("guard_events"),
+        F.array_compact(F.array(*problems)).alias("violations"),
     )
 
 
 # --- citation and constraint ------------------------------------------------------------------
 
 
-def _citation_code(side: str, profile: Profile, prefix: str) -> Column:
-    page, doc = F.col(f"{prefix}_page"), F.col(f"{prefix}_doc")
+def _citation_code(side: str, profile: Profile, page: Column, doc: Column) -> Column:
     inside = (page >= 1) & (page <= F.col(f"{side}_pages"))
     return F.when(
         page.isNotNull(),
@@ -141,18 +146,22 @@ def _citation_event(side: str, profile: Profile) -> Column:
         F.when(_rejected(code), F.lit("reject")).otherwise(F.lit("pass")), code, reason, meta))
 
 
-def check_citations(df: DataFrame, profile: Profile = TRUST_FUND) -> DataFrame:
+def _where(where: Column | None, value: Column) -> Column:
+    return value if where is None else F.when(where, value)
+
+
+def check_citations(df: DataFrame, profile: Profile = TRUST_FUND, where: Column | None = None) -> DataFrame:
     """Citation page inside the document, and document on the right side.
 
-    Needs ``<side>_pages``. Reads the input cells; rejected cells (and rejected reference
+    Rows outside ``where`` pass unchecked. Needs ``<side>_pages``. Reads the input cells; rejected cells (and rejected reference
     cells, which are other fields' cells of the same side) come out empty.
     """
     codes = {}
     for s in SIDES:
-        codes[f"_g2_{s}"] = _citation_code(s, profile, s)
+        codes[f"_g2_{s}"] = _where(where, _citation_code(s, profile, F.col(f"{s}_page"), F.col(f"{s}_doc")))
         codes[f"_{s}_page0"], codes[f"_{s}_doc0"] = F.col(f"{s}_page"), F.col(f"{s}_doc")
         if f"{s}_ref_page" in df.columns:
-            codes[f"_g2_{s}_ref"] = _citation_code(s, profile, f"{s}_ref")
+            codes[f"_g2_{s}_ref"] = _where(where, _citation_code(s, profile, F.col(f"{s}_ref_page"), F.col(f"{s}_ref_doc")))
     out = df.withColumns(codes)
     for s in SIDES:
         out = nullify(out, s, _rejected(F.col(f"_g2_{s}")))
@@ -165,11 +174,12 @@ def _range_dims(profile: Profile, bound: str) -> Column:
     return lookup(F.col("field"), {f: getattr(profile.policy(f), bound) for f in profile.guard_range_fields})
 
 
-def check_constraints(df: DataFrame, profile: Profile = TRUST_FUND) -> DataFrame:
-    """Numeric range, date note, and later-after-earlier order per side."""
-    is_fee = F.col("field").isin(*profile.guard_range_fields)
-    is_date = F.col("field").isin(*profile.guard_date_fields)
-    is_later = F.col("field") == (profile.order_later or "")
+def check_constraints(df: DataFrame, profile: Profile = TRUST_FUND, where: Column | None = None) -> DataFrame:
+    """Numeric range, date note, and later-after-earlier order per side; rows outside ``where`` pass unchecked."""
+    on = F.lit(True) if where is None else where
+    is_fee = on & F.col("field").isin(*profile.guard_range_fields)
+    is_date = on & F.col("field").isin(*profile.guard_date_fields)
+    is_later = on & (F.col("field") == (profile.order_later or ""))
     first = {}
     for s in SIDES:
         raw = F.col(f"{s}_raw")
@@ -251,23 +261,81 @@ def _order_event(side: str) -> Column:
         F.when(bad, F.lit("reject")).otherwise(F.lit("pass")), code, reason, meta))
 
 
+# --- shapes -------------------------------------------------------------------------------------
+
+
+def _kept_texts(df: DataFrame, extraction: str, paths: tuple[str, ...], options: GuardOptions,
+                profile: Profile, where: Column | None) -> DataFrame:
+    """Raw texts of a pair's cells as the citation and constraint guards leave them, as ``_t<path>_<side>``."""
+    cells = {(p, s): f"_t{i}_{s}" for i, p in enumerate(paths) for s in SIDES}
+    keep = lambda bad, text: F.when(~F.coalesce(_where(where, bad), F.lit(False)), text)
+    first = {}
+    for (path, s), name in cells.items():
+        if path not in profile.fields:
+            first[name] = F.lit(None).cast("string")
+            continue
+        cell = F.col(f"{extraction}.{path}")[s]
+        text, cite = cell["raw_text"], cell["citation"]
+        first[name] = keep(_rejected(_citation_code(s, profile, cite["page"], cite["document"])), text) if options.citation else text
+    out = df.withColumns(first)
+    if not options.constraint:
+        return out
+    order = (profile.order_earlier, profile.order_later)
+    fees = {k: n for k, n in cells.items() if k[0] in profile.guard_range_fields}
+    dates = {k: n for k, n in cells.items() if k[0] in order}
+    out = out.withColumns({**{f"{n}_p": C.guard_percent_probe(F.col(n)) for n in fees.values()},
+                           **{f"{n}_p": C.guard_date_probe(F.col(n)) for n in dates.values()}})
+    out = out.withColumns({**{f"{n}_v": C.guard_percent_value(F.col(f"{n}_p")) for n in fees.values()},
+                           **{f"{n}_v": C.guard_date_value(F.col(f"{n}_p")) for n in dates.values()}})
+    bad = {n: ~F.col(f"{n}_v").between(profile.policy(p).range_min, profile.policy(p).range_max) for (p, _), n in fees.items()}
+    for s in SIDES:
+        if (order[0], s) in dates and (order[1], s) in dates:
+            bad[dates[order[1], s]] = F.col(f"{dates[order[1], s]}_v") <= F.col(f"{dates[order[0], s]}_v")
+    return out.withColumns({n: keep(b, F.col(n)) for n, b in bad.items()})
+
+
+def with_shape_event(df: DataFrame, extraction: str = "extraction", options: GuardOptions = GuardOptions(),
+                     profile: Profile = TRUST_FUND, where: Column | None = None) -> DataFrame:
+    """Nested extractions with ``shape_event``: what the shape rules say of each pair's guarded cells.
+
+    Outside ``where`` the rules see the cells unguarded. Needs ``<side>_pages``. Row-local: the rules read the pair's own cells, no graph is built. Nothing is
+    emptied by a broken rule; ``metadata`` lists all of them.
+    """
+    names = {(p, s): f"_t{i}_{s}" for i, p in enumerate(SHAPE_FIELDS) for s in SIDES}
+    staged = _kept_texts(df, extraction, SHAPE_FIELDS, options, profile, where).withColumn(
+        "_broken", row_violations(lambda path, side: F.col(names[path, side])))
+    broken, ok = F.col("_broken"), F.size("_broken") == 0
+    report = F.array_join(F.transform(broken, lambda v: F.concat_ws(" ", v["focus"], v["constraint"])), "; ")
+    told = event(
+        "G3", F.lit(None).cast("string"), F.when(ok, F.lit("pass")).otherwise(F.lit("reject")),
+        F.when(ok, F.lit("shacl_conforms")).otherwise(F.lit("shacl_violation")),
+        F.when(ok, F.lit("all shape rules hold")).otherwise(F.concat(F.size(broken).cast("string"), F.lit(" shape rules broken"))),
+        F.when(ok, F.create_map().cast("map<string,string>")).otherwise(_meta(n_violations=F.size(broken), violations=report)))
+    return staged.select(*df.columns, told.alias("shape_event"))
+
+
 def apply_guards(df: DataFrame, options: GuardOptions = GuardOptions(),
-                 profile: Profile = TRUST_FUND, with_events: bool = True) -> DataFrame:
-    """Citation then constraint guards over long evidence rows.
+                 profile: Profile = TRUST_FUND, with_events: bool = True, where: Column | None = None) -> DataFrame:
+    """Citation then constraint guards over long evidence rows, and the pair's shape event last.
+
+    ``where`` limits both guards to some rows; the others come out as they are, without events.
 
-    Adds ``guard_events``, ``guard_rejections`` (``G2:page_out_of_range`` ...) and
+    With ``use_shapes`` the rows carry ``shape_event`` and ``ord``; the event goes to the last field's row. Adds ``guard_events``, ``guard_rejections`` (``G2:page_out_of_range`` ...) and
     ``guard_caught``. Cells emptied by the citation guard are invisible to the next one.
     Callers that only score leave the events out (``with_events=False``).
     """
     out, events, rejections = df, [], []
+    shapes = options.use_shapes and with_events
+    if shapes and "shape_event" not in df.columns:
+        raise ValueError("with_shape_event comes before the rows are flattened")
     if options.citation:
-        out = check_citations(out, profile)
+        out = check_citations(out, profile, where)
         events += [_citation_event(s, profile) for s in SIDES] if with_events else []
         rejections += [
             F.when(_rejected(F.col(f"_g2_{s}")), F.concat(F.lit("G2:"), F.col(f"_g2_{s}"))) for s in SIDES
         ]
     if options.constraint:
-        out = check_constraints(out, profile)
+        out = check_constraints(out, profile, where)
         if with_events:
             events += [_range_event(s) for s in SIDES] + [_order_event(s) for s in SIDES]
         rejections += [F.when(F.col(f"_g3a_{s}") == "percent_range", F.lit("G3:percent_range")) for s in SIDES]
@@ -276,13 +344,15 @@ def apply_guards(df: DataFrame, options: GuardOptions = GuardOptions(),
                    F.lit("G3:maturity_not_after_inception"))
             for s in SIDES
         ]
-    inner = [c for c in out.columns if c.startswith("_")]
+    if shapes:
+        events.append(_when_set(F.when(F.col("ord") == len(profile.fields) - 1, F.lit(True)), F.col("shape_event")))
+    inner = [c for c in out.columns if c.startswith("_")] + ["shape_event"]
     if not rejections:
         empty = F.array()
         return out.withColumns({
-            "guard_events": empty.cast(f"array<{EVENT}>"),
+            "guard_events": (F.concat(*events) if events else empty).cast(f"array<{EVENT}>"),
             "guard_rejections": empty.cast("array<string>"), "guard_caught": F.lit(False),
-        })
+        }).drop(*inner)
     added = {
         "guard_rejections": gather(rejections, "string"),
         "guard_caught": F.coalesce(*rejections).isNotNull(),

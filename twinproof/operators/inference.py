@@ -81,6 +81,23 @@ def support_cases(cases: DataFrame, order: str = "case_id") -> DataFrame:
     return cases.groupBy("field").agg(F.min_by(payload, rank).alias("_s")).select("field", "_s.*")
 
 
+def support_texts(cases: DataFrame, profile: Profile = TRUST_FUND, contract: str = "contract_raw",
+                  im: str = "im_raw") -> DataFrame:
+    """Reference texts for the requests of derived fields: ``field, contract_ref_raw, im_ref_raw``.
+
+    The texts are those of the source field's support case. At most one row a derived field of the
+    profile, so the table may be broadcast whatever the number of cases.
+    """
+    derived = {p.field: p.derive_from for p in profile.policies if p.derive_from}
+    rows = cases.filter(F.col("field").isin(*derived.values())).select(
+        "case_id", "field", "gold_label", F.col(contract).alias("contract_raw"), F.col(im).alias("im_raw"))
+    support = support_cases(rows)
+    targets = F.array_compact(F.array(*[
+        F.when(F.col("field") == source, F.lit(target)) for target, source in derived.items()]))
+    return support.select(F.explode(targets).alias("field"), F.col("contract_raw").alias("contract_ref_raw"),
+                          F.col("im_raw").alias("im_ref_raw"))
+
+
 def call_model(requests: DataFrame, client_factory: Callable[[], Callable[[list[str]], list]],
                max_parallel: int | None = None, text: str = "request") -> DataFrame:
     """Send every request once; a failing request becomes an ``error`` row, not a failed job.
@@ -201,6 +218,17 @@ def read_verdicts(responses: DataFrame) -> DataFrame:
     return staged.withColumns({"judged": judged, "answer": F.col("_body")}).drop("_text", "_obj", "_body", "_keys")
 
 
+def dead_letters(checked: DataFrame, *keys: str) -> DataFrame:
+    """Refused and failed answers, one row each: keys, ``problem`` and everything needed to ask again.
+
+    ``kind`` and ``subject`` are the two parts of the problem (``bad_value`` and ``confidence``).
+    """
+    subject = F.when(F.contains("problem", F.lit(":")), F.substring_index("problem", ":", -1))
+    asked = [c for c in ("request", "response_text", "error") if c in checked.columns]
+    return checked.filter(F.col("problem").isNotNull()).select(
+        *keys, "problem", F.substring_index("problem", ":", 1).alias("kind"), subject.alias("subject"), *asked)
+
+
 def usage(responses: DataFrame, *keys: str) -> DataFrame:
     """Calls, tokens and latency per key."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")

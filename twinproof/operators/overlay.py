@@ -38,8 +38,9 @@ def match_aliases(df: DataFrame, aliases: DataFrame, profile: Profile = TRUST_FU
         F.col("field").isin(*profile.alias_fields) & (left != "") & (right != ""), F.lit(False))
     approved = aliases.filter(F.col("status") == "approved").select(
         "field", "left_norm", "right_norm").distinct().withColumn("_hit", F.lit(True))
-    rest = df.filter(~eligible).withColumn("alias_match", F.lit(False))
-    hits = with_alias_pair(df.filter(eligible)).join(
+    # Late: a pushed-down filter would run the guards and parsers behind the texts again in its predicate.
+    rest = late_filter(df, ~eligible).withColumn("alias_match", F.lit(False))
+    hits = with_alias_pair(late_filter(df, eligible)).join(
         approved, ["field", "left_norm", "right_norm"], "left")
     hits = hits.withColumn("alias_match", F.coalesce(F.col("_hit"), F.lit(False))).drop(
         "_hit", "left_norm", "right_norm")
@@ -69,23 +70,32 @@ def alias_requests(decisions: DataFrame, profile: Profile = TRUST_FUND) -> DataF
     return staged.withColumn("alias_outcome", outcome).drop("_ls", "_rs")
 
 
-def upsert_aliases(existing: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Merge accepted requests: first raw texts and creation stay, the source run is the latest.
+ALIAS_KEY = ("field", "left_norm", "right_norm")
+
+
+def as_aliases(accepted: DataFrame) -> DataFrame:
+    """Accepted requests in the form of the alias table."""
+    return accepted.select(
+        *ALIAS_KEY, F.col("contract_raw").alias("left_raw"), F.col("im_raw").alias("right_raw"),
+        F.col("run_id").alias("source_run_id"), F.lit("approved").alias("status"), F.col("decided_at").alias("created_at"))
+
+
+def combine_aliases(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Table rows and new rows of their keys: first raw texts and creation stay, the source run is the latest.
 
     ``min_by`` / ``max_by`` combine map-side, so one hot alias is reduced before the shuffle.
     """
-    new = accepted.select(
-        "field", "left_norm", "right_norm", F.col("contract_raw").alias("left_raw"),
-        F.col("im_raw").alias("right_raw"), F.col("run_id").alias("source_run_id"),
-        F.lit("approved").alias("status"), F.col("decided_at").alias("created_at"), F.lit(1).alias("_new"))
-    rows = existing.select(*[c for c in new.columns if c != "_new"]).withColumn("_new", F.lit(0)).unionByName(new)
+    rows = existing.select(*new.columns).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     order = F.struct("_new", "created_at", "source_run_id", "left_raw", "right_raw")
-    return rows.groupBy("field", "left_norm", "right_norm").agg(
+    return rows.groupBy(*ALIAS_KEY).agg(
         F.min_by("left_raw", order).alias("left_raw"), F.min_by("right_raw", order).alias("right_raw"),
-        F.max_by("source_run_id", order).alias("source_run_id"),
-        F.max_by("status", order).alias("status"),
-        F.min_by("created_at", order).alias("created_at"),
-    )
+        F.max_by("source_run_id", order).alias("source_run_id"), F.max_by("status", order).alias("status"),
+        F.min_by("created_at", order).alias("created_at"))
+
+
+def upsert_aliases(existing: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``existing`` aliases with accepted requests merged in."""
+    return combine_aliases(existing, as_aliases(accepted))
 
 
 # --- decisions ------------------------------------------------------------------------------------
@@ -141,6 +151,10 @@ def apply_decisions(fields: DataFrame, decisions: DataFrame) -> DataFrame:
 
 # --- review rows ----------------------------------------------------------------------------------
 
+# The stored reasons of a row that an alias settled, and of one without any.
+ALIAS_REASON = "An explicitly approved alias pair matched this evidence."
+NO_REASON = "No reason was recorded."
+
 
 def review_fields(compared: DataFrame) -> DataFrame:
     """Comparison rows -> review rows. An approved alias comes before every other verdict.
@@ -156,8 +170,7 @@ def review_fields(compared: DataFrame) -> DataFrame:
         "requires_human_review": ~hit & (status == "needs_human_review"),
         "reason_code": F.when(hit, F.lit("approved_alias_match")).otherwise(
             F.coalesce("final_reason_code", F.lit("unknown"))),
-        "reason": F.when(hit, F.lit("An explicitly approved alias pair matched this evidence.")).otherwise(
-            F.coalesce("final_reason", F.lit("No reason was recorded."))),
+        "reason": F.when(hit, F.lit(ALIAS_REASON)).otherwise(F.coalesce("final_reason", F.lit(NO_REASON))),
     })
 
 
@@ -196,6 +209,11 @@ def failed_run(error: Column) -> Column:
     return clip(error, 1000)
 
 
+def failed_runs(runs: DataFrame, error: str = "error") -> DataFrame:
+    """Failed runs with the stored (clipped) text as ``error`` and the whole one as ``error_text``."""
+    return runs.withColumn("error_text", F.col(error)).withColumn("error", failed_run(F.col("error_text")))
+
+
 def recent_runs(runs: DataFrame, limit: int = 100) -> DataFrame:
     """Newest runs first; a top-k, so only ``limit`` rows per task travel."""
     return runs.orderBy(F.col("created_at").desc(), F.col("id")).limit(limit)

@@ -303,3 +303,9 @@ def majority(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         best.alias("_b"), F.sum("_n").alias("n_runs"), F.count(F.lit(1)).alias("n_values")
     ).select(*keys, F.col("_b.v").alias("majority_value"), F.col("_b.n").alias("n_agree"), "n_runs", "n_values",
              (F.col("_b.n") / F.col("n_runs")).alias("agreement"))
+
+
+def mean_confusion(metrics: DataFrame, names: tuple[str, ...] = ("tp", "fp", "fn", "tn")) -> DataFrame:
+    """Mean of each confusion count over the repetitions of a tier: ``tier, metric, mean`` (two places)."""
+    rows = metrics.filter(F.col("metric").isin(*names))
+    return rows.groupBy("tier", "metric").agg(F.round(F.avg("value"), 2).alias("mean"))

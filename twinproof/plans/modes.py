@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinproof.functions import verdicts as V
-from twinproof.operators import compare, guards
+from twinproof.operators import compare, guards, inference
 from twinproof.operators.evidence import from_case
 from twinproof.profile import TRUST_FUND, Profile
 
@@ -53,6 +55,41 @@ def evaluate_with_judge(cases: DataFrame, judged: DataFrame, contract_pages: int
     }).drop("judged")
 
 
+#: What a stored prediction keeps besides the case's own columns.
+JUDGE_COLUMNS = ("case_id", "field", "label", "gold_label", "mutation_type", "difficulty", "harness_signal", "contract_raw", "im_raw",
+                 "judge_allowed", "final_status", "final_reason_code", "guard_rejections", "guard_caught")
+
+
+def judge_mode(cases: DataFrame, contract_pages: int, im_pages: int, client_factory: Callable, path: str,
+               max_parallel: int | None = None, profile: Profile = TRUST_FUND) -> tuple[DataFrame, DataFrame]:
+    """Policy mode that asks its own judge: (predictions, checked answers).
+
+    Cases are evaluated once and stored below ``path``; requests come from the stored rows in review.
+    A derived field's request quotes the texts of its source field's support case, one row that is
+    broadcast. Answers are stored before they are used, and only rows in review meet them. A failed or
+    refused answer leaves its row in review.
+    """
+    spark = cases.sparkSession
+    given = cases.withColumns({"given_contract": F.col("contract_raw"), "given_im": F.col("im_raw")})
+    rows = evaluate(given, "ontology_policy", contract_pages, im_pages, profile)
+    rows.select(*[c for c in JUDGE_COLUMNS if c in rows.columns], "given_contract", "given_im").write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    waits = F.coalesce((F.col("final_status") == "needs_review") & F.col("judge_allowed"), F.lit(False))
+    support = inference.support_texts(rows, profile, "given_contract", "given_im")
+    waiting = rows.filter(waits).join(F.broadcast(support), "field", "left")
+    requests = inference.judge_requests(waiting, ["case_id", "field"], profile)
+    checked = inference.read_verdicts(inference.call_model(requests, client_factory, max_parallel))
+    checked.write.parquet(f"{path}/answers")
+    answers = spark.read.parquet(f"{path}/answers")
+    rows = rows.drop("given_contract", "given_im")
+    met = rows.filter(waits).join(one_per_case(answers, "judged"), "case_id", "left")
+    settled = met.withColumns({
+        "final_reason_code": F.when(F.col("judged").isNotNull(), F.lit("ontology_policy_judge")).otherwise(F.col("final_reason_code")),
+        "final_status": V.resolve_review(F.col("final_status"), F.col("judged")),
+    }).drop("judged")
+    return settled.unionByName(rows.filter(~waits)), answers
+
+
 def evaluate_full(cases: DataFrame, normalized: DataFrame, judged: DataFrame, contract_pages: int,
                   im_pages: int, profile: Profile = TRUST_FUND) -> DataFrame:
     """Guards, raw check, normalization overlay, then verdicts for what is still in review."""

@@ -25,7 +25,7 @@ _H = "(instr('0123456789abcdef', substr(md5('D' || CAST(o_orderkey AS STRING)),
 # --- intake ---------------------------------------------------------------------------------------
 
 
-def raw_documents(spark, sf_dir) -> DataFrame:
+def raw_documents(spark, sf_dir, *keep: str) -> DataFrame:
     """Extractions as raw JSON with planned defects, plus a clean alternate for half of them."""
     h = lambda i: F.expr(_H.format(i=i).replace("'D' || CAST(o_orderkey AS STRING)", "pair_id"))
     clean = F.to_json("extraction", {"ignoreNullFields": "false"})
@@ -41,7 +41,7 @@ def raw_documents(spark, sf_dir) -> DataFrame:
         .otherwise(text)
     )
     attempts = F.when(h(32) < 8, F.array("raw", "clean")).otherwise(F.array("raw"))
-    return rows.withColumn("raw", raw).select("pair_id", "raw", attempts.alias("attempts"))
+    return rows.withColumn("raw", raw).select("pair_id", *keep, "raw", attempts.alias("attempts"))
 
 
 _DEFECT = f"CASE {_H.format(i=31)} WHEN 0 THEN 'json_invalid' WHEN 1 THEN 'unknown_key' WHEN 2 THEN 'missing_key,unknown_key' WHEN 4 THEN 'json_invalid' WHEN 5 THEN 'bad_version' ELSE '' END"
@@ -160,11 +160,13 @@ def common_ids(spark, sf_dir):
     return setops.common_ids(L.table(spark, sf_dir, "documents"), L.table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query(f"WITH {_EV} SELECT field, 'unmapped' AS problem FROM ev WHERE FALSE")
+@query(f"WITH {O.cases_cte()}, {O.policy_cte()}, seen AS (SELECT DISTINCT CASE WHEN field = 'fund.type' THEN 'fund.kind' ELSE field END AS field FROM cases WHERE gold_label = 'mismatch') "
+       "SELECT field, 'left_only' AS side FROM seen WHERE field NOT IN (SELECT field FROM policy) UNION ALL SELECT field, 'right_only' FROM policy WHERE field NOT IN (SELECT field FROM seen)")
 def policy_coverage(spark, sf_dir):
-    """Policy fields and evidence fields must be the same set: no rows."""
-    seen = pair_rows(spark, sf_dir).select("field")
-    return setops.symmetric_difference(seen, policy_dim(spark).select("field")).select("field", F.lit("unmapped").alias("problem"))
+    """Fields without a policy and policies without a field, both ways; one field of the data is renamed."""
+    named = F.when(F.col("field") == "fund.type", "fund.kind").otherwise(F.col("field"))
+    seen = L.cases(spark, sf_dir).filter("gold_label = 'mismatch'").select(named.alias("field"))
+    return setops.symmetric_difference(seen, policy_dim(spark).select("field"))
 
 
 # --- model requests and answers ---------------------------------------------------------------------------
@@ -222,8 +224,8 @@ def rule_judge():
 
 
 def judged_pairs(spark, sf_dir) -> DataFrame:
-    requests = inference.judge_requests(policy_pairs(spark, sf_dir), ["pair_id", "field"])
-    return inference.read_verdicts(inference.call_model(requests, rule_judge))
+    """Stored answers: no later pass or lost task asks the model again."""
+    return review.judge_fields(policy_pairs(spark, sf_dir), ["pair_id"], rule_judge, shared_dir(spark, "judged"))
 
 
 _SQZ = lambda c: f"regexp_replace({c}, '[\\s\\x{{3000}}]+', '', 'g')"
@@ -237,10 +239,15 @@ def judge_verdicts(spark, sf_dir):
     return judged_pairs(spark, sf_dir).select("pair_id", "field", "route", "problem", "judged")
 
 
-@query(f"{_NJ} SELECT route, count(*) AS calls, CAST(0 AS BIGINT) AS failed_calls, CAST(count(*) * 10 AS BIGINT) AS output_tokens FROM req GROUP BY route")
+_REQUEST = (f"'{{\"field\":' || {_Q('field')} || ',\"label\":' || {_Q('label')} || ',\"contract_raw_text\":' || {_Q('contract_raw')} || ',\"im_raw_text\":' || {_Q('im_raw')} || "
+            f"CASE WHEN route = 'maturity' THEN ',\"contract_inception_raw_text\":' || {_Q('contract_ref_raw')} || ',\"im_inception_raw_text\":' || {_Q('im_ref_raw')} ELSE '' END || '}}'")
+
+
+@query(f"{_NJ} SELECT route, count(*) AS calls, CAST(0 AS BIGINT) AS failed_calls, CAST(sum(length({_REQUEST})) AS BIGINT) AS input_tokens, CAST(count(*) * 10 AS BIGINT) AS output_tokens, "
+       f"CAST(sum(length({_REQUEST})) + count(*) * 10 AS BIGINT) AS total_tokens FROM req GROUP BY route")
 def model_usage(spark, sf_dir):
-    requests = inference.judge_requests(policy_pairs(spark, sf_dir), ["pair_id", "field"])
-    return inference.usage(inference.call_model(requests, rule_judge), "route").select("route", "calls", "failed_calls", "output_tokens")
+    return inference.usage(judged_pairs(spark, sf_dir), "route").select(
+        "route", "calls", "failed_calls", "input_tokens", "output_tokens", "total_tokens")
 
 
 _RESOLVED = (f"{_JUDGED}, final AS (SELECT c.pair_id, c.run_id, c.field, c.contract_raw, c.im_raw, c.final_status AS system_status, a.judged, CASE WHEN c.final_status IN ('exact_match', 'same_after_normalization') THEN 'match' "
@@ -361,10 +368,12 @@ def alias_requests(spark, sf_dir):
 
 
 def alias_table(spark, sf_dir) -> DataFrame:
+    """The stored alias table after two batches: the later one refreshes what the earlier one left."""
     accepted = overlay.alias_requests(alias_rows(spark, sf_dir)).filter("alias_outcome = 'accepted'")
-    empty = accepted.limit(0).select("field", "left_norm", "right_norm", F.col("contract_raw").alias("left_raw"), F.col("im_raw").alias("right_raw"),
-                                     F.col("run_id").alias("source_run_id"), F.lit("approved").alias("status"), F.col("decided_at").alias("created_at"))
-    return overlay.upsert_aliases(empty, accepted)
+    path, early = shared_dir(spark, "aliases"), F.col("decided_at") < "5"
+    for part in (early, ~early):
+        sinks.merge_keyed(overlay.as_aliases(accepted.filter(part)), path, list(overlay.ALIAS_KEY), overlay.combine_aliases)
+    return sinks.read_keyed(spark, path, intake.ALIAS_SCHEMA)
 
 
 _UPSERT = f"{_ALIASED}, up AS (SELECT field, least(lk, rk) AS left_norm, greatest(lk, rk) AS right_norm, arg_min(contract_raw, decided_at) AS left_raw, arg_max(run_id, decided_at) AS source_run_id, min(decided_at) AS created_at FROM outc WHERE outcome = 'accepted' GROUP BY 1, 2, 3)"
@@ -400,10 +409,10 @@ def last_duplicate_wins(spark, sf_dir):
     return stats.last_per_case(L.table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type", "value")
 
 
-@query("SELECT doc_id, substr(text, 1, 1000) AS error FROM documents")
+@query("SELECT doc_id, substr(text, 1, 1000) AS error, text AS error_text FROM documents")
 def failed_runs(spark, sf_dir):
-    """Stored error texts of failed runs."""
-    return L.table(spark, sf_dir, "documents").select("doc_id", overlay.failed_run(F.col("text")).alias("error"))
+    """Stored error texts of failed runs, and the whole texts."""
+    return overlay.failed_runs(L.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("error")))
 
 
 # --- normalization -----------------------------------------------------------------------------------------
@@ -591,13 +600,14 @@ def case_csv_round_trip(spark, sf_dir):
     return ST.read_cases(spark, path, strict=False).select("case_id", "field", "gold_label", "contract_raw", "contract_page", "im_raw", "im_page")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, count(DISTINCT o_custkey % 50) AS n_runs FROM orders")
+@query(f"WITH {_EV} SELECT 'run_id=' || run_id AS run_id, field, contract_raw, contract_page, contract_doc, im_raw, im_page, im_doc, count(*) AS n FROM ev GROUP BY ALL")
 def extraction_json_scan(spark, sf_dir):
-    """Extraction JSON lines under run folders; the folder names the run."""
+    """Extraction JSON lines under run folders, every cell of every document; the folder names the run."""
     path = shared_dir(spark, "extractions")
-    L.extractions(spark, sf_dir).select("run_id", "extraction.*").write.partitionBy("run_id").json(path)
-    out = ST.read_extractions(spark, f"{path}/*/*.json", multi_line=False)
-    return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_id").alias("n_runs"))
+    sinks.write_rows(L.extractions(spark, sf_dir).select("run_id", "extraction.*"), path, "run_id", fmt="json")
+    rows = evidence.flatten(ST.read_extractions(spark, f"{path}/*/*.json", multi_line=False), ["run_id"])
+    cells = [f"{s}_{p}" for s in SIDES for p in ("raw", "page", "doc")]
+    return rows.groupBy("run_id", "field", *cells).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH w AS (SELECT event_type AS tier, CAST(day(ts) AS INT) AS rep, max(value) AS f1, count(*) AS tp FROM events GROUP BY 1, 2) SELECT tier, rep, 'f1' AS metric, f1 AS value FROM w UNION ALL SELECT tier, rep, 'tp', CAST(tp AS DOUBLE) FROM w")

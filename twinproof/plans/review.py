@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +15,18 @@ from twinproof.profile import TRUST_FUND, Profile
 STRATEGIES = ("ontology_policy", "ontology_policy_judge")
 
 
-def review_rows(extractions: DataFrame, keys: list[str], profile: Profile = TRUST_FUND) -> DataFrame:
+def review_rows(extractions: DataFrame, keys: list[str], profile: Profile = TRUST_FUND,
+                options: guards.GuardOptions = guards.GuardOptions()) -> DataFrame:
     """Guarded policy comparison of nested extractions; row-local from scan to verdict.
 
     ``extractions``: keys, ``extraction``, ``contract_pages``, ``im_pages``.
     """
-    long = flatten(extractions, [*keys, "contract_pages", "im_pages"], profile=profile)
-    return compare.cross_check_policy(guards.apply_guards(long, profile=profile), profile)
+    carried = [*keys, "contract_pages", "im_pages"]
+    if options.use_shapes:
+        extractions = guards.with_shape_event(extractions, options=options, profile=profile)
+        carried.append("shape_event")
+    long = flatten(extractions, carried, profile=profile)
+    return compare.cross_check_policy(guards.apply_guards(long, options, profile), profile)
 
 
 def review(extractions: DataFrame, keys: list[str], aliases: DataFrame | None = None,
@@ -57,13 +63,13 @@ REVIEW_COLUMNS = ("field", "label", "contract_raw", "im_raw", "contract_ref_raw"
 
 
 def settle(fields: DataFrame, keys: list[str], client_factory: Callable, path: str,
-           max_parallel: int | None = None, profile: Profile = TRUST_FUND) -> DataFrame:
+           max_parallel: int | None = None, profile: Profile = TRUST_FUND, extra: tuple[str, ...] = ()) -> DataFrame:
     """Review rows with the judge's verdicts.
 
-    The rows are stored below ``path`` first, so guards and policy run once and the model is
-    asked once; only rows that wait for a verdict meet the answers, all others bypass the join.
+    The rows (and ``extra`` columns) are stored below ``path`` first, so guards and policy run once and
+    the model is asked once; only rows that wait for a verdict meet the answers, all others bypass the join.
     """
-    fields.select(*keys, *REVIEW_COLUMNS).write.mode("overwrite").parquet(f"{path}/rows")
+    fields.select(*keys, *REVIEW_COLUMNS, *extra).write.mode("overwrite").parquet(f"{path}/rows")
     rows = fields.sparkSession.read.parquet(f"{path}/rows")
     waits = F.coalesce(F.col("requires_human_review") & F.col("judge_allowed"), F.lit(False))
     waiting = rows.filter(waits)
@@ -72,6 +78,66 @@ def settle(fields: DataFrame, keys: list[str], client_factory: Callable, path: s
     return settled.unionByName(rows.filter(~waits))
 
 
+def checked_rows(rows: DataFrame, keys: list[str], path: str, *extra: str) -> DataFrame:
+    """Compared rows written to ``path`` and read back, with the columns that review rows are made of.
+
+    Alias matching splits rows by their texts; from stored rows that doesn't run guards and parsers once a part.
+    """
+    made = ("system_status", "effective_status", "resolution_source", "requires_human_review", "reason_code", "reason")
+    rows.select(*keys, *[c for c in REVIEW_COLUMNS if c not in made], "final_reason_code", "final_reason", *extra).write.mode(
+        "overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+@dataclass(frozen=True)
+class ReviewRun:
+    """What one review gives; every part reads the same stored rows.
+
+    fields: review rows with ``related_events`` (the guard events of the field). events: the guard
+    chain of each pair in order. audit: one row a pair, what the shape rules say. answers: the judge's
+    answers (null for the strategy without a judge).
+    """
+
+    fields: DataFrame
+    events: DataFrame
+    audit: DataFrame
+    answers: DataFrame | None
+
+
+def operational_review(extractions: DataFrame, keys: list[str], path: str, client_factory: Callable | None = None,
+                       aliases: DataFrame | None = None, strategy: str = "ontology_policy_judge",
+                       max_parallel: int | None = None, profile: Profile = TRUST_FUND) -> ReviewRun:
+    """The whole review of document pairs: guards with shapes, policy, aliases, judge and audit.
+
+    One scan of the extractions; rows are written below ``path`` (before aliases and before the judge) and everything else starts there.
+    An approved alias comes before the judge, a failed or refused answer leaves its row in review.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unsupported review strategy: {strategy!r}")
+    if strategy == "ontology_policy_judge" and client_factory is None:
+        raise ValueError("this strategy needs a client")
+    spark, answers, extra = extractions.sparkSession, None, ("ord", "guard_events")
+    rows = review_rows(extractions, keys, profile, guards.GuardOptions(use_shapes=True))
+    if aliases is not None:
+        rows = overlay.match_aliases(checked_rows(rows, keys, f"{path}/checked", *extra), aliases, profile)
+    fields = overlay.review_fields(rows)
+    if strategy == "ontology_policy_judge":
+        fields = settle(fields, keys, client_factory, path, max_parallel, profile, extra)
+        answers = spark.read.parquet(f"{path}/answers")
+    else:
+        fields.select(*keys, *REVIEW_COLUMNS, *extra).write.mode("overwrite").parquet(f"{path}/rows")
+        fields = spark.read.parquet(f"{path}/rows")
+    stored = spark.read.parquet(f"{path}/rows").select(*keys, "ord", "guard_events")
+    events = guards.explode_events(stored, [*keys, "ord"])
+    shape = F.element_at("guard_events", -1)
+    audit_rows = stored.filter(F.col("ord") == len(profile.fields) - 1).select(
+        *keys, (shape["decision"] == "pass").alias("conforms"), shape["reason_code"].alias("reason_code"),
+        F.coalesce(shape["metadata"]["n_violations"].cast("int"), F.lit(0)).alias("n_violations"),
+        shape["metadata"]["violations"].alias("violations"))
+    related = F.filter("guard_events", lambda e: e["field_path"].isNotNull())
+    return ReviewRun(fields.withColumn("related_events", related).drop("guard_events"), events, audit_rows, answers)
+
+
 def audit(guarded: DataFrame, key: str, profile: Profile = TRUST_FUND) -> tuple[DataFrame, DataFrame]:
     """(violations, conformance) of the guarded evidence as a graph."""
     triples = constraints.raw_triples(guarded, key, profile, structure=True)
@@ -92,3 +158,36 @@ def run_mode(extractions: DataFrame, mode: str, profile: Profile = TRUST_FUND) -
     if mode == "baseline":
         return long
     return compare.cross_check_raw(guards.apply_guards(long, options, profile))
+
+
+MODES = ("baseline", "ontology", "guard")
+
+
+def run_modes(documents: DataFrame, keys: list[str], profile: Profile = TRUST_FUND) -> DataFrame:
+    """What every harness mode gives for each pair and field, from one scan of the documents.
+
+    ``documents``: keys, ``extraction``, ``contract_pages``, ``im_pages`` and ``attempts``, the raw outputs
+    that guard mode validates. Each pair becomes one row a mode and the guards act on guard mode's rows
+    only. Result: keys, mode, field, ord, g1_fatal, conforms, final_status, final_reason_code,
+    guard_caught, guard_events, texts. Baseline has no verdict. A pair whose outputs are all refused is one row
+    of guard mode without a field, with the format events.
+    """
+    given = documents.withColumnRenamed("extraction", "_given")
+    checked = guards.check_format(given, keys, profile=profile).withColumnsRenamed({"guard_events": "format_events", "extraction": "_valid"})
+    case = lambda mode, body, fatal: F.struct(F.lit(mode).alias("mode"), body.alias("extraction"), fatal.alias("g1_fatal"))
+    no = F.lit(False)
+    routed = checked.select(*keys, "contract_pages", "im_pages", "format_events", F.explode(F.array(
+        case("baseline", F.col("_given"), no), case("ontology", F.col("_given"), no), case("guard", F.col("_valid"), F.col("g1_fatal")),
+    )).alias("_m")).select(*keys, "contract_pages", "im_pages", "format_events", "_m.*")
+    enforced = F.col("mode") == "guard"
+    shaped = guards.with_shape_event(routed, profile=profile, where=enforced)
+    compared = ~F.col("g1_fatal") & (F.col("mode") != "baseline")
+    shaped = shaped.withColumn("conforms", F.when(compared, F.col("shape_event.decision") == "pass")).drop("shape_event")
+    long = flatten(shaped, [*keys, "contract_pages", "im_pages", "mode", "g1_fatal", "conforms", "format_events"], profile=profile)
+    long = long.filter(~F.col("g1_fatal") | (F.col("ord") == 0))
+    rows = compare.cross_check_raw(guards.apply_guards(long, profile=profile, where=enforced))
+    events = F.when(enforced & (F.col("ord") == 0), F.concat("format_events", "guard_events")).otherwise(F.col("guard_events"))
+    told = {c: F.when(compared, F.col(c)) for c in ("final_status", "final_reason_code")}
+    return rows.withColumns(told).withColumns({"guard_events": events, "field": F.when(~F.col("g1_fatal"), F.col("field"))}).select(
+        *keys, "mode", "field", "ord", "g1_fatal", "conforms", "final_status", "final_reason_code", "guard_caught", "guard_events",
+        "contract_raw", "im_raw")

@@ -1,9 +1,14 @@
-"""Writers: reports, paired labels, manifests, triples."""
+"""Writers: reports, paired labels, manifests, triples, keyed tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinproof.operators.constraints import triple_lines
 from twinproof.operators.stats import align_modes, skipped_cases
@@ -28,8 +33,46 @@ def write_paired_csv(cases: DataFrame, modes: list[str], path: str) -> DataFrame
 
 
 def write_rows(df: DataFrame, path: str, *partitions: str, fmt: str = "parquet") -> None:
-    """Report rows partitioned by run keys."""
-    df.write.mode("append").partitionBy(*partitions).format(fmt).save(path)
+    """Report rows partitioned by run keys.
+
+    Rows are brought together by their keys first, so a run has a few files of even size and not one
+    from every task; a run with very many rows is split over tasks at run time.
+    """
+    df.hint("rebalance", *partitions).write.mode("append").partitionBy(*partitions).format(fmt).save(path)
+
+
+def write_results(path: str, by: str = "run_id", **results: DataFrame) -> None:
+    """Result lists as JSON lines, a folder a kind and run: ``<path>/<kind>/<by>=.../``.
+
+    Nested columns (sides, canonical values, answers) stay nested; nulls are spelt out.
+    """
+    for kind, rows in results.items():
+        rows.hint("rebalance", by).write.mode("append").partitionBy(by).option("ignoreNullFields", "false").json(f"{path}/{kind}")
+
+
+def read_results(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
+    """One kind of ``write_results`` with the schema it was written with."""
+    return spark.read.schema(schema).json(f"{path}/{kind}")
+
+
+def run_report(fields: DataFrame, keys: list[str], order: str, *columns: str) -> DataFrame:
+    """One row a key with its field rows as an array in the order of ``order``.
+
+    The array has one entry a field of the profile, so its size is bounded by configuration.
+    """
+    entry = F.struct(order, *columns)
+    held = fields.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("fields"))
+    return held.withColumn("fields", F.transform("fields", lambda e: F.struct(*[e[c].alias(c) for c in columns])))
+
+
+def run_summary(metas: DataFrame, by: str, seed: str, *columns: str) -> DataFrame:
+    """A pipeline's summary a group: number of runs, their seeds and their metas, in the order of the seeds.
+
+    One aggregation; a group holds the runs of one pipeline call (its list of seeds), not rows of data.
+    """
+    meta = F.struct(F.col(seed).alias("seed"), *columns)
+    held = metas.groupBy(by).agg(F.count(F.lit(1)).alias("n_runs"), F.array_sort(F.collect_list(meta)).alias("runs"))
+    return held.withColumn("seeds", F.transform("runs", lambda r: r["seed"]))
 
 
 def nested_report(scored_cases: DataFrame, metrics: DataFrame, key: str = "mode") -> DataFrame:
@@ -55,6 +98,52 @@ def run_rollup(manifests: DataFrame, *keys: str) -> DataFrame:
         F.sum("llm_total_tokens").cast("bigint").alias("llm_tokens"), F.sum("cost_usd").alias("cost_usd"))
 
 
+# --- keyed tables ---------------------------------------------------------------------------------
+
+#: Folder column of keyed tables.
+SLOT = "slot"
+
+
+def _with_slot(df: DataFrame, keys: list[str], slots: int) -> DataFrame:
+    return df.withColumn(SLOT, F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int"))
+
+
+def read_keyed(spark: SparkSession, path: str, schema: T.StructType, only: list[int] | None = None) -> DataFrame:
+    """The rows of a keyed table (of the folders ``only``); none where there is no table yet."""
+    whole = T.StructType([*schema.fields, T.StructField(SLOT, T.IntegerType())])
+    try:
+        rows = spark.read.schema(whole).parquet(path)
+        return (rows if only is None else rows.filter(F.col(SLOT).isin(only))).drop(SLOT)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def merge_keyed(batch: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame],
+                slots: int = 64) -> None:
+    """Merge a batch into a Parquet table that has its rows in ``slots`` folders by a hash of ``keys``.
+
+    ``merge(stored, batch)`` gives the new rows of the keys it is handed. Only the folders of the batch's keys
+    are read and replaced, so the work follows the batch and not the table's age; ``slots`` stays the same for
+    a table's lifetime. The merged rows are staged first, because a folder can't be replaced
+    while it is read. ``merge`` must give the same rows if it meets a batch again: a replayed
+    batch then mends whatever an interrupted one left.
+    """
+    spark, stage = batch.sparkSession, f"{path.rstrip('/')}-stage/{uuid.uuid4().hex}"
+    _with_slot(batch, keys, slots).write.parquet(f"{stage}/batch")
+    new = spark.read.parquet(f"{stage}/batch")
+    touched = [r[0] for r in new.select(SLOT).distinct().collect()]  # at most ``slots`` numbers
+    if not touched:
+        return
+    schema = T.StructType([f for f in new.schema.fields if f.name != SLOT])
+    stored = read_keyed(spark, path, schema, touched)
+    merged = _with_slot(merge(stored, new.drop(SLOT)).select(*schema.names), keys, slots)
+    merged.repartition(SLOT).write.partitionBy(SLOT).parquet(f"{stage}/merged")
+    spark.read.schema(new.schema).parquet(f"{stage}/merged").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(SLOT).parquet(path)
+
+
 def write_triples(triples: DataFrame, path: str) -> None:
     """N-Triples text parts."""
     triple_lines(triples).write.mode("overwrite").text(path)

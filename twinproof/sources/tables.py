@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,3 +124,35 @@ def read_normalizations(spark: SparkSession, path: str) -> DataFrame:
 def pending_reps(planned: DataFrame, finished: DataFrame) -> DataFrame:
     """Planned (tier, rep) rows without a finished report: resuming is an anti-join."""
     return planned.join(finished.select("tier", "rep").distinct(), ["tier", "rep"], "left_anti")
+
+
+def read_pending(spark: SparkSession, path: str, planned: DataFrame, finished: DataFrame) -> DataFrame:
+    """Rows of the pending (tier, rep) of a table that is partitioned by them.
+
+    The plan's folders are pruned by the pending rows at run time, so finished repetitions aren't opened.
+    """
+    return spark.read.parquet(path).join(pending_reps(planned, finished), ["tier", "rep"])
+
+
+def resume(spark: SparkSession, path: str, planned: DataFrame, results: str, schema: T.StructType,
+           work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``work`` on the repetitions without a result, add its rows to ``results`` and return all of them.
+
+    ``work`` keeps ``tier`` and ``rep``; ``schema`` is that of its other columns. Results are partitioned like the
+    input; a repetition counts as finished once its folder has rows, which one append of a job's output gives
+    together. A stopped run is resumed by calling this again.
+    """
+    whole = T.StructType([*schema.fields, T.StructField("tier", T.StringType()), T.StructField("rep", T.IntegerType())])
+
+    def stored() -> DataFrame:
+        try:
+            return spark.read.schema(whole).parquet(results)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], whole)
+
+    done = work(read_pending(spark, path, planned, stored()))
+    done.select(*schema.names, F.col("tier").cast("string"), F.col("rep").cast("int")).hint("rebalance", "tier", "rep").write.mode(
+        "append").partitionBy("tier", "rep").parquet(results)
+    return stored()

@@ -1,20 +1,27 @@
 """Review intake, decision upserts and live summaries.
 
 Whole extractions travel through the stream, one row per pair, so derivation and order
-rules stay inside the row and no state is kept. Keyed state exists only as tables written
-by ``foreachBatch``.
+rules stay inside the row and no state is kept. Keyed state (decisions, aliases) exists only as
+tables that ``foreachBatch`` merges into.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinproof.functions import verdicts as V
 from twinproof.operators.evidence import extraction_schema
-from twinproof.operators.overlay import latest_decisions, review_fields
-from twinproof.plans.review import review_rows
+from twinproof.operators.overlay import (
+    ALIAS_KEY, alias_requests, as_aliases, combine_aliases, latest_decisions, match_aliases, review_fields,
+)
+from twinproof.plans.review import REVIEW_COLUMNS, checked_rows, review_rows
 from twinproof.profile import TRUST_FUND, Profile
+from twinproof.sources.sinks import merge_keyed, read_keyed
+
+ALIAS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in (
+    *ALIAS_KEY, "left_raw", "right_raw", "source_run_id", "status", "created_at")])
 
 
 def extraction_stream(spark: SparkSession, path: str, profile: Profile = TRUST_FUND,
@@ -42,54 +49,52 @@ def live_summary(rows: DataFrame) -> DataFrame:
     ).withColumn("status", V.run_status(F.col("open_reviews"), F.lit(False)))
 
 
-def upsert_decisions(decisions: DataFrame, table_path: str, checkpoint: str, order: str = "decided_at",
-                     available_now: bool = True):
-    """Fold a decision stream into a last-wins table, one immutable version per micro-batch.
+def review_with_aliases(extractions: DataFrame, alias_path: str, path: str, checkpoint: str,
+                        profile: Profile = TRUST_FUND, available_now: bool = True):
+    """Review a stream of extractions with the aliases approved so far.
 
-    Each batch merges into the newest finished version below ``table_path`` and writes
-    ``version=<batch>``; a replayed batch overwrites only its own version, so restarts and
-    lost executors never leave a half-merged table.
+    Every micro-batch joins the alias table as it stands when the batch starts, so a
+    pair that is approved between two batches matches from the next one on. A batch's rows go to
+    ``<path>/batch=<id>``; a replayed batch overwrites its own folder only.
     """
 
+    def review(batch: DataFrame, batch_id: int) -> None:
+        rows = checked_rows(review_rows(batch, ["pair_id"], profile), ["pair_id"], f"{path}-checked/batch={batch_id}")
+        aliases = read_keyed(batch.sparkSession, alias_path, ALIAS_SCHEMA)
+        fields = review_fields(match_aliases(rows, aliases, profile))
+        fields.select("pair_id", *REVIEW_COLUMNS).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = extractions.writeStream.foreachBatch(review).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def upsert_aliases(requests: DataFrame, alias_path: str, checkpoint: str, profile: Profile = TRUST_FUND,
+                   available_now: bool = True):
+    """Merge a stream of remember-this-alias requests into the alias table."""
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        merged = batch
-        previous = _version_before(spark, table_path, batch_id)
-        if previous:
-            merged = spark.read.schema(batch.schema).parquet(previous).unionByName(batch)
-        latest_decisions(merged, order).write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
+        accepted = alias_requests(batch, profile).filter("alias_outcome = 'accepted'")
+        merge_keyed(as_aliases(accepted), alias_path, list(ALIAS_KEY), combine_aliases)
 
-    writer = decisions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = requests.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _finished_versions(spark: SparkSession, table_path: str) -> list[int]:
-    """Version numbers with a success marker, from the table's file system."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return []
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            found.append(int(name.split("=", 1)[1]))
-    return sorted(found)
+def upsert_decisions(decisions: DataFrame, table_path: str, checkpoint: str, order: str = "decided_at",
+                     available_now: bool = True):
+    """Fold a decision stream into a last-wins table; a micro-batch touches only the folders of its keys."""
 
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_keyed(batch, table_path, ["run_id", "field"],
+                    lambda stored, new: latest_decisions(stored.unionByName(new), order))
 
-def _version_before(spark: SparkSession, table_path: str, batch_id: int) -> str | None:
-    older = [v for v in _finished_versions(spark, table_path) if v < batch_id]
-    return f"{table_path}/version={older[-1]}" if older else None
+    writer = decisions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def read_decisions(spark: SparkSession, table_path: str, schema) -> DataFrame:
-    """The newest finished version (empty when there is none)."""
-    versions = _finished_versions(spark, table_path)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{table_path}/version={versions[-1]}")
+    """The latest decisions (none when there is no table)."""
+    return read_keyed(spark, table_path, schema)
 
 
 def drop_repeats(decisions: DataFrame, event_time: str, delay: str, *keys: str) -> DataFrame:
