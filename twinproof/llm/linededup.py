@@ -4,7 +4,8 @@ Each document becomes an array of 128-bit window hashes without leaving its row;
 and positions are exploded. Windows found more than once are counted globally (pre-aggregated,
 so a passage in a third of all documents sends one row a task), later occurrences are found by
 joining them back, and the covered positions of a document merge into line ranges that are cut
-out of its text. An occurrence is later than another if its (doc_id, line) is larger.
+out of its text. An occurrence is later than another if its (doc_id, hash of the text, line) is larger,
+so rows of one id, or without id, but with different texts follow each other too.
 
 A removed line always has an equal line earlier on: the first occurrence of any line content is
 in no later window. Windows are judged on the input.
@@ -39,10 +40,10 @@ def later_starts(rows: DataFrame) -> DataFrame:
     """(doc_id, key, at) of windows that occur before, in another document or in the same one."""
     found = windows(rows)
     repeated = found.groupBy("a", "b").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "at")).alias("first")
     ).filter("n > 1").select("a", "b", "first")
     later = found.join(repeated, ["a", "b"]).filter(
-        ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("at") > F.col("first.at")))
+        ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("key") != F.col("first.key")) | (F.col("at") > F.col("first.at")))
     return later.select("doc_id", "key", "at")
 
 
