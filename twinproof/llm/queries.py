@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from twinproof.llm import (
     bpe, chat, decontaminate, fim, langid, licences, linededup, merkle, quality, secrets, simhash, substring, toxicity,
 )
-from twinproof.llm.common import digest, table
+from twinproof.llm.common import digest, shared_folder, table
 from twinproof.session import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,8 +43,9 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id"""
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = secrets.findings(docs, secrets.scan(docs))
+    docs, ledger = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/secrets-{uuid.uuid4().hex}"
+    secrets.extend(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 2 == 0), ledger, "first")  # half of the versions arrive
+    found = secrets.findings(docs, secrets.extend(docs, ledger, "second"))
     base = F.filter("found", lambda f: f["base"])
     n = lambda kind: F.coalesce(F.size(F.filter(base, lambda f: f["kind"] == kind)).cast("long"), F.lit(0).cast("long"))
     told = found.withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))

@@ -5,7 +5,7 @@ per blob and rule version that was ever scanned, with its findings (also none).
 (blob, rule version) pairs that the ledger lacks, one path each as the place to read the blob
 from, finds the rules' matches, and gives new ledger rows; findings then join back to all
 paths whose versions have that content. Copies are scanned once, a rule change rescans with the
-changed rules only, and an unchanged corpus scans nothing.
+changed rules only, and an unchanged corpus scans nothing. ``extend`` keeps the ledger as a table, a folder a batch.
 
 Positions are code points. The pieces between matches (``split``) and the matches
 (``regexp_extract_all``) alternate, so running sums of their lengths give the spans.
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinproof.llm.common import columns
@@ -98,6 +99,27 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
         "blob", "kind", "version", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"))
 
 
+def read_ledger(spark: SparkSession, path: str, without: str | None = None) -> DataFrame:
+    """The stored ledger (but for one batch); empty where there is none yet."""
+    try:
+        rows = spark.read.schema(f"{BLOB}, batch string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], f"{BLOB}, batch string")
+    return (rows if without is None else rows.filter(F.col("batch") != without)).drop("batch")
+
+
+def extend(docs: DataFrame, path: str, batch: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger at ``path`` lacks, store it as ``batch`` and return the whole ledger.
+
+    A batch that is run again replaces its own folder: it sees the ledger without itself.
+    """
+    spark = docs.sparkSession
+    scan(docs, rules, read_ledger(spark, path, batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return read_ledger(spark, path)
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per version: (path, blob, found), found holding (start, rank, kind, stop) of the current rules, in order."""
     current = F.array(*[
