@@ -37,6 +37,19 @@ CACHED_PAIRS = 400_000
 WHITE = r"[\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|(?:(?!{WHITE})[^\p{{L}}\p{{N}}])+"
 WORD_END = "</w>"
+# Letters and digits that `regex` (Unicode 17) knows and the patterns of the vocabulary's own library
+# (Unicode 16) don't, and the lower-case forms that library knows and Python's (Unicode 15.1) doesn't.
+UNKNOWN_LETTERS = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda"
+    "\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+    "\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f")
+NEW_LOWER = (
+    {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+    | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)})
 
 
 def byte_letters() -> list[str]:
@@ -92,7 +105,12 @@ class WordBpe:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.pieces = regex.compile(PIECES)
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.newer = regex.compile(f"[{UNKNOWN_LETTERS}{''.join(map(chr, NEW_LOWER))}]")
+        known = lambda kind: rf"(?:(?![{UNKNOWN_LETTERS}])\p{{{kind}}})"
+        other = rf"(?:(?!{WHITE})(?:[{UNKNOWN_LETTERS}]|[^\p{{L}}\p{{N}}]))"
+        self.strict = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{known('L')}+|{known('N')}|{other}+")
+        self.heads = {t[:1] for t in self.special}
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         texts = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         shown = [(texts.get(i, "") + " ").encode() for i in range(max(texts) + 1)]
         self.blob = np.frombuffer(b"".join(shown), dtype=np.uint8)
@@ -148,7 +166,8 @@ class WordBpe:
 
     def chunk(self, text: str) -> bytes:
         """The ids of a stretch of normalised text without white space, or of any text."""
-        found = b"".join([self.words.get(w) or self.word(w) for w in self.pieces.findall(text)])
+        pieces = self.pieces if text.isascii() or not self.newer.search(text) else self.strict
+        found = b"".join([self.words.get(w) or self.word(w) for w in pieces.findall(text)])
         if len(self.chunks) < CACHED_WORDS and len(text) <= 64:
             self.chunks[text] = found
         return found
@@ -156,12 +175,14 @@ class WordBpe:
     def normalized(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
+            if self.newer.search(text):
+                text = text.translate(NEW_LOWER)
         # White space needs no step of its own: pieces never contain it. Letter by letter, without the final form of sigma.
         return text.replace("Σ", "σ").lower()
 
     def encode(self, text: str) -> np.ndarray:
         chunks, encode, out = self.chunks, self.chunk, []
-        for i, part in enumerate(self.specials.split(text) if "<|" in text else (text,)):
+        for i, part in enumerate(self.specials.split(text) if any(h in text for h in self.heads) else (text,)):
             if i % 2:
                 out.append(np.array([self.special[part]], dtype="<u4").tobytes())
             else:
