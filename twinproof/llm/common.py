@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,15 @@ def cut(df: DataFrame) -> DataFrame:
 def digest(text: Column) -> Column:
     """Lower-case hex SHA-256 of a text's UTF-8 bytes."""
     return F.sha2(text.cast("binary"), 256)
+
+
+_KEPT: dict = {}
+
+
+def once(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once a Python worker and ``key`` and not once a task; the last four are kept."""
+    if key not in _KEPT:
+        while len(_KEPT) > 3:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[key] = make()
+    return _KEPT[key]
