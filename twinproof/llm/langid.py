@@ -8,7 +8,8 @@ another language by more than the penalty, the best single language is the Viter
 one vectorised pass shows; only other texts run the recursion.
 
 The trigram counts are fitted on a sample of about ``SAMPLE_ROWS`` labelled rows of each language (all, if
-fewer), chosen by a hash of doc_id and read whole, and all trigrams of it are kept. How common a
+fewer), chosen by a hash of doc_id and read whole, and all trigrams of it are kept: 12 bytes for each trigram and
+language that has it, and 16 for each trigram, so many languages or large scripts don't multiply. How common a
 language is counts over all labelled rows. Every document is predicted from its whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything if
@@ -18,23 +19,23 @@ rows get equal rows; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import columns, cut
+from twinproof.llm.common import columns, cut, once
 
 SAMPLE_ROWS = 20_000
-LANGUAGES = 200
 SWITCH = 12.0
 FOREIGN = -40.0
-CACHED_WORDS = 500_000
+#: Words kept by a worker with four languages; fewer with more. And scores worked out at a time.
+CACHED_WORDS, SCORES = 500_000, 4_000_000
 
 # First and last code points of scripts, apart from Latin the blocks of common use.
 SCRIPTS = (
@@ -75,6 +76,16 @@ def grams(letters: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
+def packed_grams(stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the stretch, its code points in 21 bits each) of every trigram of stretches of letters."""
+    sizes = np.fromiter(map(len, stretches), dtype=np.int64, count=len(stretches))
+    letters = np.frombuffer("".join([f" {x} " for x in stretches]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(owner)) + 2 * owner  # a stretch of n letters has n trigrams and takes n + 2 places
+    shift = np.uint64(21)
+    return owner, ((letters[at] << shift) | letters[at + 1]) << shift | letters[at + 2]
+
+
 def sampled(rows: DataFrame, size: int) -> DataFrame:
     """About ``size`` rows by a hash of doc_id; all rows if there are fewer."""
     total = rows.count()
@@ -88,10 +99,8 @@ def sampled_each(rows: DataFrame, totals: dict[str, int], size: int) -> DataFram
     shares = {x: (size << 40) // n for x, n in totals.items() if n > size}
     if not shares:
         return rows
-    limit = F.lit(1 << 40)
-    for lang, share in shares.items():
-        limit = F.when(F.col("lang") == lang, share).otherwise(limit)
-    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) < limit)
+    limits = F.create_map(*[F.lit(v) for pair in shares.items() for v in pair])
+    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) < F.coalesce(limits[F.col("lang")], F.lit(1 << 40)))
 
 
 def fit(labelled: DataFrame, size: int = SAMPLE_ROWS) -> dict:
@@ -123,31 +132,34 @@ def fit(labelled: DataFrame, size: int = SAMPLE_ROWS) -> dict:
             ["lang", "what", "name", "n"])
 
     known = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    per = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).toArrow().to_pylist()}
+    per = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).toArrow().to_pylist()}
     languages = sorted(per)
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages to learn")
     counted = sampled_each(known, per, size).select("text", "lang").mapInArrow(count, "lang string, what string, name string, n long")
     summed = cut(counted.groupBy("lang", "what", "name").agg(F.sum("n").alias("n")))
     told = summed.filter("what <> 'gram'").toArrow().to_pylist()
     grammed = summed.filter("what = 'gram'").select("name", "lang", "n").toArrow()
     at = {x: i for i, x in enumerate(languages)}
-    names = pc.unique(grammed.column("name"))
-    table = np.zeros((len(names), len(languages)))
-    owners = np.array([at[x] for x in grammed.column("lang").to_pylist()], dtype=np.int64)
-    table[pc.index_in(grammed.column("name"), names).to_numpy(), owners] = grammed.column("n").to_numpy()
-    totals = table.sum(axis=0) + 0.5 * max(1, len(table))
+    # A trigram is three code points: as many bytes in UTF-32 whatever its script.
+    names = grammed.column("name").to_pylist()
+    letters = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64).reshape(-1, 3)
+    keys = (letters[:, 0] << np.uint64(42)) | (letters[:, 1] << np.uint64(21)) | letters[:, 2]
+    owners = np.array([at[x] for x in grammed.column("lang").to_pylist()], dtype=np.int32)
+    n = grammed.column("n").to_numpy()
+    order = np.lexsort((owners, keys))
+    keys, owners, n = keys[order], owners[order], n[order]
+    grams_known, first = np.unique(keys, return_index=True)
+    totals = np.bincount(owners, weights=n, minlength=len(languages)) + 0.5 * max(1, len(grams_known))
     scripts: dict[str, np.ndarray] = {}
     for r in told:
         if r["what"] == "script":
             scripts.setdefault(r["name"], np.zeros(len(languages)))[at[r["lang"]]] = r["n"]
-    letters = np.maximum(1, sum(scripts.values(), np.zeros(len(languages))))
+    written = np.maximum(1, sum(scripts.values(), np.zeros(len(languages))))
     prior = np.array([per[x] for x in languages], dtype=float)
-    rest = np.log(0.5 / totals) if languages else np.zeros(0)
     return {
-        "languages": languages, "grams": {g: i for i, g in enumerate(names.to_pylist(), 1)},
-        "logs": np.vstack([rest, np.log((table + 0.5) / totals)]),  # row 0: other trigrams
-        "scripts": {s: c / letters >= 0.01 for s, c in scripts.items()},
+        "languages": languages, "grams": grams_known, "edges": np.append(first, len(keys)), "owners": owners,
+        "gains": np.log1p(2.0 * n),  # log((n + 0.5) / total) less the value of an unknown trigram
+        "rest": np.log(0.5 / totals) if languages else np.zeros(0),
+        "scripts": {s: c / written >= 0.01 for s, c in scripts.items()},
         "prior": np.log(prior / max(1.0, prior.sum())) if languages else np.zeros(0),
     }
 
@@ -161,28 +173,45 @@ class Labeller:
         self.index: dict[str, int] = {}
         self.scores, self.letters = np.zeros((0, self.size)), np.zeros(0, dtype=np.int64)
 
+    def stretches(self, found: list[str]) -> np.ndarray:
+        """Log-probabilities of stretches of letters in every language, whatever their script."""
+        model, size = self.model, self.size
+        own = np.zeros((len(found), size))
+        for start in range(0, len(found), max(1, SCORES // size)):
+            part = found[start : start + max(1, SCORES // size)]
+            owner, keys = packed_grams(part)
+            sums = np.bincount(owner, minlength=len(part))[:, None] * model["rest"]
+            if len(model["grams"]):
+                place = np.minimum(np.searchsorted(model["grams"], keys), len(model["grams"]) - 1)
+                hit = model["grams"][place] == keys
+                place, owner = place[hit], owner[hit]
+                first, many = model["edges"][place], model["edges"][place + 1] - model["edges"][place]
+                entry = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+                cell = np.repeat(owner, many) * size + model["owners"][entry]
+                sums = sums + np.bincount(cell, weights=model["gains"][entry], minlength=len(part) * size).reshape(-1, size)
+            own[start : start + len(part)] = sums
+        return own
+
     def learn(self, words: set[str]) -> None:
         """Scores and numbers of letters of words that weren't met before, all at once."""
-        if len(self.index) > CACHED_WORDS:
+        if len(self.index) > CACHED_WORDS * 4 // max(4, self.size):
             self.forget()
         fresh = [w for w in words if w not in self.index]
-        known, scripts, everywhere = self.model["grams"], self.model["scripts"], np.ones(self.size, dtype=bool)
-        ids, starts, owners, sizes, allowed = [], [], [], [], []
+        scripts, everywhere = self.model["scripts"], np.ones(self.size, dtype=bool)
+        found, owners, allowed = [], [], []
         letters = np.zeros(len(fresh), dtype=np.int64)
         for i, word in enumerate(fresh):
             for kind, run in runs(word):
                 letters[i] += len(run)
                 used = scripts.get(kind)
                 if used is not None and used.any():
-                    starts.append(len(ids))
-                    ids += [known.get(g, 0) for g in grams(run)]
+                    found.append(run)
                     owners.append(i)
-                    sizes.append(len(run))
                     allowed.append(used if not used.all() else everywhere)
         scores = np.zeros((len(fresh), self.size))
-        if ids and self.size:
-            own = np.add.reduceat(self.model["logs"][ids], starts, axis=0)
-            own = np.where(np.array(allowed), own, FOREIGN * np.array(sizes)[:, None])
+        if found and self.size:
+            own, sizes = self.stretches(found), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            own = np.where(np.array(allowed), own, FOREIGN * sizes[:, None])
             np.add.at(scores, np.array(owners), own)
             scores -= scores.max(axis=1, keepdims=True)
         at = len(self.index)
@@ -242,10 +271,10 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH, spans: bool =
     """doc_id, lang_pred, score and, if asked for, spans of every row."""
     source = columns(docs, doc_id="doc_id", text="text")
     sent = source.sparkSession.sparkContext.broadcast(model)
-    kept: dict = {}
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = kept.get(0) or kept.setdefault(0, Labeller(sent.value, switch))
+        labeller = once(key, lambda: Labeller(sent.value, switch))
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, 500):  # their new words are scored together
