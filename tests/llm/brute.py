@@ -116,3 +116,39 @@ def base_spans(text):
     for rank, (kind, pattern, group, least) in enumerate(BASE):
         found += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(text or "") if len(m[group]) >= least]
     return [s for _, _, s in sorted(found)]
+
+
+class Spelling:
+    """Two Kneser-Ney models over shared letter counts, by the definition, with dictionaries of strings."""
+
+    D, PRIOR, ORDER = 0.75, 5.0, 6
+
+    def __init__(self, texts, labelled):
+        self.letters = Counter(x for word in {w for t in texts for w in t.lower().split()} for x in set(word + "\n"))
+        self.n = {(c, k): Counter() for c in (0, 1) for k in range(1, self.ORDER + 1)}
+        for text, c in labelled:
+            for word in text.lower().split():
+                spelt = f" {word}\n"
+                for k in range(1, self.ORDER + 1):
+                    self.n[c, k].update(spelt[i + 1 - k : i + 1] for i in range(max(1, k - 1), len(spelt)))
+        for c in (0, 1):
+            for k in range(1, self.ORDER):
+                before = Counter(g[1:] for g in self.n[c, k + 1])
+                self.n[c, k] = Counter({g: n if g[0] == " " else before[g] for g, n in self.n[c, k].items()})
+
+    def p(self, context, letter, c):
+        """Probability of a letter (None: one never seen) after the letters of its word so far, a space first."""
+        p = ((self.letters[letter] if letter else 0) + 0.5) / (sum(self.letters.values()) + 0.5 * (len(self.letters) + 1))
+        for k in range(1, self.ORDER + 1):
+            if len(context) >= k - 1:
+                last = context[len(context) + 1 - k :]
+                after = {g: n for g, n in self.n[c, k].items() if g[:-1] == last and n}
+                n = after.get(last + letter, 0) if letter else 0
+                p = (max(0, n - self.D) + (self.D * len(after) + self.PRIOR) * p) / (sum(after.values()) + self.PRIOR)
+        return p
+
+    def likelihood(self, word, c):
+        import math
+
+        spelt = f" {word}\n"
+        return sum(math.log(self.p(spelt[:i], spelt[i], c)) for i in range(1, len(spelt)))

@@ -46,6 +46,10 @@ def test_line_dedup(spark, texts):
     assert got == brute.line_dedup(list(enumerate(texts)))
     assert linededup.dedup_lines(df).columns == df.columns
     repeated = frame(spark, ["a\nb\nc\nd"] * 3, ids=[5, 5, None])
+    # Rows of one id, or without id, and different texts that share a window: the first by (id, text hash) keeps it.
+    tied = frame(spark, ["x\ny\nz\n1", "x\ny\nz\n2", "x\ny\nz\n1", "x\ny\nz\n2"], ids=[None, None, 7, 7])
+    left = sorted(len(r[1]) for r in linededup.dedup_lines(tied).collect())
+    assert left == [0, 0, 1, 7]  # the rows of id 7 repeat both windows of a row without id
     # The null id comes first and keeps all; both windows of the others are later ones.
     assert sorted((str(r[0]), r[1]) for r in linededup.dedup_lines(repeated).collect()) == [("5", ""), ("5", ""), ("None", "a\nb\nc\nd")]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
@@ -141,6 +145,21 @@ def test_secrets(spark):
     assert secrets.findings(df.limit(0), secrets.scan(df.limit(0))).count() == 0
 
 
+def test_secret_ledger_is_kept(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    texts = [f"token = abcdef{i}" for i in range(20)] * 2
+    df = frame(spark, texts)
+    first = secrets.extend(df.filter("doc_id < 8"), path, "a")
+    assert first.count() == 8 * len(secrets.RULES)
+    whole = secrets.extend(df, path, "b")
+    assert whole.count() == 20 * len(secrets.RULES)  # no pair twice: the second batch left out what the first had seen
+    assert spark.read.parquet(f"{path}/batch=b").count() == 12 * len(secrets.RULES)
+    assert secrets.extend(df, path, "b").count() == 20 * len(secrets.RULES) == secrets.extend(df, path, "c").count()
+    assert spark.read.schema(secrets.BLOB).parquet(f"{path}/batch=c").count() == 0
+    assert all(len(r.found) == 1 for r in secrets.findings(df, secrets.read_ledger(spark, path)).collect())
+    assert secrets.extend(df.limit(0), str(tmp_path / "none"), "a").count() == 0
+
+
 def test_quality_counts_and_verdicts(spark, texts):
     df = frame(spark, texts)
     got = {r.doc_id: r for r in quality.judge(df).collect()}
@@ -208,6 +227,19 @@ def test_bpe_equals_the_library(spark, texts):
     assert bpe.encode(frame(spark, texts).limit(0), tokenizer_path()).count() == 0
 
 
+def test_bpe_knows_the_letters_of_the_library():
+    """Every code point in a word, before a digit: letters, digits, lower case and white space are the library's."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokenizer_path()), bpe.WordBpe(tokenizer_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    wrong = []
+    for at in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}b{chr(c)}1" for c in points[at : at + 20_000]]
+        wrong += [hex(ord(t[1])) for t, w in zip(texts, library.encode_batch(texts, add_special_tokens=False)) if own.encode(t).tolist() != w.ids]
+    assert wrong == []
+
+
 def test_chat_round_trip_and_branches(spark):
     odd = ["", None, "<|im_start|>", "\\<|", "<\\|im_end|>\\\\", "end <", "\\", "<|im_end|>\n<|im_start|>user\nhi"]
     turns = [(c, t, ["user", "assistant", "a\n<|b\\n", None][(c + t) % 4], odd[(c * 3 + t) % len(odd)]) for c in range(6) for t in range(c * 3)]
@@ -238,7 +270,7 @@ def test_viterbi_equals_all_paths():
     rng = np.random.default_rng(4)
     for _ in range(60):
         n, k = int(rng.integers(1, 6)), int(rng.integers(1, 4))
-        model = {"languages": list("abc")[:k], "grams": {}, "logs": np.zeros((1, k)), "scripts": {}, "prior": rng.normal(size=k)}
+        model = {"languages": list("abc")[:k], "scripts": {}, "prior": rng.normal(size=k)}
         labeller, scores = langid.Labeller(model, switch=1.5), rng.normal(size=(n, k)) * 2
         value = lambda p: model["prior"][p[0]] + sum(scores[i, x] for i, x in enumerate(p)) - 1.5 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023,E731
         assert np.isclose(value(labeller.path(scores).tolist()), max(value(p) for p in product(range(k), repeat=n)))
@@ -277,10 +309,40 @@ def test_rare_language_beside_large_ones(spark):
     for size in (langid.SAMPLE_ROWS, 20):  # all rows; about 20 of each language
         model = langid.fit(df, size)
         assert model["languages"] == ["en", "rare", "zh"] and np.allclose(np.exp(model["prior"]) * 1041, [400, 1, 640])
-        assert {"kva", "lmi", "osk", "the"} <= model["grams"].keys()
+        assert np.isin(langid.packed_grams(["kva", "lmi", "osk", "the"])[1][1::3], model["grams"]).all()
         assert [langid.Labeller(model).label(t)[0] for t in ("kvarpo zulmi drebta fosk", "the house")] == ["rare", "en"]
 
 
+def test_many_languages_equal_brute_force(spark):
+    """300 languages, scores by the definition; a word of a script that a language lacks counts as foreign to it."""
+    rng = random.Random(16)
+    rows = []
+    for k in range(300):
+        letters = rng.sample("abcdefghijklmnop", 5) if k % 10 else [chr(0x430 + rng.randrange(32)) for _ in range(5)]
+        rows += [(k * 3 + i, " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(12)), f"l{k:03d}") for i in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model["languages"]) == 300
+    counts, total = defaultdict(lambda: defaultdict(int)), set()
+    for _, text, lang in rows:
+        for word in text.split():
+            for g in langid.grams(word):
+                counts[lang][g] += 1
+                total.add(g)
+    words = ["abcde", "жзийк", "aaaж", "qqq"]
+    labeller = langid.Labeller(model)
+    labeller.learn(set(words))
+    for word, got in zip(words, labeller.rows(words)[0]):
+        want = np.zeros(300)
+        for i, lang in enumerate(model["languages"]):
+            norm = sum(counts[lang].values()) + 0.5 * len(total)
+            for kind, letters in langid.runs(word):
+                ok = model["scripts"][kind][i]
+                want[i] += sum(np.log((counts[lang][g] + 0.5) / norm) for g in langid.grams(letters)) if ok else langid.FOREIGN * len(letters)
+        assert np.allclose(got, want - want.max())
+    told = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id // 3:03d}" for r in told) > 0.9 * len(rows)
+
+
 def test_toxicity_edges(spark, texts):
     df = frame(spark, texts)
     labels = spark.createDataFrame([(i, i % 2 if i % 3 else None, "z") for i in range(20)], "doc_id long, toxic int, text string")
@@ -290,6 +352,34 @@ def test_toxicity_edges(spark, texts):
     assert toxicity.score(df.limit(0), labels).count() == 0
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Log-likelihoods of words under both models, and that all next letters' probabilities sum to 1."""
+    rng = random.Random(14)
+    pool = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    texts = [prose(rng, 30, pool[:45] if i % 3 else pool[15:]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    toxic = {i: int(i % 3 == 0) for i in range(40)}
+    model = toxicity.fit(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    fold = {r.doc_id for r in docs.filter(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(toxicity.FOLDS)) > 0).collect()}
+    spelling = brute.Spelling(texts, [(texts[i], toxic[i]) for i in sorted(fold & toxic.keys())])
+    words = pool + ["zzz", "abcdz", "dcbadcba", "a"]
+    want = [spelling.likelihood(w, 1) - spelling.likelihood(w, 0) for w in words]
+    assert np.allclose(toxicity.Scorer(model, (0.0,)).words(words), want, atol=1e-4) and np.std(want) > 0.5
+    for context in (" ab", "abc", "abcd", "dcbab", " d", "zab"):
+        for label in (0, 1):
+            assert np.isclose(sum(spelling.p(context, w, label) for w in [*"abcd\n", None]), 1)
+
+
+def test_toxicity_without_kept_rows_or_one_class(spark):
+    """Nothing to weigh the features with: all get the smoothed share of toxic labels."""
+    docs = spark.createDataFrame([(i, "good words here") for i in range(9)], "doc_id long, text string")
+    for told, share in (([(i, 0) for i in range(9)], 1), ([(4, 1)], 1), ([], 1)):
+        labels = spark.createDataFrame(told, "doc_id long, toxic int").filter(~toxicity.held_out())
+        n, n1 = labels.count(), labels.filter("toxic = 1").count()
+        got = {r.score for r in toxicity.score(docs, labels).collect()}
+        assert len(got) == 1 and np.isclose(got.pop(), (n1 + 1) / (n + 2))
+
+
 def test_toxicity_model_holds_every_letter_group(spark):
     """More groups than the 300,000 beginnings that the model held once, and none dropped."""
     rng = random.Random(8)
@@ -310,7 +400,7 @@ def test_toxicity_scores_whole_words(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int"))
     texts = ["house", "zorgblat", "qqqzorgblat", "qqqhouse", "gardenriverstonezorgblat", "gardenriverstonegarden", "\u6f22" * 30 + "zorgblat", "\u6f22" * 30]
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    x = {r.doc_id: r.x for r in toxicity.compared(made, model).collect()}
+    x = {r.doc_id: r.x[0] for r in toxicity.compared(made, model).collect()}
     assert all(x[i] > x[j] + 0.5 for i, j in ((1, 0), (2, 3), (4, 5), (6, 7)))
 
 

@@ -1,32 +1,33 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class (ordinary, toxic) has a model that spells words: the next letter given up to ``ORDER`` - 1
-letters before it in the word, from discounted counts of the class's labelled texts. A letter is
-judged in the longest context that the labelled texts have it in, so every letter of every word is scored (one
-that they lack altogether is alike to both). Discounted mass backs off to counts that both classes share: the same context in either class, and below it
-trigram, bigram and single-letter continuation counts, the numbers of different words that a
-letter group occurs in, taken from all documents. A spelling that one class has hardly
-seen is thus judged alike by both, so rare expressions weigh little; ``PRIOR`` occurrences spread
-as the shared counts are added to each class for the same end. A document's score is a logistic function of
-the difference of the two log-likelihoods per word. Each word's difference counts by as much
-as it exceeds a margin: what differs less is the style or language of the labelled texts,
-which would otherwise outweigh a few words in a long text. The margin is the one of ``MARGINS`` under
-which the labels of the rows kept back are likeliest.
+Each class (ordinary, toxic) has a normalised model that spells words: the next letter given up to ``ORDER`` - 1
+letters before it in the word, in the interpolated form. The top order takes the class's own counts and the orders
+below it continuation counts (before how many different letters a group occurs; groups at a word's start keep their
+counts), all discounted; the discounted mass, and ``PRIOR`` occurrences more, go to the next shorter context. The
+shortest, single letters, back off to counts that both classes share: the numbers of different words that a letter
+occurs in, taken from all documents. What neither class has seen is thus judged by backed-off mass alone, and what a
+class has seen once moves it little, so rare expressions weigh little.
+
+A document's features are the difference of the two log-likelihoods per word, with its sign, and the square root of
+the words' mean excess of that difference over a margin: a few words in a long text stand out from the
+style and language of the labelled texts, which move all words a little. A logistic function of both gives the
+score. The margin is the one of ``MARGINS`` under which the labels of the rows kept back are likeliest.
 
 Class counts come from about ``SAMPLE_ROWS`` labelled rows (all, if fewer) chosen by a hash of doc_id
 and read whole; one in ``FOLDS`` of them is kept back to choose the margin and fit the logistic function. The shared counts
-cover every document. Counts, totals and ratios are Spark tables under 64-bit hashes of the letter
-groups. The model sent to the executors holds all groups of the sample, 12 bytes each.
+cover every document. Counts and probabilities are Spark tables under 64-bit hashes of the letter
+groups. The model sent to the executors holds all groups and contexts of the sample, 12 bytes each.
 
-Defined results: null texts are empty, and a text without words scores as one with equal likelihoods; rows
-with null labels teach nothing; without labels of both classes all differences are 0;
-repeated rows get equal rows; an empty table gives an empty table.
+Defined results: null texts are empty, and a text without words has both features 0; rows with null
+labels teach nothing; without labels of both classes, or without rows kept back, every score is the
+smoothed share of toxic labels; repeated rows get equal rows; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import columns, cut
+from twinproof.llm.common import columns, cut, once
 from twinproof.llm.langid import sampled
 
 SAMPLE_ROWS = 20_000
@@ -109,53 +110,32 @@ def batch_of(names: str, *arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64)) for a in arrays], names.split())
 
 
-def shared_counts(texts: DataFrame) -> DataFrame:
-    """(size, g, ctx, low, n): in how many different words each group of up to three letters occurs, over all texts.
+def shared_letters(texts: DataFrame) -> DataFrame:
+    """(letter, p): the share of each letter's group by the number of different words it occurs in, over all texts.
 
-    ``ctx`` is the group without its last letter and ``low`` without its first one.
+    Letters that occur nowhere share the weight of half a word.
     """
-    names = "size g ctx low n"
+    names = "g n"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Groups(batch.column("word").to_pylist(), 3)
-            for k in (1, 2, 3):
-                places = words.places(k)
-                # A group counts once a word, so the first of its places in the word.
-                order = np.lexsort((words.at[k][places], words.word[places]))
-                g, w = words.at[k][places][order], words.word[places][order]
-                places = places[order][np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])[: len(g)]]
-                _, first, n = np.unique(words.at[k][places], return_index=True, return_counts=True)
-                at = places[first]
-                yield batch_of(names, np.full(len(at), k), words.at[k][at], words.context(k, at), words.at[k - 1][at], n)
-
-    found = word_types(texts).mapInArrow(run, ", ".join(f"{c} long" for c in names.split()))
-    return found.groupBy("size", "g", "ctx", "low").agg(F.sum("n").alias("n"))
-
-
-def shared_letters(counts: DataFrame) -> DataFrame:
-    """(shape, p): interpolated continuation probabilities of the last letters of groups of up to three letters."""
-    counts = cut(counts)
-    top = counts.filter("size = 1").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    known = counts.filter("size = 1").crossJoin(F.broadcast(top)).select(
-        "g", ((F.col("n") + 0.5) / (F.col("total") + 0.5 * (F.col("kinds") + 1))).alias("p"))
-    out = known.select(F.col("g").alias("shape"), "p")
-    for size in (2, 3):
-        own = counts.filter(F.col("size") == size)
-        sums = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        below = known.select(F.col("g").alias("low"), F.col("p").alias("p_low"))
-        known = own.join(sums, "ctx").join(below, "low").select("g", (
-            (F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p_low")) / F.col("total")).alias("p"))
-        out = out.unionByName(known.select(F.col("g").alias("shape"), "p"))
-    return out
+            words = Groups(batch.column("word").to_pylist(), 1)
+            places = words.places(1)
+            once = np.unique(np.stack([words.word[places].astype(np.uint64), words.at[1][places]], axis=1), axis=0)
+            yield batch_of(names, *np.unique(once[:, 1], return_counts=True))
+
+    counts = cut(word_types(texts).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
+    top = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    return counts.crossJoin(F.broadcast(top)).select(
+        F.col("g").alias("letter"), ((F.col("n") + 0.5) / (F.col("total") + 0.5 * (F.col("kinds") + 1))).alias("p"))
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
-    """(g, ctx, shape, n0, n1): occurrences of groups of up to ORDER letters by class.
+    """(size, g, ctx, low, first, n0, n1): occurrences of groups of up to ORDER letters by class.
 
-    ``ctx`` is the group without its last letter, ``shape`` the last three letters there (two at a word's start).
+    ``ctx`` is the group without its last letter, ``low`` without its first one; ``first`` is 1 for groups that begin a word.
     """
-    names = "g ctx shape n0 n1"
+    names = "size g ctx low first n0 n1"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -179,25 +159,45 @@ def class_counts(rows: DataFrame) -> DataFrame:
             g, first, own = np.unique(words.at[k][places], return_index=True, return_inverse=True)
             n = [np.bincount(own, weights=ns[words.word[places], c], minlength=len(g)) for c in (0, 1)]
             at = places[first]
-            # The shared letter of a group follows from the group itself: its own last three letters, or all it has.
-            yield batch_of(names, g, words.context(k, at), words.at[min(k, 3)][at], *n)
+            yield batch_of(names, np.full(len(g), k), g, words.context(k, at), words.at[k - 1][at],
+                           (words.depth[at] == k - 1).astype(np.int64), *n)
 
     counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, ", ".join(f"{c} long" for c in names.split()))
-    return counted.groupBy("g", "ctx", "shape").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def spellings(counts: DataFrame, letters: DataFrame) -> DataFrame:
-    """(g, step): the log ratio of the last letter of each group, given the letters before it."""
-    both = counts.withColumn("n2", F.col("n0") + F.col("n1"))
-    sums = both.groupBy("ctx").agg(*[F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1, 2)], *[
-        F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"k{c}") for c in (0, 1, 2)])
-
-    def smoothed(c: int, low: Column) -> Column:
-        spare = DISCOUNT * F.col(f"k{c}") + PRIOR
-        return (F.greatest(F.lit(0.0), F.col(f"n{c}") - DISCOUNT) + spare * low) / (F.col(f"t{c}") + PRIOR)
-
-    return both.join(sums, "ctx").join(letters, "shape").withColumn("both", smoothed(2, F.col("p"))).select(
-        "g", F.log(smoothed(1, F.col("both")) / smoothed(0, F.col("both"))).alias("step"))
+    return counted.groupBy(*names.split()[:5]).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def continuations(counts: DataFrame) -> DataFrame:
+    """``counts`` with continuation counts below the top order: different letters before a group, by class."""
+    longer = counts.filter(F.col("size") > 1).groupBy(F.col("low").alias("inner")).agg(*[
+        F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"c{c}") for c in (0, 1)])
+    whole = (F.col("size") == ORDER) | (F.col("first") == 1)
+    joined = counts.join(longer, counts.g == longer.inner, "left")
+    told = {f"n{c}": F.when(whole, F.col(f"n{c}")).otherwise(F.coalesce(f"c{c}", F.lit(0))) for c in (0, 1)}
+    return joined.withColumns(told).drop("inner", "c0", "c1")
+
+
+def contexts(counts: DataFrame) -> DataFrame:
+    """(ctx, t0, t1, m0, m1): adjusted counts after a context and the mass it hands to the shorter one, by class."""
+    sums = counts.groupBy("ctx").agg(*[F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)], *[
+        F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"k{c}") for c in (0, 1)])
+    mass = lambda c: (DISCOUNT * F.col(f"k{c}") + PRIOR) / (F.col(f"t{c}") + PRIOR)
+    return sums.select("ctx", "t0", "t1", mass(0).alias("m0"), mass(1).alias("m1"))
+
+
+def probabilities(counts: DataFrame, letters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, step) and (ctx, step): log ratios, toxic to ordinary, of a group's last letter after its context, and of
+    the masses that a context hands to the shorter one."""
+    sums = cut(contexts(counts))
+    low = letters.select(F.col("letter").alias("inner"), F.col("p").alias("b0"), F.col("p").alias("b1"))
+    steps: DataFrame | None = None
+    for size in range(1, ORDER + 1):
+        own = counts.filter(F.col("size") == size).join(sums, "ctx").join(low, F.col("g" if size == 1 else "low") == F.col("inner"))
+        p = [F.greatest(F.lit(0.0), F.col(f"n{c}") - DISCOUNT) / (F.col(f"t{c}") + PRIOR) + F.col(f"m{c}") * F.col(f"b{c}") for c in (0, 1)]
+        own = cut(own.select("g", p[0].alias("p0"), p[1].alias("p1")))
+        low = own.select(F.col("g").alias("inner"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
+        told = own.select("g", F.log(F.col("p1") / F.col("p0")).alias("step"))
+        steps = told if steps is None else steps.unionByName(told)
+    return steps, sums.select("ctx", F.log(F.col("m1") / F.col("m0")).alias("step"))
 
 
 def fetched(table: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +208,9 @@ def fetched(table: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndar
     return keys[order], values[order].astype(np.float32)
 
 
+NONE = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32))
+
+
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS) -> dict:
     """The model of texts (doc_id, text) and labels (doc_id, toxic)."""
     wanted = sampled(labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()), size).groupBy("doc_id").agg(
@@ -216,37 +219,41 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS) -> dict:
     rows = docs.join(F.broadcast(wanted), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)))
     counts = cut(class_counts(rows.filter("fold > 0")))
     seen = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-    model = {"steps": (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)), "weights": (0.0, 0.0), "margin": MARGINS[0]}
-    if seen.n0 and seen.n1:
-        steps = spellings(counts, cut(shared_letters(shared_counts(docs.select("text")))))
-        model["steps"] = fetched(steps, "g", "step")
+    share = wanted.agg(F.sum("toxic").alias("n1"), F.count("*").alias("n")).first()
+    prior = math.log(((share.n1 or 0) + 1) / (share.n - (share.n1 or 0) + 1))
+    model = {"steps": NONE, "masses": NONE, "weights": (prior, 0.0, 0.0), "margin": MARGINS[0]}
+    if not (seen.n0 and seen.n1):
+        return model
+    letters = cut(shared_letters(docs.select("text")))
+    steps, handed = probabilities(cut(continuations(counts)), letters)
+    model["steps"], model["masses"] = fetched(steps, "g", "step"), fetched(handed, "ctx", "step")
     held = compared(rows.filter("fold = 0").select("doc_id", "text", "toxic"), model, "toxic", margins=MARGINS).select("x", "toxic").toArrow()
-    x, y = np.array(held.column("x").to_pylist()).reshape(-1, len(MARGINS)), held.column("toxic").to_numpy()
-    fitted = [logistic(x[:, i], y) for i in range(len(MARGINS))]
-    best = min(range(len(MARGINS)), key=lambda i: loss(x[:, i], y, *fitted[i]))
+    x, y = np.array(held.column("x").to_pylist()).reshape(-1, len(MARGINS) + 1), held.column("toxic").to_numpy()
+    if not len(y):
+        return model
+    fitted = [logistic(x[:, [0, i + 1]], y) for i in range(len(MARGINS))]
+    best = min(range(len(MARGINS)), key=lambda i: loss(x[:, [0, i + 1]], y, fitted[i]))
     return model | {"weights": fitted[best], "margin": MARGINS[best]}
 
 
-def loss(x: np.ndarray, y: np.ndarray, a: float, b: float) -> float:
+def loss(x: np.ndarray, y: np.ndarray, weights: tuple[float, ...]) -> float:
     """Minus the log-likelihood of labels under a logistic function."""
-    return float(np.logaddexp(0, np.where(y == 1, -1, 1) * (a + b * x)).sum())
+    return float(np.logaddexp(0, np.where(y == 1, -1, 1) * (weights[0] + x @ np.array(weights[1:]))).sum())
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope of a logistic function of one feature, by Newton's method."""
-    if not len(x):
-        return 0.0, 0.0
-    scale = max(1e-9, float(x.std()))
-    design = np.stack([np.ones(len(x)), x / scale], axis=1)
-    weights = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Intercept and slopes of a logistic function, by Newton's method."""
+    scale = np.maximum(1e-9, x.std(axis=0))
+    design = np.concatenate([np.ones((len(x), 1)), x / scale], axis=1)
+    weights = np.zeros(design.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        bend = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        bend = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(len(weights))
         step = np.linalg.solve(bend, design.T @ (y - p) - 1e-3 * weights)
         weights = weights + np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return float(weights[0]), float(weights[1] / scale)
+    return (float(weights[0]), *(weights[1:] / scale).tolist())
 
 
 def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,66 +267,72 @@ def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[n
 
 class Scorer:
     def __init__(self, model: dict, margins: tuple[float, ...]):
-        self.steps, self.margins = model["steps"], np.array(margins)
+        self.steps, self.masses, self.margins = model["steps"], model["masses"], np.array(margins)
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.sums = np.zeros((0, len(self.margins) + 1))
+        self.sums = np.zeros((0, len(self.margins) + 2))
 
     def words(self, words: list[str]) -> np.ndarray:
-        """log p(word | toxic) - log p(word | ordinary) of words, all their letters included."""
+        """log p(word | toxic) - log p(word | ordinary) of words, all their letters included.
+
+        A letter is judged in the longest context that has it; longer contexts that lack it hand their mass down.
+        """
         groups = Groups(words)
         own, left = np.zeros(len(groups.word)), groups.places(1)
         for k in range(ORDER, 0, -1):
             inside = groups.depth[left] >= k - 1
-            places, rest = left[inside], left[~inside]
+            places, shallow = left[inside], left[~inside]
             found, step = looked_up(self.steps, groups.at[k][places])
             own[places] += step
-            left = np.concatenate([rest, places[~found]])
+            places = places[~found]
+            own[places] += looked_up(self.masses, groups.context(k, places))[1]
+            left = np.concatenate([shallow, places])
         return np.add.reduceat(own, groups.starts) if words else np.zeros(0)
 
     def learn(self, chunks: set[str]) -> None:
-        """Excess differences of the log-likelihoods by margin, and numbers of words, of stretches without white space, all at once."""
+        """Differences of the log-likelihoods, their excess by margin, and numbers of words, of stretches without white space, all at once."""
         if len(self.index) > CACHED_WORDS:
             self.forget()
         fresh = [c for c in chunks if c not in self.index]
         split = [spelled(c) for c in fresh]
         own = self.words([w for words in split for w in words])
         owners = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), dtype=np.int64, count=len(split)))
-        sums = [np.bincount(owners, weights=np.maximum(0.0, own - m), minlength=len(split)) for m in self.margins]
+        sums = [np.bincount(owners, weights=x, minlength=len(split)) for x in (own, *[np.maximum(0.0, own - m) for m in self.margins])]
         sums.append(np.bincount(owners, minlength=len(split)))
         at = len(self.index)
         self.index.update(zip(fresh, range(at, at + len(fresh))))
         self.sums = np.concatenate([self.sums, np.stack(sums, axis=1)])
 
     def differences(self, texts: list[str | None]) -> np.ndarray:
-        """The square roots of the words' mean excess of log p(word | toxic) - log p(word | ordinary), by text and margin."""
-        out = np.zeros((len(texts), len(self.margins)))
+        """By text: the words' mean of log p(word | toxic) - log p(word | ordinary), and the square root of its mean excess by margin."""
+        out = np.zeros((len(texts), len(self.margins) + 1))
         for at in range(0, len(texts), 500):  # their new words are scored together
             split = [(t or "").lower().split() for t in texts[at : at + 500]]
             self.learn(set().union(*split))
             for i, chunks in enumerate(split, at):
                 if chunks:
                     found = self.sums[np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int64, count=len(chunks))].sum(axis=0)
-                    out[i] = np.sqrt(found[:-1] / max(1.0, found[-1]))
+                    out[i] = found[:-1] / max(1.0, found[-1])
+        out[:, 1:] = np.sqrt(out[:, 1:])
         return out
 
 
 def compared(docs: DataFrame, model: dict, *keep: str, margins: tuple[float, ...] = ()) -> DataFrame:
-    """doc_id, the kept columns and x, the difference of the length-normalised log-likelihoods (an array under several margins)."""
+    """doc_id, the kept columns and x: the signed difference per word, and the excess under each margin (the model's own, if none)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept: dict = {}
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = kept.get(0) or kept.setdefault(0, Scorer(sent.value, margins or (sent.value["margin"],)))
+        scorer = once(key, lambda: Scorer(sent.value, margins or (sent.value["margin"],)))
         for batch in batches:
             found = scorer.differences(batch.column("text").to_pylist())
-            x = pa.array(found.tolist(), pa.list_(pa.float64())) if margins else pa.array(found[:, 0])
+            x = pa.array(found.tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *keep)], x], ["doc_id", *keep, "x"])
 
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join([*kinds, "x array<double>" if margins else "x double"]))
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join([*kinds, "x array<double>"]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -331,8 +344,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = columns(docs, doc_id="doc_id", text="text")
     told = columns(labels, doc_id="doc_id", toxic="toxic").filter(~held_out())
     model = fit(rows, told)
-    a, b = model["weights"]
+    a, b, c = model["weights"]
     return compared(rows, model).select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"),
-        (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))).alias("score"), "x",
+        (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x")[0] + F.lit(c) * F.col("x")[1])))).alias("score"),
+        F.col("x")[0].alias("difference"), F.col("x")[1].alias("excess"),
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
