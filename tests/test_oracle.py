@@ -8,7 +8,8 @@ from check_oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 NAMES = ("parse_percent", "mode_policy", "breakdown_sets", "guard_events", "policy_cross_check", "shape_violations",
          "mcnemar", "mann_whitney", "rep_descriptives", "alias_match", "decision_overlay", "judge_verdicts",
-         "normalization_run", "schema_violations", "case_csv_round_trip", "review_stream", "decision_stream")
+         "normalization_run", "schema_violations", "case_csv_round_trip", "review_stream", "decision_stream",
+         "operational_review", "harness_modes", "review_stream_aliases", "judge_refusals", "normalization_requests", "resumed_reps")
 
 
 @pytest.fixture(scope="module")

@@ -99,7 +99,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         "spark.checkpoint.dir", None
     )
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/twinproof/{name}-{uuid.uuid4().hex}"
