@@ -81,14 +81,16 @@ def decimal_text(spark, sf_dir):
         plain("l_tax").alias("tax_text"), plain("l_quantity").alias("quantity_text"))
 
 
-@query(f"WITH {O.cases_cte()}, {O.policy_cte()} SELECT case_id, field, CASE WHEN contract_raw IS NULL OR {O.blank('contract_raw')} THEN 'missing_raw_text' "
-       f"WHEN NOT {O.absent('contract_raw')} THEN 'present' WHEN absence_semantics = 'zero_value' THEN 'absence_as_zero' ELSE 'absence_as_missing' END AS outcome "
-       "FROM cases JOIN policy USING (field)")
+_ABSENCE = lambda c: (f"CASE WHEN {c} IS NULL OR {O.blank(c)} THEN 'missing_raw_text' WHEN NOT {O.absent(c)} THEN 'present' "
+                      "WHEN absence_semantics = 'zero_value' THEN 'absence_as_zero' ELSE 'absence_as_missing' END")
+
+
+@query(f"WITH {O.cases_cte()}, {O.policy_cte()} SELECT case_id, field, {_ABSENCE('contract_raw')} AS contract_outcome, {_ABSENCE('im_raw')} AS im_outcome FROM cases JOIN policy USING (field)")
 def canonicalize_absence(spark, sf_dir):
     rows = compare.with_policy(L.cases(spark, sf_dir))
-    code = F.substring(C.absence_probe(F.col("contract_raw"), F.col("absence_semantics")), 1, 2)
     names = {"m0": "missing_raw_text", "m1": "missing_raw_text", "az": "absence_as_zero", "am": "absence_as_missing"}
-    return rows.select("case_id", "field", V.from_map(code, names, default="present").alias("outcome"))
+    code = lambda s: F.substring(C.absence_probe(F.col(f"{s}_raw"), F.col("absence_semantics")), 1, 2)
+    return rows.select("case_id", "field", *[V.from_map(code(s), names, default="present").alias(f"{s}_outcome") for s in SIDES])
 
 
 @query(f"WITH {O.cases_cte()}, {O.policy_cte()} SELECT case_id, field, {O.value_sql('contract_raw')} AS contract_value, {O.value_sql('im_raw')} AS im_value "
@@ -334,18 +336,11 @@ def flatten_extractions(spark, sf_dir):
     return pair_rows(spark, sf_dir).select("pair_id", *_CELLS)
 
 
-@query(f"WITH {_PAIRS} SELECT pair_id, max(contract_raw) FILTER (field = 'fund.name') AS fund_name, max(im_raw) FILTER (field = 'fee_schedule.trust_fee') AS im_trust_fee, "
-       "max(im_page) FILTER (field = 'redemption_terms.redemption_fee') AS im_fee_page, count(*) FILTER (contract_raw IS NOT NULL) AS contract_cells FROM ev GROUP BY pair_id")
+@query(f"WITH {_PAIRS} SELECT pair_id, {', '.join(_CELLS)} FROM ev")
 def nest_extractions(spark, sf_dir):
-    """Long rows folded back to one nested extraction per pair."""
+    """Long rows folded back to one nested extraction per pair; every cell of it is compared."""
     nested = evidence.nest(pair_rows(spark, sf_dir), ["pair_id"])
-    cells = sum((F.when(F.col(f"extraction.{f}.contract.raw_text").isNotNull(), 1).otherwise(0) for f in TRUST_FUND.fields), F.lit(0))
-    x = "extraction"
-    return nested.select(
-        "pair_id", F.col(f"{x}.fund.name.contract.raw_text").alias("fund_name"),
-        F.col(f"{x}.fee_schedule.trust_fee.im.raw_text").alias("im_trust_fee"),
-        F.col(f"{x}.redemption_terms.redemption_fee.im.citation.page").alias("im_fee_page"),
-        cells.cast("bigint").alias("contract_cells"))
+    return evidence.flatten(nested, ["pair_id"]).select("pair_id", *_CELLS)
 
 
 @query(f"WITH {_PAIRS}, {O.guard_cte(True, False)} SELECT field, contract_page0 AS contract_page_in, g2_contract, g2_im, count(*) AS n, count(contract_raw) AS contract_left, count(im_raw) AS im_left "

@@ -148,11 +148,12 @@ def uncovered_fields(spark, sf_dir):
     return compare.uncovered_fields(rows.unionByName(pair_rows(spark, sf_dir).select("field")))
 
 
-@query(f"WITH {O.cases_cte()} SELECT field, side FROM (SELECT DISTINCT field FROM cases WHERE gold_label = 'mismatch') FULL JOIN (SELECT DISTINCT field, 'x' AS side FROM cases WHERE mutation_type = 'bool_flip') USING (field) WHERE FALSE "
-       f"UNION ALL SELECT field, 'left_only' FROM (SELECT DISTINCT field FROM cases WHERE gold_label = 'mismatch' EXCEPT SELECT field FROM cases WHERE mutation_type = 'digit_insert')")
+@query(f"WITH {O.cases_cte()}, a AS (SELECT DISTINCT field FROM cases WHERE gold_label = 'mismatch' AND field NOT LIKE 'fee%'), b AS (SELECT DISTINCT field FROM cases WHERE mutation_type IN ('digit_insert', 'unit_conversion')) "
+       "SELECT field, 'left_only' AS side FROM a WHERE field NOT IN (SELECT field FROM b) UNION ALL SELECT field, 'right_only' FROM b WHERE field NOT IN (SELECT field FROM a)")
 def field_set_difference(spark, sf_dir):
     rows = L.cases(spark, sf_dir)
-    return setops.symmetric_difference(rows.filter("gold_label = 'mismatch'").select("field"), rows.filter("mutation_type = 'digit_insert'").select("field"))
+    return setops.symmetric_difference(rows.filter("gold_label = 'mismatch' AND field NOT LIKE 'fee%'").select("field"),
+                                       rows.filter("mutation_type IN ('digit_insert', 'unit_conversion')").select("field"))
 
 
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
@@ -519,10 +520,10 @@ def support_cases(spark, sf_dir):
     return inference.support_cases(L.cases(spark, sf_dir)).select("field", "case_id", "gold_label", "contract_raw", "im_raw")
 
 
-@query("WITH planned AS (SELECT DISTINCT event_type AS tier, CAST(day(ts) AS INT) AS rep FROM events) SELECT tier, rep FROM planned EXCEPT SELECT event_type, CAST(day(ts) AS INT) FROM events WHERE value > 60")
+@query("WITH planned AS (SELECT DISTINCT event_type AS tier, CAST(day(ts) AS INT) AS rep FROM events) SELECT tier, rep FROM planned EXCEPT SELECT event_type, CAST(day(ts) AS INT) FROM events WHERE day(ts) % 3 = 0")
 def pending_reps(spark, sf_dir):
-    e = L.table(spark, sf_dir, "events").select(F.col("event_type").alias("tier"), F.dayofmonth("ts").alias("rep"), "value")
-    return ST.pending_reps(e.select("tier", "rep").distinct(), e.filter("value > 60").select("tier", "rep"))
+    e = L.table(spark, sf_dir, "events").select(F.col("event_type").alias("tier"), F.dayofmonth("ts").alias("rep"))
+    return ST.pending_reps(e.distinct(), e.filter("rep % 3 = 0"))
 
 
 # --- mutated cases -------------------------------------------------------------------------------------------
