@@ -166,7 +166,7 @@ def test_every_reason_of_a_refusal(spark):
     """One request a route and hash: all defects occur, each is told by its own reason, good answers have none."""
     fields = {"redeemability": "redemption_terms.is_redeemable", "maturity": "fund.maturity_date", "redemption_fee": "redemption_terms.redemption_fee", "generic": "fund.name"}
     rows = [(f"{route}{i}", field, route, json.dumps({"field": field, "label": str(i), "contract_raw_text": "a", "im_raw_text": "b"}))
-            for route, field in fields.items() for i in range(300)]
+            for route, field in fields.items() for i in range(1500)]
     asked = spark.createDataFrame(rows, "case_id string, field string, route string, request string")
     checked = inference.read_verdicts(inference.call_model(asked, Q.hashed_judge))
     found = {}
@@ -214,7 +214,7 @@ def test_format_guard_keeps_all_problems(spark):
 
 def test_resume_reads_pending_folders_only(spark, tmp_path):
     rows = [(t, r, float(i)) for t in ("a", "b") for r in range(4) for i in range(r + 1)]
-    e = spark.createDataFrame(rows, "tier string, rep int, value double")
+    e = spark.createDataFrame(rows, "tier string, rep int, value double").select("value", "tier", "rep")
     sinks.write_rows(e, str(tmp_path / "in"), "tier", "rep")
     planned = e.select("tier", "rep").distinct()
     schema = T.StructType([T.StructField("n", T.LongType())])
@@ -230,10 +230,10 @@ def test_resume_reads_pending_folders_only(spark, tmp_path):
     for name in ("tier=a/rep=0", "tier=b/rep=1"):
         for f in (tmp_path / "in" / name).glob("*.parquet"):
             f.write_bytes(b"broken")
-    done = tables.resume(spark, str(tmp_path / "in"), planned, str(tmp_path / "out"), schema, work)
+    done = tables.resume(spark, str(tmp_path / "in"), planned, str(tmp_path / "out"), schema, work, e.schema)
     assert {(r.tier, r.rep): r.n for r in done.collect()} == {(t, r): r + 1 for t in "ab" for r in range(4)}
     assert seen == [{(t, r) for t in "ab" for r in (0, 1)}, {(t, r) for t in "ab" for r in (2, 3)}]
-    again = tables.resume(spark, str(tmp_path / "in"), planned, str(tmp_path / "out"), schema, work)
+    again = tables.resume(spark, str(tmp_path / "in"), planned, str(tmp_path / "out"), schema, work, e.schema)
     assert again.count() == 8 and seen[2] == set()
 
 

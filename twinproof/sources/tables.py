@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from twinproof.functions.text import strip
 from twinproof.operators.evidence import extraction_schema
 from twinproof.profile import TRUST_FUND, Profile
+from twinproof.session import MAX_DIM_ROWS
 
 # Columns of a case table.
 CASE_COLUMNS = ("case_id", "category", "field", "label", "gold_label", "mutation_type", "difficulty",
@@ -126,19 +127,30 @@ def pending_reps(planned: DataFrame, finished: DataFrame) -> DataFrame:
     return planned.join(finished.select("tier", "rep").distinct(), ["tier", "rep"], "left_anti")
 
 
-def read_pending(spark: SparkSession, path: str, planned: DataFrame, finished: DataFrame) -> DataFrame:
+def read_pending(spark: SparkSession, path: str, planned: DataFrame, finished: DataFrame,
+                 schema: T.StructType | None = None) -> DataFrame:
     """Rows of the pending (tier, rep) of a table that is partitioned by them.
 
-    The plan's folders are pruned by the pending rows at run time, so finished repetitions aren't opened.
+    A plan is configuration (some tiers by some repetitions): up to MAX_DIM_ROWS pending keys become a filter on
+    the folders, so finished repetitions aren't opened; a larger plan is joined. Without ``schema``
+    one file is opened to infer it.
     """
-    return spark.read.parquet(path).join(pending_reps(planned, finished), ["tier", "rep"])
+    rows = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    pending = pending_reps(planned, finished)
+    keys = pending.select("tier", "rep").take(MAX_DIM_ROWS + 1)
+    if len(keys) > MAX_DIM_ROWS:
+        return rows.join(pending, ["tier", "rep"])
+    wanted = F.lit(False)
+    for tier in sorted({k.tier for k in keys}):
+        wanted = wanted | ((F.col("tier") == tier) & F.col("rep").isin([k.rep for k in keys if k.tier == tier]))
+    return rows.filter(wanted)
 
 
 def resume(spark: SparkSession, path: str, planned: DataFrame, results: str, schema: T.StructType,
-           work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+           work: Callable[[DataFrame], DataFrame], source: T.StructType | None = None) -> DataFrame:
     """Run ``work`` on the repetitions without a result, add its rows to ``results`` and return all of them.
 
-    ``work`` keeps ``tier`` and ``rep``; ``schema`` is that of its other columns. Results are partitioned like the
+    ``work`` keeps ``tier`` and ``rep``; ``schema`` is that of its other columns and ``source`` that of the input. Results are partitioned like the
     input; a repetition counts as finished once its folder has rows, which one append of a job's output gives
     together. A stopped run is resumed by calling this again.
     """
@@ -152,7 +164,7 @@ def resume(spark: SparkSession, path: str, planned: DataFrame, results: str, sch
                 raise
             return spark.createDataFrame([], whole)
 
-    done = work(read_pending(spark, path, planned, stored()))
+    done = work(read_pending(spark, path, planned, stored(), source))
     done.select(*schema.names, F.col("tier").cast("string"), F.col("rep").cast("int")).hint("rebalance", "tier", "rep").write.mode(
         "append").partitionBy("tier", "rep").parquet(results)
     return stored()
