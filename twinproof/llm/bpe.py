@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -105,7 +106,9 @@ class WordBpe:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.pieces = regex.compile(PIECES)
-        self.newer = regex.compile(f"[{UNKNOWN_LETTERS}{''.join(map(chr, NEW_LOWER))}]")
+        some = regex.compile(f"[{UNKNOWN_LETTERS}{''.join(map(chr, NEW_LOWER))}]")
+        beyond = re.compile("[\u0558-\U0010ffff]")  # most texts have nothing as far up
+        self.newer = lambda text: beyond.search(text) and some.search(text)
         known = lambda kind: rf"(?:(?![{UNKNOWN_LETTERS}])\p{{{kind}}})"
         other = rf"(?:(?!{WHITE})(?:[{UNKNOWN_LETTERS}]|[^\p{{L}}\p{{N}}]))"
         self.strict = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{known('L')}+|{known('N')}|{other}+")
@@ -166,7 +169,7 @@ class WordBpe:
 
     def chunk(self, text: str) -> bytes:
         """The ids of a stretch of normalised text without white space, or of any text."""
-        pieces = self.pieces if text.isascii() or not self.newer.search(text) else self.strict
+        pieces = self.pieces if text.isascii() or not self.newer(text) else self.strict
         found = b"".join([self.words.get(w) or self.word(w) for w in pieces.findall(text)])
         if len(self.chunks) < CACHED_WORDS and len(text) <= 64:
             self.chunks[text] = found
@@ -175,7 +178,7 @@ class WordBpe:
     def normalized(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            if self.newer.search(text):
+            if self.newer(text):
                 text = text.translate(NEW_LOWER)
         # White space needs no step of its own: pieces never contain it. Letter by letter, without the final form of sigma.
         return text.replace("Σ", "σ").lower()
