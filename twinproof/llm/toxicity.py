@@ -256,18 +256,39 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return (float(weights[0]), *(weights[1:] / scale).tolist())
 
 
-def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are in the table, and their values (0 for others)."""
-    if not len(table[0]):
-        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    found = table[0][at] == keys
-    return found, np.where(found, table[1][at], 0.0)
+class Table:
+    """Values by hash: sorted hashes, and where each leading bit pattern begins, so that a lookup compares a few neighbours only."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(1, len(keys)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.longest = int(np.diff(np.append(self.first, len(keys))).max())
+        # One more, so that the place after the last is there; its hash may be asked for, its value counts nothing.
+        self.keys, self.values, self.size = np.append(keys, np.uint64(0)), np.append(values, np.float32(0)), len(keys)
+
+    def get(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are in the table, and their values (0 for others)."""
+        at = self.first[(asked >> self.shift).astype(np.int64)].astype(np.int64)
+        found, out = np.zeros(len(asked), dtype=bool), np.zeros(len(asked))
+        left = np.arange(len(asked))
+        for step in range(self.longest):
+            place = at[left] + step
+            inside = place < self.size
+            left, place = left[inside], place[inside]
+            own, wanted = self.keys[place], asked[left]
+            hit = own == wanted
+            found[left[hit]] = True
+            out[left[hit]] = self.values[place[hit]]
+            left = left[own < wanted]
+            if not len(left):
+                break
+        return found, out
 
 
 class Scorer:
     def __init__(self, model: dict, margins: tuple[float, ...]):
-        self.steps, self.masses, self.margins = model["steps"], model["masses"], np.array(margins)
+        self.steps, self.masses, self.margins = Table(*model["steps"]), Table(*model["masses"]), np.array(margins)
         self.forget()
 
     def forget(self) -> None:
@@ -284,10 +305,10 @@ class Scorer:
         for k in range(ORDER, 0, -1):
             inside = groups.depth[left] >= k - 1
             places, shallow = left[inside], left[~inside]
-            found, step = looked_up(self.steps, groups.at[k][places])
+            found, step = self.steps.get(groups.at[k][places])
             own[places] += step
             places = places[~found]
-            own[places] += looked_up(self.masses, groups.context(k, places))[1]
+            own[places] += self.masses.get(groups.context(k, places))[1]
             left = np.concatenate([shallow, places])
         return np.add.reduceat(own, groups.starts) if words else np.zeros(0)
 
