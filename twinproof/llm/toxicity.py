@@ -121,8 +121,10 @@ def shared_letters(texts: DataFrame) -> DataFrame:
         for batch in batches:
             words = Groups(batch.column("word").to_pylist(), 1)
             places = words.places(1)
-            once = np.unique(np.stack([words.word[places].astype(np.uint64), words.at[1][places]], axis=1), axis=0)
-            yield batch_of(names, *np.unique(once[:, 1], return_counts=True))
+            order = np.lexsort((words.at[1][places], words.word[places]))
+            g, w = words.at[1][places][order], words.word[places][order]
+            once = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])[: len(g)]
+            yield batch_of(names, *np.unique(g[once], return_counts=True))
 
     counts = cut(word_types(texts).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
     top = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
