@@ -59,7 +59,7 @@ def review_with_aliases(extractions: DataFrame, alias_path: str, path: str, chec
     """
 
     def review(batch: DataFrame, batch_id: int) -> None:
-        rows = checked_rows(review_rows(batch, ["pair_id"], profile), ["pair_id"], f"{path}-checked/batch={batch_id}")
+        rows = checked_rows(review_rows(batch, ["pair_id"], profile, details=False), ["pair_id"], f"{path}-checked/batch={batch_id}")
         aliases = read_keyed(batch.sparkSession, alias_path, ALIAS_SCHEMA)
         fields = review_fields(match_aliases(rows, aliases, profile))
         fields.select("pair_id", *REVIEW_COLUMNS).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
